@@ -10,8 +10,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import fingerprints, host_rules, mixing, sentencepiece_codec, sharding
-from .common import is_file, table
+from . import fingerprints, host_rules, html_extraction, jaccard_join, language_id, mixing, quality_classifier, sentencepiece_codec, sharding, substring_dedup
+from .common import crc_bucket, is_file, table
 
 MODEL = "piece_bpe_32k.model"
 #: Production parameters of the mixing query and stage.
@@ -28,12 +28,28 @@ def model_path() -> str:
         return is_file(f"/opt/tokenizers/{MODEL}")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (table(spark, sf_dir, t) for t in ("documents", "labels"))
+    learn = labels.where(F.coalesce(crc_bucket("doc_id", 3), F.lit(0)) != 1)
+    weights = quality_classifier.fit(quality_classifier.labelled_sample(docs, learn))
+    scored = quality_classifier.predict(docs.select("doc_id", "text"), weights)
+    held_out = F.coalesce(crc_bucket("doc_id", 3) == 1, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     mixed = mixing.mix(docs.select("doc_id", "source", "text"), MIX_TARGET, seed=MIX_SEED)
     return mixed.select("doc_id", "source", F.round("weight", 9).alias("weight"), "block", "place", "n_copies")
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, the text that is left, and the numbers of the lines cut."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    left = substring_dedup.deduplicate(docs, removed="removed_lines")
+    return left.select("doc_id", "text", F.size("removed_lines").cast("long").alias("n_removed"), "removed_lines")
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(table(spark, sf_dir, "documents").select("doc_id")).select("doc_id", "slot", "shard")
 
@@ -46,12 +62,32 @@ def op6_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.components(table(spark, sf_dir, "documents"))
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.digests(table(spark, sf_dir, "documents"), model_path())
 
 
+def learned_languages(docs: DataFrame) -> language_id.Model:
+    """The production model: rows whose crc32(doc_id as text) mod 5 is 0 are held out."""
+    return language_id.fit(docs.where(crc_bucket("doc_id", 5) != 0), model_path())
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language_id.predict(docs.select("doc_id", "text"), learned_languages(docs.select("doc_id", "text", "lang")))
+    return found.select("doc_id", F.coalesce(crc_bucket("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_extraction.extract(pages.select("page_id", "url", "html")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (op2_mixing, op4_sharding, op5_fingerprints, op6_host_rules, op8_sentencepiece)
+    made = (op1_quality, op2_mixing, op3_substring_dedup, op4_sharding, op5_fingerprints, op6_host_rules, op7_jaccard_join, op8_sentencepiece, op9_language_id, op10_html_extraction)
     return {f.__name__: f for f in made}
 
 
@@ -132,5 +168,21 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ({ho
 FROM measured JOIN verdicts ON source IS NOT DISTINCT FROM host"""
 
 
+_OP7_SQL = """
+WITH RECURSIVE docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS words
+  FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(words[i:i + 4], ' ') AS s
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 4, 1) + 1)) AS i FROM docs WHERE len(words) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM shared JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * shared.n >= 80 * (p.n + q.n - shared.n)),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id AS id, doc_id AS other FROM documents UNION SELECT r.id, w.b FROM reach r JOIN ways w ON w.a = r.other)
+SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, m.component_id
+FROM documents d LEFT JOIN sizes s USING (doc_id) JOIN (SELECT id, min(other) AS component_id FROM reach GROUP BY id) m ON m.id = d.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": _op2_sql(), "op4_sharding": _op4_sql(), "op6_host_rules": _OP6_SQL}
+    return {"op2_mixing": _op2_sql(), "op4_sharding": _op4_sql(), "op6_host_rules": _OP6_SQL, "op7_jaccard_join": _OP7_SQL}
