@@ -92,7 +92,7 @@ def tokenize(df: DataFrame, model_path: str, text: str = "text", ids: str = "ids
     """Add `ids` (packed ids, see unpack) and, if named, the text they decode to."""
     names = [ids] + [decoded] * bool(decoded)
     rest = [f for f in df.schema.fields if f.name not in names]
-    schema = StructType(rest + [StructField(ids, BinaryType())] + [StructField(decoded, StringType())] * bool(decoded))
+    schema = StructType(rest + [StructField(ids, BinaryType())] + [StructField(n, StringType()) for n in names[1:]])
     out, kept = arrow_schema(schema), [f.name for f in rest]
 
     def run(batches):
