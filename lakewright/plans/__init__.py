@@ -1,9 +1,15 @@
 """Named queries, each with its SQL where SQL can express it."""
 
+from __future__ import annotations
+
+from . import catalogue
+
+MODULES = (catalogue,)
+
 
 def queries():
-    return {}
+    return {k: v for m in MODULES for k, v in m.queries().items()}
 
 
 def oracle_sql():
-    return {}
+    return {k: v for m in MODULES for k, v in m.oracle_sql().items()}
