@@ -13,6 +13,10 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, LongType, StringType
+
+#: Types as objects: workers import this module without a session that could parse names.
+STRING, STRINGS, LONG = StringType(), ArrayType(StringType()), LongType()
 
 # --- Fixed values: the words, patterns and phrases below define results. ---
 NOISE = (
@@ -42,7 +46,7 @@ def blank_to_null(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
 
-@pandas_udf("string")
+@pandas_udf(STRING)
 def unescape(values: pd.Series) -> pd.Series:
     """Character references decoded, with the full entity table."""
     return values.map(lambda v: v if v is None else html_lib.unescape(v))
@@ -66,7 +70,7 @@ def clean_category(c: Column | str, entities: bool = True) -> Column:
     return F.regexp_replace(clean(c, entities), r",(?=\S)", ", ")
 
 
-@pandas_udf("string")
+@pandas_udf(STRING)
 def nfkc(values: pd.Series) -> pd.Series:
     return values.map(lambda v: v if v is None else unicodedata.normalize("NFKC", v))
 
@@ -111,7 +115,7 @@ def trigram_similarity(a: Column, b: Column) -> Column:
 
 def bulleted(c: Column) -> Column:
     """Pieces between bullets or numbers at line starts."""
-    return F.filter(F.transform(F.split(c, r"(?:^|\n)\s*(?:\d+[.)]|[-*•])\s+"), F.trim), lambda p: p != "")
+    return F.filter(F.transform(F.split(c, r"(?:^|\n)\s*(?:\d+[.)]|[-*•])\s+"), lambda x: F.trim(x)), lambda p: p != "")
 
 
 def numbered(c: Column) -> Column:
@@ -128,14 +132,14 @@ def to_list(c: Column | str) -> Column:
     """A text that is a list as a list: by bullets, else a full numbering, else lines, else whole."""
     s = F.regexp_replace(col(c), r"^\s+|\s+$", "")
     bullets = bulleted(s)
-    lines = F.filter(F.transform(F.split(s, "\n"), F.trim), lambda p: p != "")
+    lines = F.filter(F.transform(F.split(s, "\n"), lambda x: F.trim(x)), lambda p: p != "")
     found = F.when(F.size(bullets) > 1, bullets).otherwise(F.coalesce(numbered(s), F.when(F.size(lines) > 1, lines), F.array(s)))
     return F.when(s == "", F.array().cast("array<string>")).when(s.isNotNull(), found)
 
 
 def to_text(items: Column | str) -> Column:
     """A list of texts as prose joined by '; '; nothing left gives null."""
-    return blank_to_null(F.array_join(F.filter(F.transform(col(items), F.trim), lambda x: x != ""), "; "))
+    return blank_to_null(F.array_join(F.filter(F.transform(col(items), lambda x: F.trim(x)), lambda x: x != ""), "; "))
 
 
 def _flat(value) -> list[str]:
@@ -171,13 +175,13 @@ def _json_list(raw: str | None) -> list[str] | None:
     return None
 
 
-@pandas_udf("array<string>")
+@pandas_udf(STRINGS)
 def json_to_list(values: pd.Series) -> pd.Series:
     """Nested JSON flattened: list items in order, objects as labelled items."""
     return values.map(_json_list)
 
 
-@pandas_udf("string")
+@pandas_udf(STRING)
 def json_to_text(values: pd.Series) -> pd.Series:
     """Nested JSON as prose joined by '; '."""
 
@@ -221,7 +225,7 @@ def recovered_json(text: str | None) -> str | None:
     return body if body.startswith("{") else balanced_object(body) or body
 
 
-@pandas_udf("string")
+@pandas_udf(STRING)
 def recover_json(values: pd.Series) -> pd.Series:
     return values.map(recovered_json)
 
@@ -354,7 +358,7 @@ def host(url: Column | str) -> Column:
 
 
 def is_deep_link(url: Column | str) -> Column:
-    return F.coalesce(F.trim(F.lit("/"), F.try_parse_url(col(url), F.lit("PATH"))), F.lit("")) != ""
+    return F.coalesce(F.trim(F.try_parse_url(col(url), F.lit("PATH")), F.lit("/")), F.lit("")) != ""
 
 
 ATOM = re.compile(r"[぀-ヿ㐀-䶿一-鿿豈-﫿가-힯]|[^\s぀-ヿ㐀-䶿一-鿿豈-﫿가-힯]+|\s+")
@@ -396,7 +400,7 @@ def chunked(blocks: list[str] | None, budget: int) -> list[str] | None:
 
 
 def chunk_blocks(blocks: Column | str, budget: int = 512) -> Column:
-    @pandas_udf("array<string>")
+    @pandas_udf(STRINGS)
     def run(values: pd.Series) -> pd.Series:
         return values.map(lambda v: chunked(None if v is None else list(v), budget))
 
@@ -419,7 +423,7 @@ def split_table(rows: Column | str, budget: int = 512) -> Column:
             n += cost
         return out + ["<table>" + "".join(held) + "</table>"] * bool(held)
 
-    @pandas_udf("array<string>")
+    @pandas_udf(STRINGS)
     def run(values: pd.Series) -> pd.Series:
         return values.map(groups)
 
@@ -440,7 +444,7 @@ def embedded_objects(page: str | None, key: str) -> list[str]:
 
 
 def embedded_json(page: Column | str, key: str) -> Column:
-    @pandas_udf("array<string>")
+    @pandas_udf(STRINGS)
     def run(values: pd.Series) -> pd.Series:
         return values.map(lambda v: embedded_objects(v, key))
 
@@ -458,7 +462,7 @@ def _seek(value, wanted) -> object:
     return None
 
 
-@pandas_udf("array<string>")
+@pandas_udf(STRINGS)
 def find_results(values: pd.Series) -> pd.Series:
     """Items of the first nonempty `results` list of objects anywhere in a JSON object."""
 
@@ -472,7 +476,7 @@ def find_results(values: pd.Series) -> pd.Series:
     return values.map(one)
 
 
-@pandas_udf("long")
+@pandas_udf(LONG)
 def find_total(values: pd.Series) -> pd.Series:
     """The first whole number named total or totalCount anywhere in a JSON object."""
 

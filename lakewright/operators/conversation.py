@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
+from ..functions.text import STRINGS
+
 FLUSH = 12
 
 
@@ -38,7 +40,7 @@ def coalesced(tokens, least: int = FLUSH) -> list[str]:
 
 
 def coalesce_deltas(deltas: Column | str, least: int = FLUSH) -> Column:
-    @pandas_udf("array<string>")
+    @pandas_udf(STRINGS)
     def run(values: pd.Series) -> pd.Series:
         return values.map(lambda v: None if v is None else coalesced(v, least))
 

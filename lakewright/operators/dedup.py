@@ -129,7 +129,7 @@ def canonical_states(rows: DataFrame, raw: str, out: str = "canonical_state") ->
 
 def state_from_page(pages: DataFrame, key: str = "slug", title: str = "title", text: str = "text") -> DataFrame:
     """(key, state): the place named by a line next to the title's, Central without one, null without the title."""
-    lines = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     at = F.array_position(lines, F.trim(title))
     near = pages.select(key, F.when(F.trim(title) != "", at).alias("at"), F.array(F.get(lines, (at - 2).cast("int")), F.get(lines, at.cast("int"))).alias("near"))
     sides = near.select(key, "at", F.posexplode("near").alias("side", "line"))

@@ -77,19 +77,19 @@ def net_use(log: DataFrame, cap: int, ts: str = "ts", amount: str = "amount") ->
     return log.groupBy(F.to_date(ts).alias("day")).agg(total.alias("used"), (total > cap).alias("over"))
 
 
-def bucket_waits(requests: DataFrame, rate_per_min: int, ts: str = "ts", key: str = "user_id", order: str = "event_id") -> DataFrame:
+def bucket_waits(requests: DataFrame, rate_per_min: float, ts: str = "ts", key: str = "user_id", order: str = "event_id", burst: int | None = None) -> DataFrame:
     """requests with the seconds each waits for a token of its key's bucket.
 
-    The bucket starts full, with rate_per_min tokens, and refills at that rate.  With
+    The bucket starts full, with `burst` tokens (a minute's), and refills at the rate.  With
     s seconds a token, request i (from 0) is served at t(i) = max(arrival(i), best over
     j <= i of arrival(j) + (i - j - burst + 1) * s), so a running maximum of
     arrival(j) - j * s answers it without a sequential fold.
     """
-    s = 60.0 / rate_per_min
+    s, full = 60.0 / rate_per_min, burst or int(rate_per_min)
     w = Window.partitionBy(key).orderBy(ts, order)
-    at = F.col(ts).cast("double")
+    at = F.unix_micros(F.col(ts).cast("timestamp")) / 1e6
     i = F.row_number().over(w) - 1
     head = requests.withColumn("__at", at).withColumn("__i", i)
     lead = F.max(F.col("__at") - F.col("__i") * s).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    wait = lead + (F.col("__i") - rate_per_min + 1) * s - F.col("__at")
+    wait = lead + (F.col("__i") - full + 1) * s - F.col("__at")
     return head.withColumn("waited", F.round(F.greatest(wait, F.lit(0.0)), 3)).drop("__at", "__i")

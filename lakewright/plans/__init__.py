@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import catalogue
+from . import catalogue, records, texts, work
 
-MODULES = (catalogue,)
+MODULES = (catalogue, records, texts, work)
 
 
 def queries():
