@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import shingles as sh
-from .common import bounded_broadcast, cut, partitions
+from .common import bounded_broadcast, cut, partitions, slices
 from .components import components
 
 U = np.uint64
@@ -119,7 +119,7 @@ def _sketches(texts: DataFrame) -> DataFrame:
     out = pa.schema([("id", pa.int64()), ("n", pa.int32()), ("sketch", pa.binary())])
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             sets = [sh.shingle_set(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(s) for s in sets], pa.int32()), pa.array([sh.parity_sketch(s) for s in sets], pa.binary())], schema=out)
 
@@ -145,7 +145,7 @@ def _sketch_filter(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataF
     out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, 4096):
             cols = (batch.column(c).to_pylist() for c in ("n_a", "sketch_a", "n_b", "sketch_b"))
             keep = pa.array([_may_link(n, _words(x), m, _words(y), percent) for n, x, m, y in zip(*cols)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], schema=out).filter(keep)
@@ -163,7 +163,7 @@ def _verify(pairs: DataFrame, texts_of: TextsOf, percent: int) -> DataFrame:
 
     def run(batches):
         last, own = None, None
-        for batch in batches:
+        for batch in slices(batches):
             keep = []
             for a, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "text_a", "text_b"))):
                 if last is None or last != (a, x):
@@ -178,8 +178,11 @@ def _endpoints(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
 
 
-def _open_pairs(groups: DataFrame, comps: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one group and two components whose sketches allow a link."""
+def _open_pairs(groups: DataFrame, comps: DataFrame, sketches: DataFrame, percent: int, nearest: bool = False) -> DataFrame:
+    """Pairs of one group and two components whose sketches allow a link.
+
+    With `nearest` only the pair of each member with its nearest partner by sketch.
+    """
     spark = groups.sparkSession
     named = groups.join(comps, groups["b"] == comps["id"], "left").select(F.col("a").alias("gid"), F.col("b").alias("id"), F.coalesce("comp", "b").alias("comp"))
     open_ = named.groupBy("gid").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
@@ -199,6 +202,7 @@ def _open_pairs(groups: DataFrame, comps: DataFrame, sketches: DataFrame, percen
         words = [_words(sketch[k]) for k in order]
         width_of = np.array([len(w) for w in words])
         found_a, found_b, folded, row_of = [], [], {}, np.zeros(len(ids), np.int64)
+        least, partner = np.full(len(ids), 2**31), np.zeros(len(ids), np.int64)
         for k in range(len(ids)):
             # sorted by size: partners of k behind it, as far as sizes allow
             upto = np.searchsorted(n, n[k] * 100 // percent, side="right")
@@ -214,9 +218,21 @@ def _open_pairs(groups: DataFrame, comps: DataFrame, sketches: DataFrame, percen
                 folded = {width: np.stack([sh.fold(words[x], width) for x in some])}
                 row_of[some] = np.arange(len(some))
             gap = np.bitwise_count(folded[width][row_of[more]] ^ words[k]).sum(axis=1, dtype=np.int64)
-            more = more[gap <= sh.distance_bound(n[more], n[k], percent)]
+            may = gap <= sh.distance_bound(n[more], n[k], percent)
+            more, gap = more[may], gap[may]
+            if nearest and len(more):
+                better = gap < least[more]
+                least[more[better]], partner[more[better]] = gap[better], k
+                best = int(gap.argmin())
+                if gap[best] < least[k]:
+                    least[k], partner[k] = gap[best], more[best]
+                continue
             found_a.append(np.minimum(ids[more], ids[k]))
             found_b.append(np.maximum(ids[more], ids[k]))
+        if nearest:
+            k = np.flatnonzero(least < 2**31)
+            x, y = ids[k], ids[partner[k]]
+            return np.minimum(x, y), np.maximum(x, y)
         none = [np.zeros(0, np.int64)]
         return np.concatenate(found_a or none), np.concatenate(found_b or none)
 
@@ -250,11 +266,13 @@ def link(met: DataFrame, texts_of: TextsOf, percent: int = 80) -> tuple[DataFram
     sketches = _sketches(texts_of(cut(_endpoints(stars))))
     links = _verify(_sketch_filter(stars.distinct(), sketches, percent), texts_of, percent)
     comps = cut(components(links))
-    more = _verify(_open_pairs(groups, comps, sketches, percent), texts_of, percent)
-    if more.isEmpty():
-        return comps, links
-    links = links.unionByName(more).distinct()
-    return cut(components(links)), links
+    for nearest in (True, False):
+        more = _verify(_open_pairs(groups, comps, sketches, percent, nearest), texts_of, percent)
+        if more.isEmpty():
+            continue
+        links = links.unionByName(more)
+        comps = cut(components(links))
+    return comps, links.distinct()
 
 
 def lookup(table: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:

@@ -94,12 +94,12 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int = 80) -> bool:
 
 
 def parity_sketch(s: np.ndarray) -> bytes:
-    """Bits flipped once per shingle; at least twice as many bits as shingles, a power of two.
+    """Bits flipped once per shingle; 1024 bits, or the power of two of at least twice the shingles.
 
     A shingle in just one of two sets flips one bit, so the Hamming distance of two
     sketches (folded to one width) never exceeds the size of the symmetric difference.
     """
-    m = 64
+    m = 1024
     while m < 2 * len(s):
         m *= 2
     bits = np.bincount((s & U(m - 1)).astype(np.int64), minlength=m) & 1
