@@ -57,22 +57,15 @@ def bounded_broadcast(df: DataFrame, limit: int) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
-def arrow_schema(schema) -> pa.Schema:
-    return pa.schema([pa.field(f.name, to_arrow_type(f.dataType)) for f in schema])
-
-
-def map_rows(df: DataFrame, make, schema: str) -> DataFrame:
-    """mapInArrow with `make(batch) -> dict of columns or None`; schema is DDL."""
-    from pyspark.sql.types import StructType
+def slices(batches, rows: int = 512):
+    """Record batches of at most so many rows, so that what a task unpacks at once is bounded."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
 
-    out = arrow_schema(StructType.fromDDL(schema))
 
-    def run(batches):
-        for batch in batches:
-            if batch.num_rows and (cols := make(batch)) is not None:
-                yield pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) if not isinstance(cols[f.name], pa.Array) else cols[f.name].cast(f.type) for f in out], schema=out)
-
-    return df.mapInArrow(run, schema)
+def arrow_schema(schema) -> pa.Schema:
+    return pa.schema([pa.field(f.name, to_arrow_type(f.dataType)) for f in schema])
 
 
 def crc_bucket(doc_id: Column | str, n: int) -> Column:

@@ -18,18 +18,19 @@ an empty text; ties go to the lower line.  An empty table gives an empty result.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
 from . import near, shingles as sh
-from .common import arrow_schema, cut
+from .common import cut, slices
 
 U = np.uint64
 MIN_WORDS = 25
 PERCENT = 80
-RECALL, HASHES = 0.9995, 96
+RECALL, HASHES = 0.9995, 64
 PACK = 1024
 
 
@@ -52,40 +53,69 @@ _FACTOR = _random.integers(1, 2**63, 1024, dtype=np.uint64) * U(2) + U(1)
 _SHIFT = _random.integers(1, 2**63, 1024, dtype=np.uint64)
 
 
-def band_keys(s: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """One key a band of the MinHash values of a set of shingle hashes."""
-    k = bands * rows
-    least = np.full(k, np.iinfo(np.uint64).max, U)
-    for at in range(0, len(s), 4096):  # bounded memory for very long lines
-        part = s[at : at + 4096]
-        np.minimum(least, (part[:, None] * _FACTOR[:k] + _SHIFT[:k]).min(axis=0), out=least)
-    least = sh.mix(least).reshape(bands, rows)
-    key = np.arange(1, bands + 1, dtype=np.uint64)
+def signatures(hashes: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
+    """MinHash values [set, k] of sets laid end to end, each from its start to the next."""
+    out = np.empty((len(starts), k), U)
+    ends = np.r_[starts[1:], len(hashes)]
+    lo = 0
+    while lo < len(starts):  # a few thousand hashes at a time: bounded memory
+        hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + 4096, side="right")))
+        if hi == lo + 1:
+            least = np.full(k, np.iinfo(np.uint64).max, U)
+            for at in range(starts[lo], ends[lo], 4096):
+                part = hashes[at : min(at + 4096, ends[lo])]
+                np.minimum(least, (part[:, None] * _FACTOR[:k] + _SHIFT[:k]).min(axis=0), out=least)
+            out[lo] = least
+        else:
+            part = hashes[starts[lo] : ends[hi - 1]]
+            out[lo:hi] = np.minimum.reduceat(part[:, None] * _FACTOR[:k] + _SHIFT[:k], starts[lo:hi] - starts[lo], axis=0)
+        lo = hi
+    return out
+
+
+def band_keys(values: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """Keys [set, band] of MinHash values [set, bands * rows]."""
+    values = sh.mix(values).reshape(len(values), bands, rows)
+    key = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), values.shape[:2])
     for r in range(rows):
-        key = sh.mix(key * U(3) + least[:, r])
+        key = sh.mix(key * U(3) + values[:, :, r])
     return key
 
 
-def paragraphs(text: str | None, min_words: int = MIN_WORDS) -> list[tuple[int, int, np.ndarray, int, int]]:
-    """(line, name, word hashes, start, end) of the lines long enough; places in bytes."""
+@dataclass
+class Paragraphs:
+    """The lines of a text that are long enough, in order."""
+
+    line: np.ndarray  #: numbers from 0
+    name: np.ndarray  #: 64-bit hash of the words in their order
+    start: np.ndarray  #: first byte
+    end: np.ndarray  #: byte behind the last
+    hashes: np.ndarray  #: shingle hashes, laid end to end
+    at: np.ndarray  #: where each line's begin
+
+
+def paragraphs(text: str | None, min_words: int = MIN_WORDS) -> Paragraphs | None:
     data = sh.lowered(text)
+    if len(data) < 2 * min_words - 1:
+        return None
     w, starts, _ = sh.words(data)
     if len(w) < min_words:
-        return []
+        return None
     breaks = np.flatnonzero(np.frombuffer(data, np.uint8) == 10)
     line = np.searchsorted(breaks, starts)
     first = np.flatnonzero(np.r_[True, line[1:] != line[:-1]])
-    upto = np.r_[first[1:], len(line)]
+    size = np.diff(np.r_[first, len(line)])
+    long_ = size >= min_words
+    if not long_.any():
+        return None
+    # The place of a word enters the name, so that order matters.
+    place = (np.arange(1, len(w) + 1) - np.repeat(first, size)).astype(np.uint64)
+    name = sh.mix(np.bitwise_xor.reduceat(sh.mix(w + place * U(0x9E3779B97F4A7C15)), first) + size.astype(np.uint64))[long_]
+    numbers = line[first[long_]]
     edges = np.r_[-1, breaks, len(data)]
-    out = []
-    for lo, hi in zip(first, upto):
-        if hi - lo >= min_words:
-            own = w[lo:hi]
-            # places enter the name, so that the order of words matters
-            name = sh.mix(np.array([np.bitwise_xor.reduce(sh.mix(own + np.arange(1, hi - lo + 1, dtype=np.uint64) * U(0x9E3779B97F4A7C15))) + U(hi - lo)], U))
-            k = int(line[lo])
-            out.append((k, int(name.view(np.int64)[0]), own, int(edges[k] + 1), int(edges[k + 1])))
-    return out
+    inside = np.repeat(long_, size)[: len(w) - sh.WORDS + 1] & (line[: len(w) - sh.WORDS + 1] == line[sh.WORDS - 1 :])
+    at = np.r_[0, np.cumsum(size[long_] - sh.WORDS + 1)[:-1]]
+    return Paragraphs(numbers, name.view(np.int64), edges[numbers] + 1, edges[numbers + 1], sh.shingles(w)[inside], at)
 
 
 def occurrences(docs: DataFrame, min_words: int) -> DataFrame:
@@ -93,10 +123,12 @@ def occurrences(docs: DataFrame, min_words: int) -> DataFrame:
     out = pa.schema([("id", pa.int64()), ("line", pa.int32()), ("name", pa.int64())])
 
     def run(batches):
-        for batch in batches:
-            rows = [(i, k, name) for i, t in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()) for k, name, *_ in paragraphs(t, min_words)]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), out)], schema=out)
+        for batch in slices(batches):
+            found = [(i, p) for i, t in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()) if (p := paragraphs(t, min_words))]
+            if found:
+                ids = np.repeat(np.array([i for i, _ in found], np.int64), [len(p.line) for _, p in found])
+                cols = ids, np.concatenate([p.line for _, p in found]), np.concatenate([p.name for _, p in found])
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((ids, cols[1].astype(np.int32), cols[2]), out)], schema=out)
 
     return docs.mapInArrow(run, "id long, line int, name long")
 
@@ -105,17 +137,16 @@ def _pack(docs: DataFrame, min_words: int, bands: int, rows: int) -> DataFrame:
     buckets = near.buckets_for(docs)
 
     def run(batches):
-        for batch in batches:
-            for start in range(0, batch.num_rows, PACK):
-                names, keys, seen = [], [], set()
-                for t in batch.column("text").slice(start, PACK).to_pylist():
-                    for _, name, own, *_ in paragraphs(t, min_words):
-                        if name not in seen:
-                            seen.add(name)
-                            names.append(name)
-                            keys.append(band_keys(np.unique(sh.shingles(own)), bands, rows))
-                if names:
-                    yield near.packed_rows(np.concatenate(keys), np.repeat(np.arange(len(names)), bands), np.array(names, np.int64), None, buckets, 0)
+        for batch in slices(batches, PACK):
+            names, values = [], []
+            for t in batch.column("text").to_pylist():
+                if p := paragraphs(t, min_words):
+                    names.append(p.name)
+                    values.append(signatures(p.hashes, p.at, bands * rows))
+            if names:
+                names, one = np.unique(np.concatenate(names), return_index=True)
+                keys = band_keys(np.concatenate(values)[one], bands, rows)
+                yield near.packed_rows(keys.ravel(), np.repeat(np.arange(len(names)), bands), names, None, buckets, 0)
 
     return docs.select("text").mapInArrow(run, near.PACKED_DDL)
 
@@ -125,14 +156,13 @@ def _texts(docs: DataFrame, ids: DataFrame, min_words: int) -> DataFrame:
     out = pa.schema([("id", pa.int64()), ("text", pa.string())])
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             found = {}
             for t in batch.column("text").to_pylist():
-                if t:
-                    data = None
-                    for _, name, _, start, end in paragraphs(t, min_words):
+                if p := paragraphs(t, min_words):
+                    data = t.encode("utf-8", "surrogatepass")
+                    for name, start, end in zip(p.name.tolist(), p.start.tolist(), p.end.tolist()):
                         if name not in found:
-                            data = data or t.encode("utf-8", "surrogatepass")
                             found[name] = data[start:end].decode("utf-8", "surrogatepass")
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.string())], schema=out)
@@ -157,7 +187,8 @@ def removals(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_word
 def deduplicate(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, percent: int = PERCENT, removed: str | None = None) -> DataFrame:
     """df with the repeated paragraphs cut from its texts; `removed` names a column for the numbers of cut lines."""
     gone = cut(removals(df, doc_id, text, min_words, percent).select(F.col("id").alias("__id"), F.col("lines").alias("__lines")))
-    met = df.join(gone, F.col(f"`{doc_id}`") == F.col("__id"), "left").drop("__id")
+    # By merging at every size: the cut lists grow with the input, and so does the way they take.
+    met = df.join(gone.hint("merge"), F.col(f"`{doc_id}`") == F.col("__id"), "left").drop("__id")
     # Lines are numbered from 0; filter's second argument is the place.
     kept = F.filter(F.split(F.col(f"`{text}`"), "\n", -1), lambda x, i: ~F.array_contains("__lines", i))
     body = F.when(F.col("__lines").isNull(), F.col(f"`{text}`")).otherwise(F.array_join(kept, "\n"))
