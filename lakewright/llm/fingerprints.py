@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import arrow_schema, partitions
+from .common import arrow_schema, partitions, slices
 
 PRIMES = (2_147_483_647, 2_147_483_629)
 BASES = (911_382_323, 972_663_749)
@@ -191,7 +191,7 @@ def against_next(df: DataFrame) -> DataFrame:
             other = PrefixHashes(changed)
             rows.append((doc_id, len(mine), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), own.fingerprint(), other.fingerprint(), likeness(own, other), likeness(own, hashes)))
 
-        for batch in batches:
+        for batch in slices(batches):
             for doc_id, text, bucket, guest in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "bucket", "guest"))):
                 text = text or ""
                 if before is not None and before[3] == bucket:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from .common import arrow_schema
+from .common import arrow_schema, slices
 
 MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>", re.S)
 NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -278,7 +278,7 @@ def extract(df: DataFrame, html: str = "html", text: str = "text", crf: Crf | No
 
     def run(batches):
         field = Crf(*sent.value)
-        for batch in batches:
+        for batch in slices(batches):
             texts = [main_text(p, field) for p in batch.column(html).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(f.name).cast(out.field(f.name).type) for f in rest] + [pa.array(texts, pa.string())], schema=out)
 

@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from . import near, shingles as sh
-from .common import bounded_broadcast, cut
+from .common import bounded_broadcast, cut, slices
 
 U = np.uint64
 PERCENT = 80
@@ -87,18 +87,18 @@ def _pack(docs: DataFrame, percent: int) -> DataFrame:
 
     def run(batches):
         salt = 0
-        for batch in batches:
-            for start in range(0, batch.num_rows, PACK):
-                part = batch.slice(start, PACK)
-                ids = np.array(part.column("id").to_pylist(), np.int64)
-                sets = [sh.shingle_set(t) for t in part.column("text").to_pylist()]
-                keys = [keys_of(s, percent) for s in sets]
-                places = np.repeat(np.arange(len(ids)), [len(k) for k in keys])
-                sizes = np.array([len(s) for s in sets], np.int64)
-                salt += 1
-                made = near.packed_rows(np.concatenate(keys), places, ids, sizes, buckets, salt * 7 + int(ids[0]))
-                if made is not None:
-                    yield made
+        for part in slices(batches, PACK):
+            ids = np.array(part.column("id").to_pylist(), np.int64)
+            sizes, keys = np.zeros(len(ids), np.int64), []
+            for k, t in enumerate(part.column("text").to_pylist()):
+                s = sh.shingle_set(t)
+                sizes[k] = len(s)
+                keys.append(keys_of(s, percent))
+            places = np.repeat(np.arange(len(ids)), [len(k) for k in keys])
+            salt += 1
+            made = near.packed_rows(np.concatenate(keys), places, ids, sizes, buckets, salt * 7 + int(ids[0]))
+            if made is not None:
+                yield made
 
     return docs.select("id", "text").mapInArrow(run, near.PACKED_DDL)
 

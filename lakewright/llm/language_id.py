@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import arrow_schema
+from .common import arrow_schema, slices
 from .sentencepiece_codec import MARK, codec
 
 UNKNOWN = "und"
@@ -170,7 +170,7 @@ def fit(labelled: DataFrame, model_path: str, doc_id: str = "doc_id", text: str
 
     def count(batches):
         known, sums = codec(model_path), {}
-        for batch in batches:
+        for batch in slices(batches):
             for lang_, packed in zip(batch.column("lang").to_pylist(), known.encode([t.lower() for t in batch.column("text").to_pylist()])):
                 found = np.bincount(np.frombuffer(packed, "<u4"), minlength=vocabulary)
                 sums[lang_] = sums[lang_] + found if lang_ in sums else found
@@ -230,7 +230,7 @@ def predict(df: DataFrame, model: Model, text: str = "text", lang_pred: str = "l
 
     def run(batches):
         scorer = Scorer(Model(*sent.value))
-        for batch in batches:
+        for batch in slices(batches):
             langs, scores = scorer.predict(batch.column(text).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(f.name).cast(out.field(f.name).type) for f in rest] + [pa.array(langs, pa.string()), pa.array(scores, pa.float64())], schema=out)
 

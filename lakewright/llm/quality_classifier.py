@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import arrow_schema, bounded_broadcast
+from .common import arrow_schema, bounded_broadcast, slices
 from .shingles import mix
 
 U = np.uint64
@@ -160,7 +160,7 @@ def predict(df: DataFrame, weights: np.ndarray, text: str = "text", score: str =
 
     def run(batches):
         w = sent.value.astype(np.float64)
-        for batch in batches:
+        for batch in slices(batches):
             scores = []
             for t in batch.column(text).to_pylist():
                 f = features(t)

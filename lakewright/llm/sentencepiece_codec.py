@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
-from .common import arrow_schema
+from .common import arrow_schema, slices
 
 MARK = "▁"
 CHUNK = re.compile(r" +[^ ]*")
@@ -97,14 +97,12 @@ def tokenize(df: DataFrame, model_path: str, text: str = "text", ids: str = "ids
 
     def run(batches):
         known = codec(model_path)
-        for batch in batches:
-            for start in range(0, batch.num_rows, 256):  # a few MB of ids at a time
-                part = batch.slice(start, 256)
-                packed = known.encode(part.column(text).to_pylist())
-                cols = [part.column(c).cast(out.field(c).type) for c in kept] + [pa.array(packed, pa.binary())]
-                if decoded:
-                    cols.append(pa.array(known.decode(packed), pa.string()))
-                yield pa.RecordBatch.from_arrays(cols, schema=out)
+        for part in slices(batches, 256):  # a few MB of ids at a time
+            packed = known.encode(part.column(text).to_pylist())
+            cols = [part.column(c).cast(out.field(c).type) for c in kept] + [pa.array(packed, pa.binary())]
+            if decoded:
+                cols.append(pa.array(known.decode(packed), pa.string()))
+            yield pa.RecordBatch.from_arrays(cols, schema=out)
 
     return df.select([F.col(f"`{f.name}`") for f in rest] + ([] if text in kept else [F.col(f"`{text}`")])).mapInArrow(run, schema)
 
@@ -117,7 +115,7 @@ def decode(df: DataFrame, model_path: str, ids: str = "ids", decoded: str = "dec
 
     def run(batches):
         known = codec(model_path)
-        for batch in batches:
+        for batch in slices(batches, 256):
             texts = known.decode([p or b"" for p in batch.column(ids).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(f.name).cast(out.field(f.name).type) for f in rest] + [pa.array(texts, pa.string())], schema=out)
 
