@@ -5,6 +5,7 @@ Every function gives null for a null text unless its docstring says otherwise.
 
 from __future__ import annotations
 
+import contextlib
 import html as html_lib
 import json
 import re
@@ -439,8 +440,12 @@ def embedded_objects(page: str | None, key: str) -> list[str]:
         return []
     try:
         return [json.dumps(x, sort_keys=True) for x in json.loads(span).get("results", [])]
-    except ValueError:  # broken as a whole: single flat objects that have an id
-        return [json.dumps(json.loads(m), sort_keys=True) for m in re.findall(r'\{"id"[^{}]*\}', span)]
+    except ValueError:  # broken as a whole: the single flat objects with an id that can be read
+        found = []
+        for m in re.findall(r'\{"id"[^{}]*\}', span):
+            with contextlib.suppress(ValueError):
+                found.append(json.dumps(json.loads(m), sort_keys=True))
+        return found
 
 
 def embedded_json(page: Column | str, key: str) -> Column:

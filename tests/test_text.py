@@ -45,7 +45,7 @@ def test_json_recovery(spark):
     assert one(spark, '{"d": {"results": [{"k": 1}], "total": 9}}', tx.find_results) == ['{"k": 1}']
     assert one(spark, '{"d": {"results": [], "totalCount": 9}}', tx.find_total) == 9
     assert one(spark, "broken", tx.find_results) is None
-    page = 'x {\\"subs\\":{\\"results\\":[{\\"id\\":\\"1\\",\\"t\\":\\"a\\\\u0026b\\"}]}} y'
+    page = 'x {\\"subs\\":{\\"results\\":[{\\"id\\":\\"1\\",\\"t\\":\\"a\\u0026b\\"}]}} y'
     assert len(one(spark, page, lambda c: tx.embedded_json(c, "subs"))) == 1
 
 
