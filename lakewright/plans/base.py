@@ -40,9 +40,9 @@ def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(
         F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("slug"),
         F.substring("text", 1, 48).alias("title"),
-        F.substring("text", 49, 240).alias("description"),
+        F.col("text").alias("description"),
         F.array("lang", F.when(F.col("n_chars") < 800, "short").when(F.col("n_chars") < 3000, "medium").otherwise("long")).alias("categories"),
-        F.slice(F.regexp_extract_all(F.substring("text", 1, 300), F.lit("([A-Za-z]{5,})"), 1), 1, 4).alias("tags"),
+        F.slice(F.regexp_extract_all("text", F.lit("([A-Za-z]{5,})"), 1), 1, 4).alias("tags"),
         F.when(F.col("source") != "src7", F.col("source")).alias("ministry"),
         F.when(F.col("lang") == "en", "Central").when(F.col("doc_id") % 11 != 0, F.col("lang")).alias("state"),
         F.col("doc_id"),
@@ -51,9 +51,9 @@ def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CATALOGUE = """catalogue AS (
-  SELECT 'd' || doc_id AS slug, substring(text, 1, 48) AS title, substring(text, 49, 240) AS description,
+  SELECT 'd' || doc_id AS slug, substring(text, 1, 48) AS title, text AS description,
          [lang, CASE WHEN n_chars < 800 THEN 'short' WHEN n_chars < 3000 THEN 'medium' ELSE 'long' END] AS categories,
-         regexp_extract_all(substring(text, 1, 300), '[A-Za-z]{5,}')[1:4] AS tags,
+         regexp_extract_all(text, '[A-Za-z]{5,}')[1:4] AS tags,
          CASE WHEN source <> 'src7' THEN source END AS ministry,
          CASE WHEN lang = 'en' THEN 'Central' WHEN doc_id % 11 <> 0 THEN lang END AS state, doc_id, text
   FROM documents)"""
@@ -67,7 +67,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = {
         "canonical_name": F.substring("text", 1, 30),
         "ministry": F.when(F.col("doc_id") % 4 != 0, F.col("source")),
-        "what_it_is": F.substring("text", 1, 120),
+        "what_it_is": F.col("text"),
         "who_is_eligible": F.when(F.col("quality") == 1, F.substring("text", 31, 80)),
         "exclusions": F.when(F.col("toxic") == 1, F.lit("persons with income; persons abroad")),
         "documents_required": F.when(F.col("doc_id") % 3 == 0, F.array(F.lit("form"), F.col("lang"))).when(F.col("doc_id") % 3 == 1, F.array().cast("array<string>")),
@@ -86,7 +86,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 RECORDS = """records AS (
   SELECT 'catalogue:d' || doc_id AS id, doc_id, round((doc_id % 17) / 16.0, 3)::DOUBLE AS confidence, lang AS state,
          substring(text, 1, 30) AS canonical_name, CASE WHEN doc_id % 4 <> 0 THEN source END AS ministry,
-         substring(text, 1, 120) AS what_it_is, CASE WHEN quality = 1 THEN substring(text, 31, 80) END AS who_is_eligible,
+         text AS what_it_is, CASE WHEN quality = 1 THEN substring(text, 31, 80) END AS who_is_eligible,
          CASE WHEN toxic = 1 THEN 'persons with income; persons abroad' END AS exclusions,
          CASE WHEN doc_id % 3 = 0 THEN ['form', lang] WHEN doc_id % 3 = 1 THEN []::VARCHAR[] END AS documents_required,
          CASE WHEN doc_id % 5 = 0 THEN (doc_id % 7)::DOUBLE END AS fee_amount, CASE WHEN doc_id % 5 = 1 THEN 'see notice' END AS fee_notes,

@@ -108,9 +108,10 @@ def provenance_checks(spark, d):
 
 
 @register("text_to_list", """SELECT doc_id, len(CASE WHEN len(lines) > 1 THEN lines ELSE [trim(text)] END) AS n, (CASE WHEN len(lines) > 1 THEN lines ELSE [trim(text)] END)[1] AS first
-FROM (SELECT doc_id, text, list_filter(list_transform(string_split(trim(text), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS lines FROM documents WHERE NOT regexp_matches(text, '(^|\\s)\\d{1,2}[.)]\\s') AND NOT regexp_matches(text, '(^|\\n)\\s*[-*•]\\s'))""")
+FROM (SELECT doc_id, text, CASE WHEN len(bullets) > 1 THEN bullets ELSE list_filter(list_transform(string_split(trim(text), chr(10)), lambda x: trim(x)), lambda x: x <> '') END AS lines
+  FROM (SELECT *, list_filter(list_transform(regexp_split_to_array(text, '(?:^|\\n)\\s*(?:\\d+[.)]|[-*•])\\s+'), lambda x: trim(x)), lambda x: x <> '') AS bullets FROM documents))""")
 def text_to_list(spark, d):
-    docs = table(spark, d, "documents").where(~F.col("text").rlike(r"(^|\s)\d{1,2}[.)]\s") & ~F.col("text").rlike(r"(^|\n)\s*[-*•]\s"))
+    docs = table(spark, d, "documents")
     items = tx.to_list("text")
     return docs.select("doc_id", F.size(items).alias("n"), F.get(items, F.lit(0)).alias("first"))
 

@@ -28,24 +28,23 @@ def folded_names(spark, d):
     return table(spark, d, "nation").select("n_nationkey", tx.fold(F.concat(F.lit("The "), "n_name", F.lit(" & Co."))).alias("folded"))
 
 
-@register("query_terms", "SELECT doc_id, array_to_string(list_filter(list_transform(regexp_extract_all(substring(text, 1, 200), '[\\p{L}\\p{Nl}\\p{No}]+'), lambda w: lower(w)), lambda w: length(w) > 2 AND NOT list_contains([" + ",".join(f"'{w}'" for w in tx.NOISE) + "], w))[1:3], ' | ') AS first_terms FROM documents")
+@register("query_terms", "SELECT doc_id, array_to_string(list_filter(list_transform(regexp_extract_all(text, '[\\p{L}\\p{Nl}\\p{No}]+'), lambda w: lower(w)), lambda w: length(w) > 2 AND NOT list_contains([" + ",".join(f"'{w}'" for w in tx.NOISE) + "], w))[1:3], ' | ') AS first_terms FROM documents")
 def query_terms(spark, d):
-    body = F.substring("text", 1, 200)
-    words = F.filter(F.transform(F.regexp_extract_all(body, F.lit(r"([\p{L}\p{Nl}\p{No}]+)"), 1), F.lower), lambda w: (F.length(w) > 2) & ~w.isin(tx.NOISE))
+    words = F.filter(F.transform(F.regexp_extract_all("text", F.lit(r"([\p{L}\p{Nl}\p{No}]+)"), 1), F.lower), lambda w: (F.length(w) > 2) & ~w.isin(tx.NOISE))
     return table(spark, d, "documents").select("doc_id", F.array_join(F.slice(words, 1, 3), " | ").alias("first_terms"))
 
 
 @register("any_term_query")
 def any_term_query(spark, d):
-    return table(spark, d, "documents").select("doc_id", tx.any_term_query(F.substring("text", 1, 300)).alias("query"))
+    return table(spark, d, "documents").select("doc_id", tx.any_term_query("text").alias("query"))
 
 
 @register("spacing_marks", """SELECT doc_id, round(CASE WHEN w > 0 THEN 100.0::DOUBLE * s / w ELSE 0 END, 6) AS single_pct, g AS glued,
   (CASE WHEN w > 0 THEN 100.0::DOUBLE * s / w ELSE 0 END) > 8 OR g >= 1 OR r > 2 AS corrupt
 FROM (SELECT doc_id, len(ws) AS w, len(list_filter(ws, lambda x: regexp_full_match(x, '\\p{L}'))) AS s, len(regexp_extract_all(text, '\\b[A-Za-z]{25,}\\b')) AS g,
-      len(regexp_extract_all(text, '(?:\\b[A-Za-z]\\s){4,}')) AS r FROM (SELECT doc_id, text, regexp_extract_all(text, '\\S+') AS ws FROM documents WHERE lang = 'en'))""")
+      len(regexp_extract_all(text, '(?:\\b[A-Za-z]\\s){4,}')) AS r FROM (SELECT doc_id, text, regexp_extract_all(text, '\\S+') AS ws FROM documents))""")
 def spacing_marks(spark, d):
-    m = table(spark, d, "documents").where("lang = 'en'").select("doc_id", tx.spacing("text").alias("m"))
+    m = table(spark, d, "documents").select("doc_id", tx.spacing("text").alias("m"))
     return m.select("doc_id", F.round("m.single_pct", 6).alias("single_pct"), "m.glued", tx.is_corrupt(F.col("m")).alias("corrupt"))
 
 
@@ -84,10 +83,10 @@ _TOKENS = "regexp_extract_all(lower(regexp_replace({}, '-\\s+', '', 'g')), '[a-z
 
 
 def _pairs(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.substring("text", 1, 1500).alias("stored"), "text", F.substring("text", 200, 2500).alias("source"))
+    return table(spark, d, "documents").select("doc_id", F.replace("text", F.lit("tion"), F.lit("- tiom ")).alias("stored"), "text", F.col("text").alias("source"))
 
 
-_RECALL = f"""docs AS (SELECT doc_id, substring(text, 1, 1500) AS stored, substring(text, 200, 2500) AS source FROM documents),
+_RECALL = f"""docs AS (SELECT doc_id, replace(text, 'tion', '- tiom ') AS stored, text AS source FROM documents),
 st AS (SELECT doc_id, t, count(*) AS n FROM (SELECT doc_id, unnest({_TOKENS.format("stored")}) AS t FROM docs) GROUP BY doc_id, t),
 src AS (SELECT doc_id, t, count(*) AS n FROM (SELECT doc_id, unnest({_TOKENS.format("source")}) AS t FROM docs) GROUP BY doc_id, t),
 bags AS (SELECT coalesce(st.doc_id, src.doc_id) AS doc_id, coalesce(st.n, 0) AS a, coalesce(src.n, 0) AS b FROM st FULL JOIN src ON st.doc_id = src.doc_id AND st.t = src.t),
@@ -112,30 +111,30 @@ def document_flags(spark, d):
     return p.join(token_recall(p), "doc_id").select("doc_id", F.array_join(flags(F.col("recall"), F.col("text")), ",").alias("flags"))
 
 
-@register("quotes_on_pages", "SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(lower(trim(regexp_replace(d.text, '\\s+', ' ', 'g'))), substring(lower(trim(regexp_replace(b.text, '\\s+', ' ', 'g'))), 1, 60)) WHERE item_id % 5 = 0")
+@register("quotes_on_pages", "SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(lower(trim(regexp_replace(d.text, '\\s+', ' ', 'g'))), substring(lower(trim(regexp_replace(b.text, '\\s+', ' ', 'g'))), 1, 60))")
 def quotes_on_pages(spark, d):
-    b = F.broadcast(table(spark, d, "benchmark").where("item_id % 5 = 0").select("item_id", F.col("text").alias("quote")))  # a benchmark's fixed set
+    b = F.broadcast(table(spark, d, "benchmark").select("item_id", F.col("text").alias("quote")))  # a benchmark's fixed set
     return b.join(table(spark, d, "documents"), tx.quote_on_page(F.col("quote"), F.col("text"))).select("item_id", "doc_id")
 
 
-@register("grounding", "SELECT doc_id, contains(lower(text), lower(substring(substring(text, 20, 60), 1, 40))) AS grounded, contains(replace(text, ',', ''), (doc_id % 100)::VARCHAR) AS number_grounded FROM documents WHERE length(text) > 60")
+@register("grounding", "SELECT doc_id, CASE WHEN length(substring(text, 20, 60)) > 3 THEN contains(lower(text), lower(substring(substring(text, 20, 60), 1, 40))) END AS grounded, contains(replace(text, ',', ''), (doc_id % 100)::VARCHAR) AS number_grounded FROM documents")
 def grounding(spark, d):
-    docs = table(spark, d, "documents").where("length(text) > 60")
+    docs = table(spark, d, "documents")
     return docs.select("doc_id", tx.is_grounded(F.substring("text", 20, 60), F.col("text")).alias("grounded"), tx.is_number_grounded(F.col("doc_id") % 100, F.col("text")).alias("number_grounded"))
 
 
 @register("probe_coverage", """WITH p AS (SELECT doc_id, text, list_filter(list_transform(string_split(text, chr(10)), lambda x: list_filter(regexp_split_to_array(x, '\\s+'), lambda w: w <> '')), lambda w: len(w) >= 8) AS pages FROM documents)
-SELECT doc_id, len(list_filter(pages, lambda w: contains(lower(trim(regexp_replace(substring(text, 1, 2000), '\\s+', ' ', 'g'))), lower(array_to_string(w[1:6], ' '))))) AS covered, len(pages) AS pages FROM p""")
+SELECT doc_id, len(list_filter(pages, lambda w: contains(lower(trim(regexp_replace(replace(text, 'the ', 'tha '), '\\s+', ' ', 'g'))), lower(array_to_string(w[1:6], ' '))))) AS covered, len(pages) AS pages FROM p""")
 def probes(spark, d):
-    x = tx.probe_coverage(F.split("text", "\n"), F.substring("text", 1, 2000))
+    x = tx.probe_coverage(F.split("text", "\n"), F.replace("text", F.lit("the "), F.lit("tha ")))
     return table(spark, d, "documents").select("doc_id", x.alias("x")).select("doc_id", "x.covered", (F.col("x.covered") + F.col("x.missing")).alias("pages"))
 
 
 @register("redacted", """SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(t, '(?i)(api[-_]?key=)[^&\\s]+', '\\1***', 'g'), '(?i)(Bearer\\s+)[A-Za-z0-9._\\-]+', '\\1***', 'g'), '(?i)(sk-[A-Za-z0-9\\-]{8,})', '\\1***', 'g') AS body
-FROM (SELECT doc_id, 'GET /x?api_key=k' || doc_id || '&q=1 Bearer tok.' || doc_id || ' sk-abcdef' || doc_id || ' ' || substring(text, 1, 100) AS t FROM documents)""")
+FROM (SELECT doc_id, 'GET /x?api_key=k' || doc_id || '&q=1 Bearer tok.' || doc_id || ' sk-abcdef' || doc_id || ' ' || text AS t FROM documents)""")
 def redacted(spark, d):
     k = F.col("doc_id").cast("string")
-    t = F.concat(F.lit("GET /x?api_key=k"), k, F.lit("&q=1 Bearer tok."), k, F.lit(" sk-abcdef"), k, F.lit(" "), F.substring("text", 1, 100))
+    t = F.concat(F.lit("GET /x?api_key=k"), k, F.lit("&q=1 Bearer tok."), k, F.lit(" sk-abcdef"), k, F.lit(" "), "text")
     return table(spark, d, "documents").select("doc_id", tx.redact(t).alias("body"))
 
 
@@ -200,13 +199,13 @@ def method_medians(spark, d):
     return method_summary(table(spark, d, "documents").withColumnRenamed("source", "method"), "method", "n_chars")
 
 
-@register("licences", """SELECT site, licence, path FROM (SELECT 's' || (page_id % 40) AS site, ['/terms', '/copyright', '/about', '/disclaimer'][(page_id % 4 + 1)::INT] AS path,
-  [NULL, 'CC-BY', 'public-domain', 'GODL-India', 'all-rights-reserved'][(page_id % 5 + 1)::INT] AS licence, page_id FROM pages WHERE page_id < 40) WHERE licence IS NOT NULL AND path <> '/about'""")
+@register("licences", """SELECT site, arg_min(licence, place) AS licence, arg_min(path, place) AS path FROM (SELECT 's' || (page_id // 4) AS site, ['/terms', '/copyright', '/about', '/disclaimer'][(page_id % 4 + 1)::INT] AS path, [6, 4, NULL, 7][(page_id % 4 + 1)::INT] AS place,
+  [NULL, 'CC-BY', 'public-domain', 'GODL-India', 'all-rights-reserved'][(page_id % 5 + 1)::INT] AS licence FROM pages) WHERE licence IS NOT NULL AND place IS NOT NULL GROUP BY site""")
 def licences(spark, d):
     k = F.col("page_id")
     path = F.get(F.array(*[F.lit(x) for x in ("/terms", "/copyright", "/about", "/disclaimer")]), (k % 4).cast("int"))
     body = F.get(F.array(*[F.lit(x) for x in ("none", "<b>Creative Commons</b> Creative Commons Attribution", "public domain", "GODL, all rights reserved", "All Rights Reserved")]), (k % 5).cast("int"))
-    return filters.licence(table(spark, d, "pages").where("page_id < 40").select(F.concat(F.lit("s"), (k % 40).cast("string")).alias("site"), path.alias("path"), body.alias("body")))
+    return filters.licence(table(spark, d, "pages").select(F.concat(F.lit("s"), F.floor(k / 4).cast("string")).alias("site"), path.alias("path"), body.alias("body")))
 
 
 @register("robots", "SELECT s_suppkey, CASE WHEN s_suppkey % 4 = 0 THEN TRUE WHEN s_suppkey % 4 = 1 THEN s_suppkey % 8 = 1 WHEN s_suppkey % 4 = 2 THEN FALSE END AS allows FROM supplier")

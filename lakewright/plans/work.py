@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from ..functions import scalars
 from ..functions.records import snippet
@@ -211,9 +211,9 @@ def merge_context(spark, d):
     return dedup.merge_context(fresh, carried)
 
 
-@register("context_blocks", "SELECT conv_id, string_agg(substring(text, 1, 40), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY turn) AS context FROM conversations GROUP BY conv_id")
+@register("context_blocks", "SELECT conv_id, string_agg(text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY turn) AS context FROM conversations GROUP BY conv_id")
 def context_blocks(spark, d):
-    return conv.context_block(table(spark, d, "conversations").select("conv_id", F.col("turn").alias("rank"), F.substring("text", 1, 40).alias("snippet")))
+    return conv.context_block(table(spark, d, "conversations").select("conv_id", F.col("turn").alias("rank"), F.col("text").alias("snippet")))
 
 
 @register("prompt_messages", """WITH h AS (SELECT conv_id, turn, role, content FROM (SELECT conv_id, turn, role, substring(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), 1, 700) AS content, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) WHERE n <= 6 AND role IN ('user', 'assistant') AND content <> '')
@@ -225,10 +225,12 @@ def prompt_messages(spark, d):
     return m.select("conv_id", F.size("messages").cast("long").alias("n"), F.element_at("messages", -1)["content"].alias("last"))
 
 
-@register("event_rows", """SELECT conv_id, 3 + (length(t) + 11) // 12 AS events FROM (SELECT conv_id, string_agg(substring(text, 1, 12), '' ORDER BY turn) AS t FROM conversations WHERE length(text) >= 12 GROUP BY conv_id)""")
+@register("event_rows", """SELECT conv_id, 3 + ((length(t) + 4) // 5 + 2) // 3 AS events FROM (SELECT conv_id, string_agg(text, '' ORDER BY turn) AS t FROM conversations GROUP BY conv_id)""")
 def event_rows(spark, d):
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("turn", F.substring("text", 1, 12).alias("t")))), lambda x: x["t"])
-    said = table(spark, d, "conversations").where("length(text) >= 12").groupBy("conv_id").agg(ordered.alias("deltas"))
+    """Whole conversations as deltas of five characters."""
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"])
+    deltas = F.regexp_extract_all(F.array_join(ordered, ""), F.lit("(?s)(.{1,5})"), 1)
+    said = table(spark, d, "conversations").groupBy("conv_id").agg(deltas.alias("deltas"))
     rows = conv.events(said.withColumn("error", F.lit(None).cast("string")).withColumn("citations", F.array(F.lit("d1"))))
     return rows.groupBy("conv_id").agg(F.count(F.lit(1)).alias("events"))
 
@@ -237,9 +239,11 @@ def event_rows(spark, d):
 def context_snippets(spark, d):
     """Blocks of the six longest entries of each source, as a prompt would hold them."""
     r = records(spark, d).select("id", "payload")
-    c = catalogue(spark, d).join(r, F.concat(F.lit("catalogue:"), "slug") == F.col("id"), "left").where("ministry is not null")
-    s = c.select(F.col("ministry").alias("conv_id"), F.col("doc_id").alias("rank"), snippet(F.col("title"), F.col("ministry"), F.col("categories"), F.col("description"), F.col("payload")).alias("snippet"))
-    return conv.context_block(s.where("rank % 7 = 0"))
+    place = F.row_number().over(Window.partitionBy("ministry").orderBy(F.desc(F.length("text")), "doc_id"))
+    best = catalogue(spark, d).where("ministry is not null").withColumn("rank", place).where("rank <= 6")
+    c = best.join(r, F.concat(F.lit("catalogue:"), "slug") == F.col("id"), "left")
+    s = c.select(F.col("ministry").alias("conv_id"), "rank", snippet(F.col("title"), F.col("ministry"), F.col("categories"), F.col("description"), F.col("payload")).alias("snippet"))
+    return conv.context_block(s)
 
 
 @register("sampled_rows", "SELECT doc_id FROM documents ORDER BY md5(doc_id || '/3'), doc_id LIMIT 50")
