@@ -264,6 +264,56 @@ def null_audit(spark, d):
     return audit(nulls, answers)
 
 
+@register("reachable_pages", "SELECT page_id, url FROM pages WHERE url IN (SELECT url FROM pages WHERE page_id % 7 <> 3)")
+def reachable_pages(spark, d):
+    """Pages whose link check was fine, by a semi join."""
+    pages = table(spark, d, "pages")
+    checked = pages.select("url", F.when(F.col("page_id") % 7 == 3, "dns_fail").otherwise("ok").alias("status"))
+    return pages.join(checked.where("status = 'ok'"), "url", "left_semi").select("page_id", "url")
+
+
+@register("category_distribution", f"WITH {CATALOGUE} SELECT category, count(*) AS n FROM (SELECT unnest(categories) AS category FROM catalogue) GROUP BY category")
+def category_distribution(spark, d):
+    return facets.category_facet(catalogue(spark, d))
+
+
+@register("state_distribution", f"WITH {CATALOGUE} SELECT coalesce(state, 'unknown') AS state, count(*) AS n FROM catalogue GROUP BY 1")
+def state_distribution(spark, d):
+    return catalogue(spark, d).groupBy(F.coalesce("state", F.lit("unknown")).alias("state")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("theme_counts", "SELECT CASE WHEN regexp_matches(p_type, '(?i)steel|court') THEN 'x' ELSE 'other' END AS theme, count(*) AS n FROM part GROUP BY 1")
+def theme_counts(spark, d):
+    named = filters.first_match("p_type", [("x", "steel|court")])
+    return table(spark, d, "part").groupBy(F.coalesce(named, F.lit("other")).alias("theme")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("title_order", "SELECT p_partkey, row_number() OVER (ORDER BY lower(coalesce(p_name, '')), p_partkey) AS place FROM part ORDER BY lower(coalesce(p_name, '')), p_partkey LIMIT 100")
+def title_order(spark, d):
+    """The head of a listing by title, case aside."""
+    from ..operators.retrieval import positioned, top
+
+    rows = table(spark, d, "part").select("p_partkey", F.lower(F.coalesce("p_name", F.lit(""))).alias("t"))
+    return positioned(top(rows, 100, "t", "p_partkey"), "t", "p_partkey").select("p_partkey", (F.col("position") + 1).alias("place"))
+
+
+@register("vectors_missing", "SELECT d.doc_id FROM documents d WHERE d.doc_id NOT IN (SELECT vec_id FROM embeddings) AND text <> ''")
+def vectors_missing(spark, d):
+    """Rows an incremental embedding run would take."""
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"))
+    return table(spark, d, "documents").where("text <> ''").join(v, "doc_id", "left_anti").select("doc_id")
+
+
+@register("retry_waits", "SELECT o_orderkey, least(power(2, o_orderkey % 8), 30)::INT AS wait FROM orders")
+def retry_waits(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", scalars.backoff(F.col("o_orderkey") % 8).alias("wait"))
+
+
+@register("page_megabytes", "SELECT page_id, (strlen(html) * 1000 // 1048576)::BIGINT AS mb FROM pages")
+def page_megabytes(spark, d):
+    return table(spark, d, "pages").select("page_id", scalars.megabytes(scalars.utf8_bytes("html") * 1000).cast("long").alias("mb"))
+
+
 def queries():
     return register.queries
 
