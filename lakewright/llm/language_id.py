@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import arrow_schema, slices
+from .common import arrow_schema, slices, small_batches
 from .sentencepiece_codec import MARK, codec
 
 UNKNOWN = "und"
@@ -41,7 +41,6 @@ RARE = 1e-9
 #: Words that one task remembers; beyond, the memory is emptied, which costs time only.
 REMEMBER = 200_000
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-LETTER = re.compile(r"[^\W\d_]")
 
 
 @dataclass(frozen=True)
@@ -158,6 +157,7 @@ def _forward(marked: list[str], known: Trie, probabilities: np.ndarray) -> np.nd
 
 def fit(labelled: DataFrame, model_path: str, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", docs_per_lang: int = DOCS_PER_LANG) -> Model:
     """Learn from the rows given; those of null text or language are left out."""
+    small_batches(labelled.sparkSession)
     rows = labelled.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang")).where("text is not null and lang is not null")
     per_lang = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row a language
     languages = tuple(sorted(per_lang))
@@ -202,7 +202,7 @@ class Scorer:
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         langs, scores = [], []
         for start in range(0, len(texts), 256):
-            split = [WORD.findall(t.lower()) if t and LETTER.search(t) else [] for t in texts[start : start + 256]]
+            split = [WORD.findall(t.lower()) if t and any(map(str.isalpha, t)) else [] for t in texts[start : start + 256]]
             fresh = {w for words in split for w in words if w not in self.place}
             if len(self.place) + len(fresh) > REMEMBER:
                 self.place.clear()
@@ -223,6 +223,7 @@ class Scorer:
 
 def predict(df: DataFrame, model: Model, text: str = "text", lang_pred: str = "lang_pred", score: str = "score") -> DataFrame:
     """df with the predicted language and its score."""
+    small_batches(df.sparkSession)
     rest = [f for f in df.schema.fields if f.name not in (lang_pred, score)]
     schema = StructType(rest + [StructField(lang_pred, StringType()), StructField(score, DoubleType())])
     out = arrow_schema(schema)
