@@ -332,10 +332,18 @@ def quote_on_page(quote: Column, page: Column, length: int = 60) -> Column:
     return F.lower(squeeze(page)).contains(F.substring(F.lower(squeeze(quote)), 1, length))
 
 
-def probe_coverage(pages: Column, stored: Column) -> Column:
-    """struct(covered, missing): pages of eight words or more whose first six are in the stored text."""
+def flat(c: Column | str) -> Column:
+    return F.lower(squeeze(c))
+
+
+def probe_coverage(pages: Column, stored: str) -> Column:
+    """struct(covered, missing): pages of eight words or more whose first six are in the stored text.
+
+    `stored` names a column that holds flat() of the text: it is searched once a page, and
+    an expression in its place would be made anew each time.
+    """
     first = F.transform(F.filter(F.transform(pages, lambda p: F.filter(F.split(p, r"\s+"), lambda w: w != "")), lambda w: F.size(w) >= 8), lambda w: F.lower(F.array_join(F.slice(w, 1, 6), " ")))
-    hit = F.size(F.filter(first, lambda p: F.lower(squeeze(stored)).contains(p)))
+    hit = F.size(F.filter(first, lambda p: F.col(stored).contains(p)))
     return F.struct(hit.alias("covered"), (F.size(first) - hit).alias("missing"))
 
 

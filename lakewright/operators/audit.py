@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.text import common_share, is_corrupt, quote_on_page, recall_tokens, spacing
+from ..functions.text import common_share, is_corrupt, quote_on_page, recall_tokens, spacing, squeeze
 
 # --- Fixed values: lexical evidence of each field. ---
 EVIDENCE = {
@@ -59,6 +59,31 @@ def null_audit(nulls: DataFrame, answers: DataFrame) -> DataFrame:
     return out.select("doc_id", "field", "evidence", judged.alias("verdict"))
 
 
+def find_quotes(pages: DataFrame, quotes: DataFrame, page_id: str, quote_id: str, text: str = "text", quote: str = "quote", length: int = 60) -> DataFrame:
+    """(quote_id, page_id) of quotes whose first characters are on a page, white space and case aside.
+
+    The second to fourth words of a quote's start stand whole on any page that has it,
+    so an equality join on three words in a row finds the candidates, which are then
+    searched.  Quotes too short for that are compared with every page.
+    """
+    flat = lambda c: F.lower(squeeze(c))
+    three = lambda w, i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
+    needles = quotes.select(quote_id, F.substring(flat(quote), 1, length).alias("needle")).where("needle <> ''")
+    words = F.split("needle", " ")
+    needles = needles.withColumn("anchor", F.when(F.size(words) >= 5, three(words, F.lit(1))))
+    # The words are a column of their own: an expression inside the lambda would be split for every word.
+    own = F.col("own")
+    grams = F.array_distinct(F.transform(own, lambda _, i: three(own, i)))
+    placed = pages.select(page_id, F.split(flat(text), " ").alias("own")).select(page_id, F.explode(grams).alias("anchor"))
+    near = placed.join(needles.where("anchor is not null"), "anchor").select(page_id, quote_id, "needle")
+    found = pages.select(page_id, flat(text).alias("flat")).join(near, page_id).where(F.col("flat").contains(F.col("needle")))
+    short = needles.where("anchor is null").select(quote_id, "needle")
+    if short.isEmpty():
+        return found.select(quote_id, page_id).distinct()
+    rest = pages.select(page_id, flat(text).alias("flat")).join(short, F.col("flat").contains(F.col("needle")))
+    return found.select(quote_id, page_id).unionByName(rest.select(quote_id, page_id)).distinct()
+
+
 def token_recall(pairs: DataFrame, key: str = "doc_id", stored: str = "stored", source: str = "source") -> DataFrame:
     """(key, recall, extra): share of the source's tokens that are stored, and of the stored ones that are not the source's.
 

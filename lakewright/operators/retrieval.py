@@ -61,14 +61,20 @@ def all_rank(doc: Column, terms: Column) -> Column:
     return F.when(F.size(terms) > 1, combined).otherwise(any_rank(doc, terms))
 
 
+def _literals(spark, *columns: Column) -> list[Column]:
+    """Arrays made of literals only, evaluated once, so that no row and no lambda makes them again."""
+    row = spark.range(1).select(*[c.alias(f"c{i}") for i, c in enumerate(columns)]).first()
+    return [F.array(*[F.lit(x) for x in row[i]]) if row[i] else F.array().cast("array<string>") for i in range(len(columns))]
+
+
 def lexical_tiers(catalogue: DataFrame, question: str, document: Column, title: str = "title", key: str = "slug") -> DataFrame:
     """(key, tier, score): 0 every word, 1 any meaningful word, 2 a like title; each key at its best tier."""
     q = F.lit(question)
     words = catalogue.select(key, title, lexemes(document).alias("doc"))
-    every, some = F.array_distinct(lexemes(q)), query_terms(q)
+    every, some, pieces = _literals(catalogue.sparkSession, F.array_distinct(lexemes(q)), query_terms(q), trigrams(q))
     precise = top(words.where(all_terms(F.col("doc"), every)).select(key, F.lit(0).alias("tier"), all_rank(F.col("doc"), every).alias("score")), 40, F.desc("score"), key)
     loose = top(words.where(any_term(F.col("doc"), some)).select(key, F.lit(1).alias("tier"), any_rank(F.col("doc"), some).alias("score")), 40, F.desc("score"), key)
-    like = trigram_similarity(trigrams(title), trigrams(q))
+    like = trigram_similarity(trigrams(title), pieces)
     fuzzy = top(catalogue.select(key, F.lit(2).alias("tier"), like.alias("score")).where("score > 0.25"), 20, F.desc("score"), key)
     rows = precise.unionByName(loose).unionByName(fuzzy)
     best = Window.partitionBy(key).orderBy("tier", F.desc("score"))
@@ -105,9 +111,8 @@ def fused_top(rankings: list[DataFrame], n: int = POOL, key: str = "slug") -> Da
     return top(fuse(rankings, key), n, F.desc("score"), "list", "position", key)
 
 
-def lexical_overlap(question: str, text: Column) -> Column:
-    """Share of the question's meaningful words that a text has: a stand-in order, not a model's."""
-    terms = query_terms(F.lit(question))
+def lexical_overlap(terms: Column, text: Column) -> Column:
+    """Share of a question's terms that a text has: a stand-in order, not a model's."""
     return F.size(F.array_intersect(terms, lexemes(text))) / F.greatest(F.size(terms), F.lit(1))
 
 
@@ -126,7 +131,8 @@ def retrieve(catalogue: DataFrame, vectors: DataFrame, rules: DataFrame, questio
     fused = positioned(fused_top([lex, one, two], pool).drop("list", "position"), F.desc("score"), "slug")
     rows = fused.join(catalogue.select("slug", "title", document.alias("__doc")), "slug")
     if reranked:
-        rows = rerank(rows, lexical_overlap(question, F.col("__doc")), k)
+        (terms,) = _literals(catalogue.sparkSession, query_terms(F.lit(question)))
+        rows = rerank(rows, lexical_overlap(terms, F.col("__doc")), k)
     return top(rows, k, "position").select("slug", "title", F.round("score", 9).alias("score"), "position")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import records as rec, text as tx
 from ..operators import facets, filters
-from ..operators.audit import flags, link_bucket, method_summary, token_recall
+from ..operators.audit import find_quotes, flags, link_bucket, method_summary, token_recall
 from ..operators.dedup import exact_groups
 from .base import Registry, table
 
@@ -113,8 +113,8 @@ def document_flags(spark, d):
 
 @register("quotes_on_pages", "SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(lower(trim(regexp_replace(d.text, '\\s+', ' ', 'g'))), substring(lower(trim(regexp_replace(b.text, '\\s+', ' ', 'g'))), 1, 60))")
 def quotes_on_pages(spark, d):
-    b = F.broadcast(table(spark, d, "benchmark").select("item_id", F.col("text").alias("quote")))  # a benchmark's fixed set
-    return b.join(table(spark, d, "documents"), tx.quote_on_page(F.col("quote"), F.col("text"))).select("item_id", "doc_id")
+    quotes = table(spark, d, "benchmark").select("item_id", F.col("text").alias("quote"))
+    return find_quotes(table(spark, d, "documents"), quotes, "doc_id", "item_id")
 
 
 @register("grounding", "SELECT doc_id, CASE WHEN length(substring(text, 20, 60)) > 3 THEN contains(lower(text), lower(substring(substring(text, 20, 60), 1, 40))) END AS grounded, contains(replace(text, ',', ''), (doc_id % 100)::VARCHAR) AS number_grounded FROM documents")
@@ -126,8 +126,8 @@ def grounding(spark, d):
 @register("probe_coverage", """WITH p AS (SELECT doc_id, text, list_filter(list_transform(string_split(text, chr(10)), lambda x: list_filter(regexp_split_to_array(x, '\\s+'), lambda w: w <> '')), lambda w: len(w) >= 8) AS pages FROM documents)
 SELECT doc_id, len(list_filter(pages, lambda w: contains(lower(trim(regexp_replace(replace(text, 'the ', 'tha '), '\\s+', ' ', 'g'))), lower(array_to_string(w[1:6], ' '))))) AS covered, len(pages) AS pages FROM p""")
 def probes(spark, d):
-    x = tx.probe_coverage(F.split("text", "\n"), F.replace("text", F.lit("the "), F.lit("tha ")))
-    return table(spark, d, "documents").select("doc_id", x.alias("x")).select("doc_id", "x.covered", (F.col("x.covered") + F.col("x.missing")).alias("pages"))
+    docs = table(spark, d, "documents").withColumn("stored", tx.flat(F.replace("text", F.lit("the "), F.lit("tha "))))
+    return docs.select("doc_id", tx.probe_coverage(F.split("text", "\n"), "stored").alias("x")).select("doc_id", "x.covered", (F.col("x.covered") + F.col("x.missing")).alias("pages"))
 
 
 @register("redacted", """SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(t, '(?i)(api[-_]?key=)[^&\\s]+', '\\1***', 'g'), '(?i)(Bearer\\s+)[A-Za-z0-9._\\-]+', '\\1***', 'g'), '(?i)(sk-[A-Za-z0-9\\-]{8,})', '\\1***', 'g') AS body
