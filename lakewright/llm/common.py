@@ -36,25 +36,50 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+_written: list[str] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write a frame to the shared folder and read it again.
 
     Lineage ends here, and a lost executor costs no recomputation of what came
     before.  Parquet rather than checkpoint() because it is compressed and the
-    next reader can prune columns.
+    next reader can prune columns.  clear() deletes what a session has written.
     """
     path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Delete the tables that cut() has written; results that are still lazy must not need them."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    while _written:
+        path = hadoop(_written.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def bounded_broadcast(df: DataFrame, limit: int) -> DataFrame:
     """Mark a frame for broadcast if it has at most `limit` rows, else leave it.
 
-    The count stops at limit + 1 rows.  Beyond the limit the planner joins by
-    shuffle, with adaptive skew splitting.
+    The rows are counted first; beyond the limit the planner joins by shuffle, with
+    adaptive skew splitting.
+    """
+    return F.broadcast(df) if df.count() <= limit else df
+
+
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower Spark's default of 10,000 rows in a batch sent to Python to 500.
+
+    So many texts take tens of MB off the heap in every task, however long they are.
+    A session that has set a number of its own keeps it.
     """
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    if spark.conf.get(BATCH_ROWS) == "10000":
+        spark.conf.set(BATCH_ROWS, "500")
 
 
 def slices(batches, rows: int = 512):
@@ -64,6 +89,19 @@ def slices(batches, rows: int = 512):
             yield batch.slice(start, rows)
 
 
+def packs(batches, rows: int):
+    """Tables of about so many rows, gathered from smaller batches."""
+    held, n = [], 0
+    for batch in slices(batches, rows):
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            yield pa.Table.from_batches(held)
+            held, n = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def arrow_schema(schema) -> pa.Schema:
     return pa.schema([pa.field(f.name, to_arrow_type(f.dataType)) for f in schema])
 

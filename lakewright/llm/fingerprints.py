@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import arrow_schema, partitions, slices
+from .common import arrow_schema, partitions, slices, small_batches
 
 PRIMES = (2_147_483_647, 2_147_483_629)
 BASES = (911_382_323, 972_663_749)
@@ -179,6 +179,7 @@ def against_next(df: DataFrame) -> DataFrame:
     """Fingerprints of every text, of its edited text, and their likeness (see OUT)."""
     from pyspark.sql.types import StructType
 
+    small_batches(df.sparkSession)
     out = arrow_schema(StructType.fromDDL(OUT))
 
     def run(batches):

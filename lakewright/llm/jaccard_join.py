@@ -17,8 +17,8 @@ are the keys; near.link() verifies what collides and finds components.
 Exact copies are reduced to their least id beforehand and take its component.
 
 Defined cases: texts without words and null texts have an empty set, link with nothing
-and are their own component; a null id passes with a null component; rows of one id
-are one node; other columns are ignored.  An empty table gives an empty result.
+and are their own component; a null id passes with a null component and, unless
+another document has the same text, size 0; rows of one id are one node; other columns are ignored.  An empty table gives an empty result.
 
 Scale: keys are about 0.4 a shingle, packed; a key held by many yields a star, not
 pairs.  Copies are counted, and only their narrow rows are shuffled.
@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from . import near, shingles as sh
-from .common import bounded_broadcast, cut, slices
+from .common import bounded_broadcast, cut, packs, small_batches
 
 U = np.uint64
 PERCENT = 80
@@ -87,7 +87,7 @@ def _pack(docs: DataFrame, percent: int) -> DataFrame:
 
     def run(batches):
         salt = 0
-        for part in slices(batches, PACK):
+        for part in packs(batches, PACK):
             ids = np.array(part.column("id").to_pylist(), np.int64)
             sizes, keys = np.zeros(len(ids), np.int64), []
             for k, t in enumerate(part.column("text").to_pylist()):
@@ -105,6 +105,7 @@ def _pack(docs: DataFrame, percent: int) -> DataFrame:
 
 def components(df: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id), a row for each row of df."""
+    small_batches(df.sparkSession)
     docs = df.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     narrow = cut(docs.select("id", F.md5(F.col("text").cast("binary")).alias("h")))
     classes = cut(narrow.where("id is not null").groupBy("h").agg(F.min("id").alias("rep"), F.max("id").alias("last")))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import arrow_schema, bounded_broadcast, slices
+from .common import arrow_schema, bounded_broadcast, slices, small_batches
 from .shingles import mix
 
 U = np.uint64
@@ -125,6 +125,7 @@ def train(rows: list[tuple[str | None, int]], epochs: int = EPOCHS, seed: int =
 
 def fit(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> np.ndarray:
     """Weights learned from (doc_id, text, label) rows, about `sample` of them."""
+    small_batches(labelled.sparkSession)
     rows = labelled.select(F.col(f"`{doc_id}`").cast("string").alias("id"), F.col(f"`{text}`").alias("text"), F.col(f"`{label}`").cast("int").alias("label"))
     out = pa.schema([("at", pa.binary()), ("w", pa.binary())])
 
@@ -153,6 +154,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str = "quality",
 
 def predict(df: DataFrame, weights: np.ndarray, text: str = "text", score: str = "score") -> DataFrame:
     """df with the score of each whole text."""
+    small_batches(df.sparkSession)
     rest = [f for f in df.schema.fields if f.name != score]
     schema = StructType(rest + [StructField(score, DoubleType())])
     out = arrow_schema(schema)

@@ -51,6 +51,11 @@ def test_learns(spark, edge, empty):
     assert {r.lang_pred for r in li.predict(edge, none).collect()} == {"und"}
 
 
+def test_digits_are_no_letters(edge):
+    model = li.fit(edge, model_path())
+    assert li.Scorer(model).predict(["² ½ _ 12", "²a"])[0][0] == "und" and li.Scorer(model).predict(["²a"])[0][0] != "und"
+
+
 def test_memory_limit_changes_nothing(spark, edge, monkeypatch):
     model = li.fit(edge, model_path())
     texts = [r.text for r in edge.collect()]
