@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import shingles as sh
-from .common import bounded_broadcast, cut, partitions, slices
+from .common import bounded_broadcast, cut, partitions, slices, small_batches
 from .components import components
 
 U = np.uint64
@@ -178,6 +178,11 @@ def _endpoints(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
 
 
+def colliding(met: DataFrame) -> DataFrame:
+    """Distinct ids that share a key with another; link() asks for the texts of no others."""
+    return cut(_endpoints(met.where(F.col("kind") == STAR).select("a", "b")))
+
+
 def _open_pairs(groups: DataFrame, comps: DataFrame, sketches: DataFrame, percent: int, nearest: bool = False) -> DataFrame:
     """Pairs of one group and two components whose sketches allow a link.
 
@@ -261,9 +266,10 @@ def link(met: DataFrame, texts_of: TextsOf, percent: int = 80) -> tuple[DataFram
 
     `met` is what collide() returns; texts_of(ids) gives (id, text) for a frame of ids.
     """
+    small_batches(met.sparkSession)
     stars = met.where(F.col("kind") == STAR).select("a", "b")
     groups = met.where(F.col("kind") == GROUP).select("a", "b").distinct()
-    sketches = _sketches(texts_of(cut(_endpoints(stars))))
+    sketches = _sketches(texts_of(colliding(met)))
     links = _verify(_sketch_filter(stars.distinct(), sketches, percent), texts_of, percent)
     comps = cut(components(links))
     for nearest in (True, False):

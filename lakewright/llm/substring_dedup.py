@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import near, shingles as sh
-from .common import cut, slices
+from .common import cut, packs, slices, small_batches
 
 U = np.uint64
 MIN_WORDS = 25
@@ -137,7 +137,7 @@ def _pack(docs: DataFrame, min_words: int, bands: int, rows: int) -> DataFrame:
     buckets = near.buckets_for(docs)
 
     def run(batches):
-        for batch in slices(batches, PACK):
+        for batch in packs(batches, PACK):
             names, values = [], []
             for t in batch.column("text").to_pylist():
                 if p := paragraphs(t, min_words):
@@ -173,11 +173,14 @@ def _texts(docs: DataFrame, ids: DataFrame, min_words: int) -> DataFrame:
 
 def removals(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, percent: int = PERCENT) -> DataFrame:
     """(id, lines): the line numbers to cut from each document that has any."""
+    small_batches(df.sparkSession)
     bands, rows = tune(percent / 100, RECALL, HASHES)
     docs = df.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")).where("id is not null")
     found = cut(occurrences(docs, min_words))
     met = near.collide(_pack(docs, min_words, bands, rows))
-    comps, _ = near.link(met, lambda ids: _texts(docs, ids, min_words), percent)
+    # One more scan of the documents gives the texts of all that collide; the rounds look them up.
+    texts = cut(_texts(docs, near.colliding(met), min_words))
+    comps, _ = near.link(met, lambda ids: near.lookup(texts, ids), percent)
     named = found.join(comps.withColumnRenamed("id", "name"), "name", "left").select("id", "line", F.coalesce("comp", "name").alias("comp"))
     first = named.groupBy("comp").agg(F.min(F.struct("id", "line")).alias("first"), F.max(F.struct("id", "line")).alias("last")).where("first <> last")
     again = named.join(first, "comp").where((F.col("id") != F.col("first.id")) | (F.col("line") != F.col("first.line")))
