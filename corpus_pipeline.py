@@ -29,8 +29,8 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut paragraphs that occur before; n_chars follows the text."""
-    left = substring_dedup.deduplicate(docs)
+    """Cut paragraphs (whole lines) that occur before, no passages inside lines; n_chars follows the text."""
+    left = substring_dedup.deduplicate(docs, passage=None)
     return left.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 

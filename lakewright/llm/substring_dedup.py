@@ -7,11 +7,21 @@ seldom as that allows.  Colliding paragraphs are compared shingle by shingle, li
 form components (near.link), and of all occurrences of a component the first, by
 doc_id and line, stays; the others are cut from their documents.
 
+What is left is searched for repeated passages: PASSAGE words or more, word for word,
+wherever they begin, inside lines or over line breaks.  Every window of PASSAGE words
+is anchored by the least hash of its ANCHOR-word shingles (MinHash of one value), so
+equal windows have one anchor, and neighbours mostly share theirs.  Only windows whose
+anchor occurs twice are named and met; of equal windows the first, by doc_id and
+place, stays, and the words of the others are cut.  In one document a window that
+overlaps its first copy stays.
+
 Nodes are distinct paragraphs, named by a 64-bit hash of their words, so a passage
 that occurs a million times is one node and its copies cost one narrow row each.
 
 Defined cases: null texts stay null and nothing is cut from them; shorter lines are
-never cut; rows of one doc_id count as one document (occurrences in both are the same
+never cut as lines, only as parts of passages; blanks behind a cut passage go with it,
+a line break behind it stays; words that a cut brings together are not searched again;
+rows of one doc_id count as one document (occurrences in both are the same
 one); null ids keep all and take no part; a document all of whose lines are cut has
 an empty text; ties go to the lower line.  An empty table gives an empty result.
 """
@@ -25,13 +35,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import near, shingles as sh
-from .common import cut, packs, slices, small_batches
+from .common import bounded_broadcast, cut, packs, partitions, slices, small_batches
 
 U = np.uint64
 MIN_WORDS = 25
 PERCENT = 80
 RECALL, HASHES = 0.9995, 64
 PACK = 1024
+PASSAGE, ANCHOR = 50, 25
+#: Documents with cut passages up to which their spans are broadcast; beyond, shuffled.
+FEW_SPANS = 200_000
 
 
 def tune(threshold: float, recall: float, hashes: int) -> tuple[int, int]:
@@ -187,8 +200,178 @@ def removals(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_word
     return again.groupBy("id").agg(F.sort_array(F.collect_set("line")).alias("lines"))
 
 
-def deduplicate(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, percent: int = PERCENT, removed: str | None = None) -> DataFrame:
-    """df with the repeated paragraphs cut from its texts; `removed` names a column for the numbers of cut lines."""
+def rolling(w: np.ndarray, k: int) -> np.ndarray:
+    """Hash of every window of k words, in order."""
+    up, down = sh._powers(len(w))
+    sums = np.zeros(len(w) + 1, U)
+    np.cumsum(w * up[: len(w)], out=sums[1:])
+    return sh.mix((sums[k:] - sums[:-k]) * down[: len(w) - k + 1] + U(k))
+
+
+def anchors(w: np.ndarray, size: int) -> np.ndarray:
+    """Least shingle hash of every window of `size` words, in order."""
+    anchor = min(ANCHOR, size)
+    least, have, want = rolling(w, anchor), 1, size - anchor + 1
+    while have < want:
+        step = min(have, want - have)
+        least = np.minimum(least[:-step], least[step:])
+        have += step
+    return least
+
+
+def _anchored(docs: DataFrame, size: int) -> DataFrame:
+    """(id, anchor) of the anchors that occur more than once."""
+    buckets = near.buckets_for(docs)
+    reach = size - min(ANCHOR, size) + 1
+
+    def pack(batches):
+        for batch in packs(batches, PACK):
+            ids, values = [], []
+            for i, t in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()):
+                w, _, _ = sh.words(sh.lowered(t))
+                if len(w) >= size:
+                    a = anchors(w, size)
+                    first = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
+                    # One shingle is least in `reach` windows in a row at most: a longer run is of several.
+                    ids.append(i)
+                    values.append(np.r_[a[first], a[first[np.diff(np.r_[first, len(a)]) > reach]]])
+            if ids:
+                yield near.packed_rows(np.concatenate(values), np.repeat(np.arange(len(ids)), [len(v) for v in values]), np.array(ids, np.int64), None, buckets, 0)
+
+    out = pa.schema([("id", pa.int64()), ("anchor", pa.int64())])
+
+    def meet(batches):
+        keys, ids = [], []
+        for batch in batches:
+            for k, at, i in zip(*(batch.column(c).to_pylist() for c in ("keys", "places", "ids"))):
+                keys.append(np.frombuffer(k, "<u8"))
+                ids.append(np.frombuffer(i, "<i8")[np.frombuffer(at, "<u4" if len(at) == 4 * len(keys[-1]) else "<u2")])
+        if not keys:
+            return
+        keys, ids = np.concatenate(keys), np.concatenate(ids)
+        order = np.lexsort((ids, keys))
+        keys, ids = keys[order], ids[order]
+        twice = np.r_[False, keys[1:] == keys[:-1]]
+        twice |= np.r_[twice[1:], False]
+        own = twice & np.r_[True, (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])]
+        yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(keys[own].view(np.int64))], schema=out)
+
+    packed = docs.select("id", "text").mapInArrow(pack, near.PACKED_DDL)
+    return cut(packed.repartition(partitions(docs.sparkSession), "bucket").mapInArrow(meet, "id long, anchor long"))
+
+
+def _windows(docs: DataFrame, anchored: DataFrame, size: int) -> DataFrame:
+    """The windows of such anchors, packed by bucket of the anchor: whose, name, first and last character."""
+    buckets = near.buckets_for(docs)
+    out = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("names", "places", "starts", "ends", "ids", "versions"))])
+
+    def run(batches):
+        for batch in packs(batches, PACK // 4):
+            found = []
+            for k, (t, wanted) in enumerate(zip(batch.column("text").to_pylist(), batch.column("anchors").to_pylist())):
+                data = sh.lowered(t)
+                w, starts, ends = sh.words(data)
+                if len(w) < size:
+                    continue
+                a = anchors(w, size)
+                at = np.flatnonzero(np.isin(a, np.array(wanted, np.int64).view(U)))
+                raw = np.frombuffer(data, np.uint8)
+                chars = np.r_[0, np.cumsum((raw & 0xC0) != 0x80)]
+                # A window ends where the next word begins, or before the line break in between.
+                breaks = np.r_[0, np.cumsum(raw == 10)]
+                behind = np.r_[starts[1:], len(raw)]
+                stop = np.where(breaks[behind] > breaks[ends], ends, behind)
+                found.append((a[at], rolling(w, size)[at], np.full(len(at), k), chars[starts[at]], chars[stop[at + size - 1]]))
+            if not found:
+                continue
+            key, name, place, start, end = map(np.concatenate, zip(*found))
+            ids, versions = (np.array(batch.column(c).to_pylist(), np.int64) for c in ("id", "version"))
+            to = (key >> U(20)) % U(buckets)
+            order = np.argsort(to, kind="stable")
+            lows = np.flatnonzero(np.r_[True, np.diff(to[order]) != 0])
+            rows = []
+            for lo, hi in zip(lows, np.r_[lows[1:], len(order)]):
+                o = order[lo:hi]
+                used, at = np.unique(place[o], return_inverse=True)
+                rows.append((int(to[o[0]]), name[o].tobytes(), *(x.astype("<i4").tobytes() for x in (at, start[o], end[o])), ids[used].tobytes(), versions[used].tobytes()))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), out)], schema=out)
+
+    wanted = cut(anchored.groupBy("id").agg(F.collect_list("anchor").alias("anchors")))
+    met = near.lookup(docs, wanted.select("id")).join(wanted.hint("merge"), "id")
+    return met.mapInArrow(run, "bucket int, names binary, places binary, starts binary, ends binary, ids binary, versions binary")
+
+
+def spans(docs: DataFrame, size: int = PASSAGE) -> DataFrame:
+    """(id, version, spans): the characters [s, e) to cut of each (id, version, text) that repeats a passage."""
+    out = pa.schema([("id", pa.int64()), ("version", pa.int64()), ("starts", pa.binary()), ("ends", pa.binary())])
+
+    def repeated(batches):
+        held = []
+        for batch in batches:
+            for name, at, start, end, i, v in zip(*(batch.column(c).to_pylist() for c in ("names", "places", "starts", "ends", "ids", "versions"))):
+                at = np.frombuffer(at, "<i4")
+                held.append((np.frombuffer(name, "<u8"), np.frombuffer(i, "<i8")[at], np.frombuffer(v, "<i8")[at], np.frombuffer(start, "<i4"), np.frombuffer(end, "<i4")))
+        if not held:
+            return
+        name, ids, version, start, end = map(np.concatenate, zip(*held))
+        order = np.lexsort((start, version, ids, name))
+        name, ids, version, start, end = (x[order] for x in (name, ids, version, start, end))
+        new = np.r_[True, name[1:] != name[:-1]]
+        own = new | np.r_[True, (ids[1:] != ids[:-1]) | (version[1:] != version[:-1])]
+        head, mine = (np.maximum.accumulate(np.where(x, np.arange(len(name)), 0)) for x in (new, own))
+        gone = np.flatnonzero((ids != ids[head]) | (start >= end[mine]))
+        gone = gone[np.lexsort((start[gone], version[gone], ids[gone]))]
+        if not len(gone):
+            return
+        ids, version, start, end = ids[gone], version[gone], start[gone], end[gone]
+        lows = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (version[1:] != version[:-1])])
+        highs = np.r_[lows[1:], len(ids)]
+        parts = [_merged(start[lo:hi], end[lo:hi]) for lo, hi in zip(lows, highs)]
+        yield pa.RecordBatch.from_arrays([pa.array(ids[lows]), pa.array(version[lows]), pa.array([s.tobytes() for s, _ in parts], pa.binary()), pa.array([e.tobytes() for _, e in parts], pa.binary())], schema=out)
+
+    ddl = "id long, version long, spans array<struct<s:int,e:int>>"
+    merged = pa.schema([("id", pa.int64()), ("version", pa.int64()), ("spans", pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())])))])
+
+    def join(batches):
+        for batch in slices(batches):
+            lists = []
+            for s, e in zip(batch.column("starts").to_pylist(), batch.column("ends").to_pylist()):
+                s, e = (np.frombuffer(b"".join(x), "<i4") for x in (s, e))
+                order = np.argsort(s, kind="stable")
+                lists.append([{"s": x, "e": y} for x, y in zip(*(x.tolist() for x in _merged(s[order], e[order])))])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("version"), pa.array(lists, merged.field("spans").type)], schema=merged)
+
+    packed = _windows(docs, _anchored(docs, size), size)
+    found = packed.repartition(partitions(docs.sparkSession), "bucket").mapInArrow(repeated, "id long, version long, starts binary, ends binary")
+    return found.groupBy("id", "version").agg(F.collect_list("starts").alias("starts"), F.collect_list("ends").alias("ends")).mapInArrow(join, ddl)
+
+
+def _merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spans in order of their starts, those that touch made one."""
+    upto = np.maximum.accumulate(end)
+    first = np.flatnonzero(np.r_[True, start[1:] > upto[:-1]])
+    return start[first], upto[np.r_[first[1:], len(start)] - 1]
+
+
+def cut_passages(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = PASSAGE) -> DataFrame:
+    """df without the passages of at least `size` words that occur before; df is read several times."""
+    small_batches(df.sparkSession)
+    body, version = F.col(f"`{text}`"), F.xxhash64(F.col(f"`{text}`"))
+    docs = df.select(F.col(f"`{doc_id}`").cast("long").alias("id"), version.alias("version"), body.alias("text")).where("id is not null and text is not null")
+    found = cut(spans(docs, size)).select(F.col("id").alias("__id"), F.col("version").alias("__version"), F.col("spans").alias("__spans"))
+    met = df.join(bounded_broadcast(found, FEW_SPANS), (F.col(f"`{doc_id}`") == F.col("__id")) & (version == F.col("__version")), "left")
+    since = lambda i: F.coalesce(F.get("__spans", i)["e"], F.lit(0))
+    kept = F.transform("__spans", lambda x, i: F.substring(body, since(i - 1) + 1, x["s"] - since(i - 1)))
+    left = F.concat(F.array_join(kept, ""), F.substring(body, since(F.size("__spans") - 1) + 1, F.length(body)))
+    return met.withColumn(text, F.when(F.col("__spans").isNull(), body).otherwise(left)).drop("__id", "__version", "__spans")
+
+
+def deduplicate(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, percent: int = PERCENT, removed: str | None = None, passage: int | None = PASSAGE) -> DataFrame:
+    """df with the repeated paragraphs, then the repeated passages cut from its texts.
+
+    `removed` names a column for the numbers of cut lines; without `passage` only lines are cut.
+    """
     gone = cut(removals(df, doc_id, text, min_words, percent).select(F.col("id").alias("__id"), F.col("lines").alias("__lines")))
     # By merging at every size: the cut lists grow with the input, and so does the way they take.
     met = df.join(gone.hint("merge"), F.col(f"`{doc_id}`") == F.col("__id"), "left").drop("__id")
@@ -196,5 +379,6 @@ def deduplicate(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_w
     kept = F.filter(F.split(F.col(f"`{text}`"), "\n", -1), lambda x, i: ~F.array_contains("__lines", i))
     body = F.when(F.col("__lines").isNull(), F.col(f"`{text}`")).otherwise(F.array_join(kept, "\n"))
     if removed:
-        return met.withColumn(removed, F.coalesce("__lines", F.array().cast("array<int>"))).withColumn(text, body).drop("__lines")
-    return met.withColumn(text, body).drop("__lines")
+        met = met.withColumn(removed, F.coalesce("__lines", F.array().cast("array<int>")))
+    left = met.withColumn(text, body).drop("__lines")
+    return cut_passages(cut(left), doc_id, text, passage) if passage else left

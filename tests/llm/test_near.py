@@ -187,6 +187,51 @@ def test_dedup_query(spark, small):
     assert {(k, i) for k, r in got.items() for i in r.removed_lines} == plain_dedup(docs)
 
 
+def plain_passages(texts, size=sd.PASSAGE):
+    """Words to cut, by looking up all windows."""
+    import re
+
+    first, gone = {}, set()
+    for k in sorted(texts):
+        w = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in texts[k] or ""))
+        for i in range(len(w) - size + 1):
+            d, at = first.setdefault(tuple(w[i : i + size]), (k, i))
+            if d != k or i >= at + size:
+                gone |= {(k, x) for x in range(i, i + size)}
+    return gone
+
+
+def test_passages_in_long_and_over_short_lines(spark):
+    r = random.Random(8)
+    words = lambda n: ["".join(r.choice("abcdéfgh") for _ in range(5)) for _ in range(n)]
+    planted = [words(n) for n in (51, 55, 60)]
+    lines = lambda w: "\n".join(" ".join(w[i : i + 7]) for i in range(0, len(w), 7))
+    texts, want = {}, {}
+    for k, p in enumerate(planted):
+        for at, shape in enumerate((" ".join, " ".join, lines, lines)):
+            before, behind = " ".join(words(r.randint(80, 120))), " ".join(words(r.randint(80, 120)))
+            texts[10 * k + at] = f"{before} {shape(p)} {behind}"
+            want[10 * k + at] = texts[10 * k + at] if at == 0 else f"{before} {behind}"
+    again = words(60)
+    texts[90], want[90] = " ".join(again * 3), " ".join(again) + " "  # within one text
+    texts[91] = want[91] = " ".join(words(2) + planted[0][:49] + words(2))  # too short a passage
+    texts[92], want[92] = "\n".join([" ".join(words(30)), lines(planted[2]), "End  here."]), None
+    want[92] = texts[92].split("\n")[0] + "\n\nEnd  here."
+    rows = [*texts.items(), (None, texts[0])]
+    got = sd.deduplicate(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {r_.doc_id: r_.text for r_ in got} == want | {None: texts[0]}
+
+
+def test_passages_of_the_small_table(spark, small):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    lines = plain_dedup(docs)
+    left = {k: "\n".join(x for i, x in enumerate(t.split("\n")) if (k, i) not in lines) for k, t in docs.items()}
+    gone = plain_passages(left)
+    want = {k: [w for i, w in enumerate(t.split()) if (k, i) not in gone] for k, t in left.items()}
+    got = {r.doc_id: r.text.split() for r in queries()["op3_substring_dedup"](spark, SMALL).collect()}
+    assert got == want and len({k for k, _ in gone}) > 10
+
+
 def test_dedup_edges(spark, edge, empty):
     got = sd.deduplicate(edge, removed="shard")
     rows = {r.doc_id: r for r in got.collect()}
