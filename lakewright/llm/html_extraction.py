@@ -176,7 +176,7 @@ def describe(page_blocks: list[Block]) -> list[list[int]]:
         names.append(f"size {size} links {b.linked > 0.5}")
         names.append(f"end {b.text[-1] in '.!?:”»…'}")
         names.append(f"place {min(3, 4 * k // n)}")
-        if "©" in b.text or "cookie" in b.text.lower()[:200]:
+        if "©" in b.text or "cookie" in b.text.lower():
             names.append("legal")
         out.append([_place(x) for x in names])
     return out

@@ -72,3 +72,11 @@ def test_edges(spark):
     got = {(r.page_id, r.url): r.text for r in he.extract(rows).collect()}
     assert got[(1, None)] == "" and got[(2, "u")] == BODY.strip() and len(got[(3, "u")]) == 999_999
     assert he.extract(rows.limit(0)).count() == 0
+
+
+def test_late_mark_of_a_notice():
+    """A block that names cookies late carries the same evidence as one that does so at once."""
+    late, never = (he.Block(f"{BODY * 3}{x} are used here.", "p", (), 0.0) for x in ("Cookies", "Rivers"))
+    assert len(BODY * 3) > 200
+    (a,), (b,) = he.describe([late]), he.describe([never])
+    assert set(a) - set(b) == {he._place("legal")}
