@@ -34,7 +34,7 @@ def query_terms(spark, d):
     return table(spark, d, "documents").select("doc_id", F.array_join(F.slice(words, 1, 3), " | ").alias("first_terms"))
 
 
-@register("any_term_query")
+@register("any_term_query", "SELECT doc_id, array_to_string(list_transform(list_filter(list_zip(ws, range(1, len(ws) + 1)), lambda p: list_position(ws, p[1]) = p[2])[1:12], lambda p: p[1]), ' | ') AS query FROM (SELECT doc_id, list_filter(list_transform(regexp_extract_all(coalesce(text, ''), '[\\p{L}\\p{Nl}\\p{No}]+'), lambda w: lower(w)), lambda w: length(w) > 2 AND NOT list_contains([" + ",".join(f"'{w}'" for w in tx.NOISE) + "], w)) AS ws FROM documents)")
 def any_term_query(spark, d):
     return table(spark, d, "documents").select("doc_id", tx.any_term_query("text").alias("query"))
 

@@ -74,3 +74,12 @@ def test_small_functions(spark):
 def test_stems():
     said = "consistency running flies generously relational hopping hoped sensational happiness agreed"
     assert [stemming.stem(w) for w in said.split()] == "consist run fli generous relat hop hope sensat happi agre".split()
+
+
+def test_all_terms_have_sql(duck):
+    """The SQL of any_term_query repeats no term and goes on to the twelfth."""
+    from lakewright import plans
+
+    text = "widow Widow pension " + " ".join(f"term{c * 3}" for c in "abcdefghijklm")
+    got = duck.execute(f"WITH documents AS (SELECT 1 AS doc_id, '{text}' AS text UNION ALL SELECT 2, NULL) " + plans.oracle_sql()["any_term_query"] + " ORDER BY doc_id").fetchall()
+    assert got == [(1, " | ".join(["widow", "pension", *(f"term{c * 3}" for c in "abcdefghij")])), (2, "")]
