@@ -40,9 +40,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids with begin and end, packed as little-endian unsigned 32-bit integers."""
-    coded = sentencepiece_codec.tokenize(docs.select("doc_id", "source", "text"), model_path())
-    return coded.select("doc_id", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids")
+    """Token ids with begin and end, packed as little-endian unsigned 32-bit integers, and the md5 of the text they decode to."""
+    coded = sentencepiece_codec.tokenize(docs.select("doc_id", "source", "text"), model_path(), decoded="decoded")
+    return coded.select("doc_id", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.md5("decoded").alias("decoded_md5"))
 
 
 STAGES = [

@@ -58,3 +58,15 @@ def test_empty(empty, spark):
     for _, stage in cp.STAGES:
         docs = cut(stage(spark, docs, SMALL))
     assert docs.count() == 0
+
+
+def test_last_stage_decodes(edge, spark):
+    import hashlib
+
+    import sentencepiece
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=model_path())
+    out = cp.encode(spark, edge, SMALL).collect()
+    assert len(out) == 12
+    for r in out:
+        assert r.decoded_md5 == hashlib.md5(lib.decode(sc.unpack(r.ids)).encode()).hexdigest(), r.doc_id
