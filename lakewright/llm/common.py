@@ -18,19 +18,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def partitions(spark: SparkSession) -> int:
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+#: Input bytes for which a shuffle gets a partition, where the session asks for fewer.
+PART_BYTES = 256 << 20
+
+
+def partitions(df: DataFrame) -> int:
+    """Partitions for a shuffle of a frame: the session's number, or more where the input is large.
+
+    The size is the planner's estimate from the files that the frame reads; without one
+    the session's number stands.
+    """
+    asked = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(asked, size // PART_BYTES) if size < 1 << 60 else asked
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as spark.checkpoint.dir names it.
 
-    Only where the session has none (tests, a single machine) is one made.
+    Only where the session has none and all runs on one machine is one made.
     """
     sc = spark.sparkContext
     found = sc.getCheckpointDir()
     if found is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lakewright-"))
         found = sc.getCheckpointDir()
     return found
@@ -44,20 +57,43 @@ def cut(df: DataFrame) -> DataFrame:
 
     Lineage ends here, and a lost executor costs no recomputation of what came
     before.  Parquet rather than checkpoint() because it is compressed and the
-    next reader can prune columns.  clear() deletes what a session has written.
+    next reader can prune columns.  drop() and clear() delete what was written.
     """
     path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    made = df.sparkSession.read.schema(df.schema).parquet(path)
+    made._cut_path = path
+    return made
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    _written.remove(path)
+
 
+def drop(*frames: DataFrame) -> None:
+    """Delete tables of cut() that nothing will read again."""
+    for df in frames:
+        if (path := getattr(df, "_cut_path", None)) in _written:
+            _delete(df.sparkSession, path)
 
-def clear(spark: SparkSession) -> None:
-    """Delete the tables that cut() has written; results that are still lazy must not need them."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    while _written:
-        path = hadoop(_written.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+def written() -> int:
+    """A mark for clear()."""
+    return len(_written)
+
+
+def clear(spark: SparkSession, since: int = 0, *keep: DataFrame) -> None:
+    """Delete the tables that cut() has written since a mark, but for those to keep.
+
+    Results that are still lazy must not need them.
+    """
+    kept = {getattr(df, "_cut_path", None) for df in keep}
+    for path in _written[since:]:
+        if path not in kept:
+            _delete(spark, path)
 
 
 def bounded_broadcast(df: DataFrame, limit: int) -> DataFrame:
@@ -89,15 +125,20 @@ def slices(batches, rows: int = 512):
             yield batch.slice(start, rows)
 
 
-def packs(batches, rows: int):
-    """Tables of about so many rows, gathered from smaller batches."""
-    held, n = [], 0
-    for batch in slices(batches, rows):
+#: Bytes of rows that a task gathers before it packs them.
+PACK_BYTES = 8 << 20
+
+
+def packs(batches, rows: int, size: int = PACK_BYTES):
+    """Tables of so many rows at most, or of about so many bytes, gathered from smaller batches."""
+    held, n, held_bytes = [], 0, 0
+    for batch in slices(batches, min(rows, 64)):
         held.append(batch)
         n += batch.num_rows
-        if n >= rows:
+        held_bytes += batch.nbytes
+        if n + 64 > rows or held_bytes >= size:
             yield pa.Table.from_batches(held)
-            held, n = [], 0
+            held, n, held_bytes = [], 0, 0
     if held:
         yield pa.Table.from_batches(held)
 

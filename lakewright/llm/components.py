@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import cut
+from .common import cut, drop
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -36,9 +36,11 @@ def components(edges: DataFrame) -> DataFrame:
     while mark[0]:
         then = cut(_small_star(_large_star(now)))
         new = _mark(then)
+        drop(now)
+        now = then
         if new == mark:
             break
-        now, mark = then, new
+        mark = new
     nodes = now.select(F.col("b").alias("id"), F.col("a").alias("comp"))
     return nodes.unionByName(now.select(F.col("a").alias("id"), F.col("a").alias("comp"))).groupBy("id").agg(F.min("comp").alias("comp"))
 

@@ -149,7 +149,7 @@ def next_by_id(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     first row of the next bucket (of the first, after the last).
     """
     spark = df.sparkSession
-    n = partitions(spark)
+    n = partitions(df)
     rows = df.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63))).alias("k"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     cuts = rows.agg(F.percentile_approx("k", [i / n for i in range(1, n)] or [0.5], 10_000)).first()[0] or []
     cuts = sorted(set(cuts))

@@ -18,7 +18,9 @@ Exact copies are reduced to their least id beforehand and take its component.
 
 Defined cases: texts without words and null texts have an empty set, link with nothing
 and are their own component; a null id passes with a null component and, unless
-another document has the same text, size 0; rows of one id are one node; other columns are ignored.  An empty table gives an empty result.
+another document has the same text, size 0; rows of one id are one node; other columns
+are ignored by components() and pass through keep_one(), whatever their names.  An empty
+table gives an empty result.
 
 Scale: keys are about 0.4 a shingle, packed; a key held by many yields a star, not
 pairs.  Copies are counted, and only their narrow rows are shuffled.
@@ -30,7 +32,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from . import near, shingles as sh
-from .common import bounded_broadcast, cut, packs, small_batches
+from .common import bounded_broadcast, cut, drop, own_name, packs, partitions, small_batches
 
 U = np.uint64
 PERCENT = 80
@@ -81,9 +83,9 @@ def keys_of(s: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     return np.concatenate(out)
 
 
-def _pack(docs: DataFrame, percent: int) -> DataFrame:
-    """Packed keys and sizes of (id, text)."""
-    buckets = near.buckets_for(docs)
+def _pack(docs: DataFrame, percent: int, n: int) -> DataFrame:
+    """Packed keys and sizes of (id, text), for n tasks."""
+    buckets = near.BUCKETS * n
 
     def run(batches):
         salt = 0
@@ -113,9 +115,12 @@ def components(df: DataFrame, doc_id: str = "doc_id", text: str = "text", percen
     # An id that also stands for another text must stay.
     copies = copies.join(classes.select(F.col("rep").alias("id")), "id", "left_anti")
     docs = docs.where("id is not null")
-    originals = docs.join(bounded_broadcast(cut(copies), FEW_COPIES), "id", "left_anti")
-    met = near.collide(_pack(originals, percent))
-    comps, _ = near.link(met, lambda ids: near.lookup(docs, ids), percent)
+    copies = cut(copies)
+    originals = docs.join(bounded_broadcast(copies, FEW_COPIES), "id", "left_anti")
+    n = partitions(originals)
+    met = near.collide(_pack(originals, percent, n), n)
+    comps = near.link(met, lambda ids: near.lookup(docs, ids), percent)
+    drop(copies)
     sizes = met.where(F.col("kind") == near.SIZE).groupBy(F.col("a").alias("rep")).agg(F.max("b").alias("n"))
     known = classes.join(sizes, "rep", "left").join(comps.withColumnRenamed("id", "rep"), "rep", "left")
     known = known.select("h", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("comp", "rep").alias("comp"))
@@ -126,5 +131,6 @@ def components(df: DataFrame, doc_id: str = "doc_id", text: str = "text", percen
 
 def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """Rows of df whose document is the least id of its component; null ids stay."""
-    drop = cut(components(df, doc_id, text, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("__drop")).distinct())
-    return df.join(bounded_broadcast(drop, FEW_COPIES), F.col(f"`{doc_id}`") == F.col("__drop"), "left_anti")
+    gone = own_name(df, "gone")
+    others = cut(components(df, doc_id, text, percent).where("doc_id <> component_id").select(F.col("doc_id").alias(gone)).distinct())
+    return df.join(bounded_broadcast(others, FEW_COPIES), F.col(f"`{doc_id}`") == F.col(gone), "left_anti")

@@ -1,17 +1,25 @@
 """Linking of texts by colliding keys: candidates, exact verification, components.
 
 An operator deals (key, id) entries so that any two texts that may link share a key.
-Entries travel as packed arrays, one row a key bucket and batch.  A bucket's task sorts
-its keys and returns, for each key held by several ids, a star of pairs around the
-least id, and for keys held by three or more the group itself.  So candidates grow
-with the entries, never with the square of a group.
+Entries travel as packed arrays, one row a key bucket and batch, sorted by bucket: a
+task holds the entries of one bucket at a time and returns, for each key held by
+several ids, a star of pairs around the least id, and for keys held by three or more
+the group itself.  So candidates grow with the entries, never with the square of a
+group.
 
 Round one verifies the stars: a parity sketch of each text rejects most pairs, since
 its Hamming distance never exceeds the symmetric difference, and the rest are compared
 shingle by shingle.  Links form components.  Round two returns to the groups whose
-members lie in different components, compares the sketches of those pairs only, block
-by block inside a task, and verifies what passes.  No pair that shares a key is lost:
-it is linked, rejected by an exact test, or lies in one component already.
+members lie in different components and compares the sketches of those pairs, block by
+block inside a task.  A block in which few pairs pass returns them all; one in which
+many do returns each member's nearest partner and its group's name.  Round three takes
+the groups so named, with their texts: a task compares the shingles of the pairs that
+pass and returns only links that join two components, fewer than it has members.
+No pair that shares a key is lost: it is linked, rejected by an exact test, or lies in
+one component already.  Rows grow with the members times the blocks they meet, never
+with the pairs.
+
+Shingles are compared by their 64-bit hashes (see shingles).
 """
 
 from __future__ import annotations
@@ -23,14 +31,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import shingles as sh
-from .common import bounded_broadcast, cut, partitions, slices, small_batches
+from .common import bounded_broadcast, cut, drop, partitions, slices, small_batches
 from .components import components
 
 U = np.uint64
 #: Rows of ids up to which a lookup side is broadcast (8 bytes each); beyond, shuffled.
 FEW_IDS = 1_000_000
-#: Members of a group that one comparison block holds.
-BLOCK = 2048
+#: Members of a group that one comparison block holds, and shingles where their texts come along.
+BLOCK, BLOCK_SHINGLES = 2048, 4_000_000
+#: Likely pairs that a block returns for each of its members; with more it names its group again.
+PAIRS = 2
 
 PACKED = pa.schema([("bucket", pa.int32()), ("kind", pa.int8()), ("keys", pa.binary()), ("places", pa.binary()), ("ids", pa.binary())])
 PACKED_DDL = "bucket int, kind tinyint, keys binary, places binary, ids binary"
@@ -86,29 +96,36 @@ def _met(kind: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int8)), pa.array(np.asarray(a, np.int64)), pa.array(np.asarray(b, np.int64))], schema=MET)
 
 
-def collide(packed: DataFrame) -> DataFrame:
-    """(kind, a, b): SIZE rows (id, size), STAR rows (hub, member), GROUP rows (group, member)."""
+def collide(packed: DataFrame, n: int) -> DataFrame:
+    """(kind, a, b) from n tasks: SIZE rows (id, size), STAR rows (hub, member), GROUP rows (group, member)."""
 
     def run(batches):
-        keys, ids = [], []
+        held, keys, ids = None, [], []
         for batch in batches:
-            for kind, k, at, i in zip(*(batch.column(c).to_pylist() for c in ("kind", "keys", "places", "ids"))):
+            for bucket, kind, k, at, i in zip(*(batch.column(c).to_pylist() for c in ("bucket", "kind", "keys", "places", "ids"))):
                 i = np.frombuffer(i, "<i8")
                 if kind == SIZE:
                     yield _met(SIZE, i, np.frombuffer(k, "<i8"))
-                else:
-                    k = np.frombuffer(k, "<u8")
-                    keys.append(k)
-                    ids.append(i[np.frombuffer(at, "<u4" if len(at) == 4 * len(k) else "<u2")])
+                    continue
+                if bucket != held and keys:
+                    yield from _meet(np.concatenate(keys), np.concatenate(ids))
+                    keys, ids = [], []
+                held, k = bucket, np.frombuffer(k, "<u8")
+                keys.append(k)
+                ids.append(i[np.frombuffer(at, "<u4" if len(at) == 4 * len(k) else "<u2")])
         if keys:
             yield from _meet(np.concatenate(keys), np.concatenate(ids))
 
-    n = partitions(packed.sparkSession)
-    return cut(packed.repartition(n, "bucket").mapInArrow(run, MET_DDL))
+    return cut(by_bucket(packed, n).mapInArrow(run, MET_DDL))
 
 
-def buckets_for(df: DataFrame) -> int:
-    return 4 * partitions(df.sparkSession)
+def by_bucket(packed: DataFrame, n: int) -> DataFrame:
+    """Rows dealt to n tasks and sorted by bucket."""
+    return packed.repartition(n, "bucket").sortWithinPartitions("bucket")
+
+
+#: Key buckets a task, whose entries it holds one after another.
+BUCKETS = 8
 
 
 TextsOf = Callable[[DataFrame], DataFrame]
@@ -171,7 +188,9 @@ def _verify(pairs: DataFrame, texts_of: TextsOf, percent: int) -> DataFrame:
                 keep.append(sh.similar(own, sh.shingle_set(y), percent))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], schema=out).filter(pa.array(keep, pa.bool_()))
 
-    return cut(met.mapInArrow(run, "a long, b long").distinct())
+    links = cut(met.mapInArrow(run, "a long, b long").distinct())
+    drop(pairs)
+    return links
 
 
 def _endpoints(pairs: DataFrame) -> DataFrame:
@@ -183,102 +202,164 @@ def colliding(met: DataFrame) -> DataFrame:
     return cut(_endpoints(met.where(F.col("kind") == STAR).select("a", "b")))
 
 
-def _open_pairs(groups: DataFrame, comps: DataFrame, sketches: DataFrame, percent: int, nearest: bool = False) -> DataFrame:
-    """Pairs of one group and two components whose sketches allow a link.
-
-    With `nearest` only the pair of each member with its nearest partner by sketch.
-    """
-    spark = groups.sparkSession
+def _dealt(groups: DataFrame, comps: DataFrame, sketches: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+    """Members of groups of several components, dealt to the blocks in which every two of them meet."""
     named = groups.join(comps, groups["b"] == comps["id"], "left").select(F.col("a").alias("gid"), F.col("b").alias("id"), F.coalesce("comp", "b").alias("comp"))
     open_ = named.groupBy("gid").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-    dealt = named.join(open_.select("gid", "m"), "gid").join(sketches, "id")
-    # A group of m members falls into blocks; every two blocks meet in one place.
-    dealt = dealt.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    # A group may be a large share of all members: its few names are broadcast, its members stay where they are.
+    dealt = named.join(bounded_broadcast(cut(open_.select("gid", "m")), FEW_IDS), "gid").join(sketches, "id")
+    blocks = F.ceil(F.col("m") / BLOCK)
+    if texts is not None:
+        weight = cut(dealt.groupBy("gid").agg(F.sum("n").alias("shingles")))
+        dealt = dealt.join(bounded_broadcast(weight, FEW_IDS), "gid").join(texts.select("id", "text"), "id")
+        blocks = F.greatest(blocks, F.ceil(F.col("shingles") / BLOCK_SHINGLES))
+    dealt = dealt.withColumn("blocks", blocks.cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("gid", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "comp", "n", "sketch")
-    dealt = dealt.repartition(partitions(spark), "gid", "i", "j").sortWithinPartitions("gid", "i", "j")
-    out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def pairs_of(rows: list[tuple], i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
-        own, ids, comp, n, sketch = zip(*rows)
-        own, ids, comp, n = (np.array(x, np.int64) for x in (own, ids, comp, n))
-        order = np.argsort(n, kind="stable")
-        own, ids, comp, n = own[order], ids[order], comp[order], n[order]
-        words = [_words(sketch[k]) for k in order]
-        width_of = np.array([len(w) for w in words])
-        found_a, found_b, folded, row_of = [], [], {}, np.zeros(len(ids), np.int64)
-        least, partner = np.full(len(ids), 2**31), np.zeros(len(ids), np.int64)
-        for k in range(len(ids)):
+    dealt = dealt.select("gid", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "comp", "n", "sketch", *["text"] * (texts is not None))
+    return dealt.repartition(partitions(groups), "gid", "i", "j").sortWithinPartitions("gid", "i", "j")
+
+
+def _by_block(batches, columns: tuple[str, ...], take=lambda row: row):
+    """(gid, i, j, rows) of every block, from rows sorted so."""
+    held, rows = None, []
+    for batch in slices(batches):
+        for gid, i, j, *row in zip(*(batch.column(c).to_pylist() for c in ("gid", "i", "j", *columns))):
+            if (gid, i, j) != held:
+                if len(rows) > 1:
+                    yield *held, rows
+                held, rows = (gid, i, j), []
+            rows.append(take(row))
+    if len(rows) > 1:
+        yield *held, rows
+
+
+class _Block:
+    """Members of one block by their number of shingles, and the pairs whose sketches allow a link."""
+
+    def __init__(self, i: int, j: int, own, ids, comp, n, sketches, percent: int):
+        self.order = np.argsort(np.array(n, np.int64), kind="stable")
+        self.own, self.ids, self.comp, self.n = (np.array(x, np.int64)[self.order] for x in (own, ids, comp, n))
+        self.words = [_words(sketches[k]) for k in self.order]
+        self.one, self.percent = i == j, percent
+
+    def pairs(self):
+        """(k, partners, gaps): places of partners behind k, of another component."""
+        width_of = np.array([len(w) for w in self.words])
+        folded, row_of = {}, np.zeros(len(self.ids), np.int64)
+        for k in range(len(self.ids)):
             # sorted by size: partners of k behind it, as far as sizes allow
-            upto = np.searchsorted(n, n[k] * 100 // percent, side="right")
+            upto = np.searchsorted(self.n, self.n[k] * 100 // self.percent, side="right")
             more = np.arange(k + 1, upto)
-            more = more[comp[more] != comp[k]]
-            if i != j:
-                more = more[own[more] != own[k]]
-            if not len(more) or not n[k]:
+            more = more[self.comp[more] != self.comp[k]]
+            if not self.one:
+                more = more[self.own[more] != self.own[k]]
+            if not len(more) or not self.n[k]:
                 continue
-            width = len(words[k])
+            width = len(self.words[k])
             if width not in folded:  # partners are at most a quarter larger, so at most twice as wide
                 some = np.flatnonzero((width_of == width) | (width_of == 2 * width))
-                folded = {width: np.stack([sh.fold(words[x], width) for x in some])}
+                folded = {width: np.stack([sh.fold(self.words[x], width) for x in some])}
                 row_of[some] = np.arange(len(some))
-            gap = np.bitwise_count(folded[width][row_of[more]] ^ words[k]).sum(axis=1, dtype=np.int64)
-            may = gap <= sh.distance_bound(n[more], n[k], percent)
-            more, gap = more[may], gap[may]
-            if nearest and len(more):
+            gap = np.bitwise_count(folded[width][row_of[more]] ^ self.words[k]).sum(axis=1, dtype=np.int64)
+            may = gap <= sh.distance_bound(self.n[more], self.n[k], self.percent)
+            if may.any():
+                yield k, more[may], gap[may]
+
+
+PAIR, AGAIN = 0, 1
+
+
+def _likely(groups: DataFrame, comps: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """(kind, a, b): PAIR rows of two components, AGAIN rows (gid) of groups with more than those."""
+
+    def run(batches):
+        for gid, i, j, rows in _by_block(batches, ("own", "id", "comp", "n", "sketch")):
+            block = _Block(i, j, *zip(*rows), percent)
+            kept, total, most = [], 0, PAIRS * len(rows)
+            least, partner = np.full(len(rows), 2**31), np.zeros(len(rows), np.int64)
+            for k, more, gap in block.pairs():
+                total += len(more)
+                if total <= most:
+                    kept.append((np.full(len(more), k), more))
                 better = gap < least[more]
                 least[more[better]], partner[more[better]] = gap[better], k
                 best = int(gap.argmin())
                 if gap[best] < least[k]:
                     least[k], partner[k] = gap[best], more[best]
+            if not total:
                 continue
-            found_a.append(np.minimum(ids[more], ids[k]))
-            found_b.append(np.maximum(ids[more], ids[k]))
-        if nearest:
-            k = np.flatnonzero(least < 2**31)
-            x, y = ids[k], ids[partner[k]]
-            return np.minimum(x, y), np.maximum(x, y)
-        none = [np.zeros(0, np.int64)]
-        return np.concatenate(found_a or none), np.concatenate(found_b or none)
+            if total <= most:
+                x, y = (np.concatenate(c) for c in zip(*kept))
+            else:
+                x = np.flatnonzero(least < 2**31)
+                y = partner[x]
+                yield _met(AGAIN, np.array([gid]), np.array([gid]))
+            x, y = block.ids[x], block.ids[y]
+            yield _met(PAIR, np.minimum(x, y), np.maximum(x, y))
 
-    def run(batches):
-        held, rows = None, []
+    return cut(_dealt(groups, comps, sketches).mapInArrow(run, MET_DDL))
 
-        def flush():
-            a, b = pairs_of(rows, held[1], held[2])
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=out)
-
-        for batch in batches:
-            for gid, i, j, *row in zip(*(batch.column(c).to_pylist() for c in ("gid", "i", "j", "own", "id", "comp", "n", "sketch"))):
-                if (gid, i, j) != held:
-                    if len(rows) > 1:
-                        yield flush()
-                    held, rows = (gid, i, j), []
-                rows.append(tuple(row))
-        if len(rows) > 1:
-            yield flush()
-
-    return dealt.mapInArrow(run, "a long, b long")
 
+def _spanning(groups: DataFrame, comps: DataFrame, sketches: DataFrame, texts_of: TextsOf, percent: int) -> DataFrame:
+    """(a, b): verified links that join the components of each block, by comparing all its pairs."""
+    out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-def link(met: DataFrame, texts_of: TextsOf, percent: int = 80) -> tuple[DataFrame, DataFrame]:
-    """Components (id, comp) of the linked ids, and the verified links (a, b) between them.
+    def run(batches):
+        take = lambda row: (*row[:-1], sh.shingle_set(row[-1]))
+        for _, i, j, rows in _by_block(batches, ("own", "id", "comp", "n", "sketch", "text"), take):
+            *cols, sets = zip(*rows)
+            block = _Block(i, j, *cols, percent)
+            sets = [sets[k] for k in block.order]
+            root = {c: c for c in block.comp.tolist()}
+
+            def find(c):
+                while root[c] != c:
+                    root[c] = c = root[root[c]]
+                return c
+
+            links = []
+            for k, more, _ in block.pairs():
+                for x in more.tolist():
+                    p, q = find(int(block.comp[k])), find(int(block.comp[x]))
+                    if p != q and sh.similar(sets[k], sets[x], percent):
+                        root[max(p, q)] = min(p, q)
+                        links.append(sorted((int(block.ids[k]), int(block.ids[x]))))
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links)], schema=out)
+
+    texts = texts_of(groups.select(F.col("b").alias("id")).distinct())
+    return cut(_dealt(groups, comps, sketches, texts).mapInArrow(run, "a long, b long").distinct())
+
+
+def link(met: DataFrame, texts_of: TextsOf, percent: int = 80) -> DataFrame:
+    """Components (id, comp) of the linked ids.
 
     `met` is what collide() returns; texts_of(ids) gives (id, text) for a frame of ids.
     """
     small_batches(met.sparkSession)
     stars = met.where(F.col("kind") == STAR).select("a", "b")
     groups = met.where(F.col("kind") == GROUP).select("a", "b").distinct()
-    sketches = _sketches(texts_of(colliding(met)))
+    ids = colliding(met)
+    sketches = _sketches(texts_of(ids))
     links = _verify(_sketch_filter(stars.distinct(), sketches, percent), texts_of, percent)
     comps = cut(components(links))
-    for nearest in (True, False):
-        more = _verify(_open_pairs(groups, comps, sketches, percent, nearest), texts_of, percent)
-        if more.isEmpty():
-            continue
-        links = links.unionByName(more)
-        comps = cut(components(links))
-    return comps, links.distinct()
+    likely = _likely(groups, comps, sketches, percent)
+    more = _verify(likely.where(F.col("kind") == PAIR).select("a", "b"), texts_of, percent)
+    comps = _joined(comps, more)
+    again = likely.where(F.col("kind") == AGAIN).select("a").distinct()
+    if not again.isEmpty():
+        comps = _joined(comps, _spanning(groups.join(again, "a", "left_semi"), comps, sketches, texts_of, percent))
+    drop(ids, sketches, links, likely)
+    return comps
+
+
+def _joined(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after more links; the old ones count as stars."""
+    if links.isEmpty():
+        return comps
+    new = cut(components(comps.where("id <> comp").select(F.col("comp").alias("a"), F.col("id").alias("b")).unionByName(links)))
+    drop(comps, links)
+    return new
 
 
 def lookup(table: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:

@@ -23,7 +23,11 @@ never cut as lines, only as parts of passages; blanks behind a cut passage go wi
 a line break behind it stays; words that a cut brings together are not searched again;
 rows of one doc_id count as one document (occurrences in both are the same
 one); null ids keep all and take no part; a document all of whose lines are cut has
-an empty text; ties go to the lower line.  An empty table gives an empty result.
+an empty text; ties go to the lower line; other columns pass through, whatever their
+names.  An empty table gives an empty result.
+
+Scale: a task holds the entries of one key bucket.  A band or anchor that very many
+paragraphs share lies in one bucket, 16 to 28 bytes for each of its holders.
 """
 
 from __future__ import annotations
@@ -35,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import near, shingles as sh
-from .common import bounded_broadcast, cut, packs, partitions, slices, small_batches
+from .common import bounded_broadcast, cut, drop, own_name, packs, partitions, slices, small_batches
 
 U = np.uint64
 MIN_WORDS = 25
@@ -146,8 +150,8 @@ def occurrences(docs: DataFrame, min_words: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, line int, name long")
 
 
-def _pack(docs: DataFrame, min_words: int, bands: int, rows: int) -> DataFrame:
-    buckets = near.buckets_for(docs)
+def _pack(docs: DataFrame, min_words: int, bands: int, rows: int, n: int) -> DataFrame:
+    buckets = near.BUCKETS * n
 
     def run(batches):
         for batch in packs(batches, PACK):
@@ -190,10 +194,13 @@ def removals(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_word
     bands, rows = tune(percent / 100, RECALL, HASHES)
     docs = df.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")).where("id is not null")
     found = cut(occurrences(docs, min_words))
-    met = near.collide(_pack(docs, min_words, bands, rows))
+    n = partitions(docs)
+    met = near.collide(_pack(docs, min_words, bands, rows, n), n)
     # One more scan of the documents gives the texts of all that collide; the rounds look them up.
-    texts = cut(_texts(docs, near.colliding(met), min_words))
-    comps, _ = near.link(met, lambda ids: near.lookup(texts, ids), percent)
+    ids = near.colliding(met)
+    texts = cut(_texts(docs, ids, min_words))
+    comps = near.link(met, lambda ids: near.lookup(texts, ids), percent)
+    drop(ids, texts, met)
     named = found.join(comps.withColumnRenamed("id", "name"), "name", "left").select("id", "line", F.coalesce("comp", "name").alias("comp"))
     first = named.groupBy("comp").agg(F.min(F.struct("id", "line")).alias("first"), F.max(F.struct("id", "line")).alias("last")).where("first <> last")
     again = named.join(first, "comp").where((F.col("id") != F.col("first.id")) | (F.col("line") != F.col("first.line")))
@@ -221,7 +228,8 @@ def anchors(w: np.ndarray, size: int) -> np.ndarray:
 
 def _anchored(docs: DataFrame, size: int) -> DataFrame:
     """(id, anchor) of the anchors that occur more than once."""
-    buckets = near.buckets_for(docs)
+    n = partitions(docs)
+    buckets = near.BUCKETS * n
     reach = size - min(ANCHOR, size) + 1
 
     def pack(batches):
@@ -241,28 +249,38 @@ def _anchored(docs: DataFrame, size: int) -> DataFrame:
     out = pa.schema([("id", pa.int64()), ("anchor", pa.int64())])
 
     def meet(batches):
-        keys, ids = [], []
-        for batch in batches:
-            for k, at, i in zip(*(batch.column(c).to_pylist() for c in ("keys", "places", "ids"))):
-                keys.append(np.frombuffer(k, "<u8"))
-                ids.append(np.frombuffer(i, "<i8")[np.frombuffer(at, "<u4" if len(at) == 4 * len(keys[-1]) else "<u2")])
-        if not keys:
-            return
-        keys, ids = np.concatenate(keys), np.concatenate(ids)
-        order = np.lexsort((ids, keys))
-        keys, ids = keys[order], ids[order]
-        twice = np.r_[False, keys[1:] == keys[:-1]]
-        twice |= np.r_[twice[1:], False]
-        own = twice & np.r_[True, (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])]
-        yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(keys[own].view(np.int64))], schema=out)
+        for held in _by_bucket(batches, ("keys", "places", "ids")):
+            keys = [np.frombuffer(k, "<u8") for k, _, _ in held]
+            ids = [np.frombuffer(i, "<i8")[np.frombuffer(at, "<u4" if len(at) == 4 * len(k) else "<u2")] for k, (_, at, i) in zip(keys, held)]
+            keys, ids = np.concatenate(keys), np.concatenate(ids)
+            order = np.lexsort((ids, keys))
+            keys, ids = keys[order], ids[order]
+            twice = np.r_[False, keys[1:] == keys[:-1]]
+            twice |= np.r_[twice[1:], False]
+            own = twice & np.r_[True, (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(keys[own].view(np.int64))], schema=out)
 
     packed = docs.select("id", "text").mapInArrow(pack, near.PACKED_DDL)
-    return cut(packed.repartition(partitions(docs.sparkSession), "bucket").mapInArrow(meet, "id long, anchor long"))
+    return cut(near.by_bucket(packed, n).mapInArrow(meet, "id long, anchor long"))
+
+
+def _by_bucket(batches, columns: tuple[str, ...]):
+    """Rows of each bucket, from rows sorted by bucket."""
+    bucket, rows = None, []
+    for batch in batches:
+        for b, *row in zip(*(batch.column(c).to_pylist() for c in ("bucket", *columns))):
+            if b != bucket and rows:
+                yield rows
+                rows = []
+            bucket = b
+            rows.append(row)
+    if rows:
+        yield rows
 
 
 def _windows(docs: DataFrame, anchored: DataFrame, size: int) -> DataFrame:
     """The windows of such anchors, packed by bucket of the anchor: whose, name, first and last character."""
-    buckets = near.buckets_for(docs)
+    buckets = near.BUCKETS * partitions(docs)
     out = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("names", "places", "starts", "ends", "ids", "versions"))])
 
     def run(batches):
@@ -307,28 +325,26 @@ def spans(docs: DataFrame, size: int = PASSAGE) -> DataFrame:
     out = pa.schema([("id", pa.int64()), ("version", pa.int64()), ("starts", pa.binary()), ("ends", pa.binary())])
 
     def repeated(batches):
-        held = []
-        for batch in batches:
-            for name, at, start, end, i, v in zip(*(batch.column(c).to_pylist() for c in ("names", "places", "starts", "ends", "ids", "versions"))):
+        for rows in _by_bucket(batches, ("names", "places", "starts", "ends", "ids", "versions")):
+            held = []
+            for name, at, start, end, i, v in rows:
                 at = np.frombuffer(at, "<i4")
                 held.append((np.frombuffer(name, "<u8"), np.frombuffer(i, "<i8")[at], np.frombuffer(v, "<i8")[at], np.frombuffer(start, "<i4"), np.frombuffer(end, "<i4")))
-        if not held:
-            return
-        name, ids, version, start, end = map(np.concatenate, zip(*held))
-        order = np.lexsort((start, version, ids, name))
-        name, ids, version, start, end = (x[order] for x in (name, ids, version, start, end))
-        new = np.r_[True, name[1:] != name[:-1]]
-        own = new | np.r_[True, (ids[1:] != ids[:-1]) | (version[1:] != version[:-1])]
-        head, mine = (np.maximum.accumulate(np.where(x, np.arange(len(name)), 0)) for x in (new, own))
-        gone = np.flatnonzero((ids != ids[head]) | (start >= end[mine]))
-        gone = gone[np.lexsort((start[gone], version[gone], ids[gone]))]
-        if not len(gone):
-            return
-        ids, version, start, end = ids[gone], version[gone], start[gone], end[gone]
-        lows = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (version[1:] != version[:-1])])
-        highs = np.r_[lows[1:], len(ids)]
-        parts = [_merged(start[lo:hi], end[lo:hi]) for lo, hi in zip(lows, highs)]
-        yield pa.RecordBatch.from_arrays([pa.array(ids[lows]), pa.array(version[lows]), pa.array([s.tobytes() for s, _ in parts], pa.binary()), pa.array([e.tobytes() for _, e in parts], pa.binary())], schema=out)
+            name, ids, version, start, end = map(np.concatenate, zip(*held))
+            order = np.lexsort((start, version, ids, name))
+            name, ids, version, start, end = (x[order] for x in (name, ids, version, start, end))
+            new = np.r_[True, name[1:] != name[:-1]]
+            own = new | np.r_[True, (ids[1:] != ids[:-1]) | (version[1:] != version[:-1])]
+            head, mine = (np.maximum.accumulate(np.where(x, np.arange(len(name)), 0)) for x in (new, own))
+            gone = np.flatnonzero((ids != ids[head]) | (start >= end[mine]))
+            gone = gone[np.lexsort((start[gone], version[gone], ids[gone]))]
+            if not len(gone):
+                continue
+            ids, version, start, end = ids[gone], version[gone], start[gone], end[gone]
+            lows = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (version[1:] != version[:-1])])
+            highs = np.r_[lows[1:], len(ids)]
+            parts = [_merged(start[lo:hi], end[lo:hi]) for lo, hi in zip(lows, highs)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[lows]), pa.array(version[lows]), pa.array([s.tobytes() for s, _ in parts], pa.binary()), pa.array([e.tobytes() for _, e in parts], pa.binary())], schema=out)
 
     ddl = "id long, version long, spans array<struct<s:int,e:int>>"
     merged = pa.schema([("id", pa.int64()), ("version", pa.int64()), ("spans", pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())])))])
@@ -343,7 +359,7 @@ def spans(docs: DataFrame, size: int = PASSAGE) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("version"), pa.array(lists, merged.field("spans").type)], schema=merged)
 
     packed = _windows(docs, _anchored(docs, size), size)
-    found = packed.repartition(partitions(docs.sparkSession), "bucket").mapInArrow(repeated, "id long, version long, starts binary, ends binary")
+    found = near.by_bucket(packed, partitions(docs)).mapInArrow(repeated, "id long, version long, starts binary, ends binary")
     return found.groupBy("id", "version").agg(F.collect_list("starts").alias("starts"), F.collect_list("ends").alias("ends")).mapInArrow(join, ddl)
 
 
@@ -359,26 +375,29 @@ def cut_passages(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size
     small_batches(df.sparkSession)
     body, version = F.col(f"`{text}`"), F.xxhash64(F.col(f"`{text}`"))
     docs = df.select(F.col(f"`{doc_id}`").cast("long").alias("id"), version.alias("version"), body.alias("text")).where("id is not null and text is not null")
-    found = cut(spans(docs, size)).select(F.col("id").alias("__id"), F.col("version").alias("__version"), F.col("spans").alias("__spans"))
-    met = df.join(bounded_broadcast(found, FEW_SPANS), (F.col(f"`{doc_id}`") == F.col("__id")) & (version == F.col("__version")), "left")
-    since = lambda i: F.coalesce(F.get("__spans", i)["e"], F.lit(0))
-    kept = F.transform("__spans", lambda x, i: F.substring(body, since(i - 1) + 1, x["s"] - since(i - 1)))
-    left = F.concat(F.array_join(kept, ""), F.substring(body, since(F.size("__spans") - 1) + 1, F.length(body)))
-    return met.withColumn(text, F.when(F.col("__spans").isNull(), body).otherwise(left)).drop("__id", "__version", "__spans")
+    own_id, own_version, own_spans = (own_name(df, x) for x in ("id", "version", "spans"))
+    found = cut(spans(docs, size)).select(F.col("id").alias(own_id), F.col("version").alias(own_version), F.col("spans").alias(own_spans))
+    met = df.join(bounded_broadcast(found, FEW_SPANS), (F.col(f"`{doc_id}`") == F.col(own_id)) & (version == F.col(own_version)), "left")
+    since = lambda i: F.coalesce(F.get(own_spans, i)["e"], F.lit(0))
+    kept = F.transform(own_spans, lambda x, i: F.substring(body, since(i - 1) + 1, x["s"] - since(i - 1)))
+    left = F.concat(F.array_join(kept, ""), F.substring(body, since(F.size(own_spans) - 1) + 1, F.length(body)))
+    return met.withColumn(text, F.when(F.col(own_spans).isNull(), body).otherwise(left)).drop(own_id, own_version, own_spans)
 
 
 def deduplicate(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, percent: int = PERCENT, removed: str | None = None, passage: int | None = PASSAGE) -> DataFrame:
     """df with the repeated paragraphs, then the repeated passages cut from its texts.
 
-    `removed` names a column for the numbers of cut lines; without `passage` only lines are cut.
+    `removed` names a column for the numbers of cut lines, in place of one of that name;
+    without `passage` only lines are cut.
     """
-    gone = cut(removals(df, doc_id, text, min_words, percent).select(F.col("id").alias("__id"), F.col("lines").alias("__lines")))
+    own_id, own_lines = (own_name(df, x) for x in ("id", "lines"))
+    gone = cut(removals(df, doc_id, text, min_words, percent).select(F.col("id").alias(own_id), F.col("lines").alias(own_lines)))
     # By merging at every size: the cut lists grow with the input, and so does the way they take.
-    met = df.join(gone.hint("merge"), F.col(f"`{doc_id}`") == F.col("__id"), "left").drop("__id")
+    met = df.join(gone.hint("merge"), F.col(f"`{doc_id}`") == F.col(own_id), "left").drop(own_id)
     # Lines are numbered from 0; filter's second argument is the place.
-    kept = F.filter(F.split(F.col(f"`{text}`"), "\n", -1), lambda x, i: ~F.array_contains("__lines", i))
-    body = F.when(F.col("__lines").isNull(), F.col(f"`{text}`")).otherwise(F.array_join(kept, "\n"))
+    kept = F.filter(F.split(F.col(f"`{text}`"), "\n", -1), lambda x, i: ~F.array_contains(own_lines, i))
+    body = F.when(F.col(own_lines).isNull(), F.col(f"`{text}`")).otherwise(F.array_join(kept, "\n"))
     if removed:
-        met = met.withColumn(removed, F.coalesce("__lines", F.array().cast("array<int>")))
-    left = met.withColumn(text, body).drop("__lines")
+        met = met.withColumn(removed, F.coalesce(own_lines, F.array().cast("array<int>")))
+    left = met.withColumn(text, body).drop(own_lines)
     return cut_passages(cut(left), doc_id, text, passage) if passage else left

@@ -248,3 +248,59 @@ def test_signatures_are_whole(monkeypatch):
     got = sd.signatures(h, starts, 8)
     for k, (lo, hi) in enumerate(zip(starts, [*starts[1:], len(h)])):
         assert (got[k] == (h[lo:hi, None] * sd._FACTOR[:8] + sd._SHIFT[:8]).min(axis=0)).all()
+
+
+@pytest.mark.parametrize("seed, pairs", [(11, 0), (12, 2)])
+def test_one_group_of_all(spark, monkeypatch, seed, pairs):
+    """All texts share one key: blocks that name their group again, split by members and by shingles, lose no link."""
+    monkeypatch.setattr(near, "BLOCK_SHINGLES", 700)
+    monkeypatch.setattr(near, "BLOCK", 40)
+    monkeypatch.setattr(near, "PAIRS", pairs)
+    called = []
+    spanning = near._spanning
+
+    def counted(*args):
+        links = spanning(*args)
+        called.append(links.count())
+        return links
+
+    monkeypatch.setattr(near, "_spanning", counted)
+    texts = {k + 5: t for k, t in family(seed).items()} | {1: "quite another text of a few words"}
+    docs = spark.createDataFrame(list(texts.items()), "id long, text string")
+    met = [(near.STAR, 1, k) for k in texts if k != 1] + [(near.GROUP, 7, k) for k in texts]
+    comps = near.link(spark.createDataFrame(met, near.MET_DDL), lambda ids: docs.join(ids, "id", "left_semi"))
+    got = {k: k for k in texts} | {r.id: r.comp for r in comps.collect()}
+    assert got == {k: c for k, (_, c) in brute(texts).items()}
+    assert bool(called) == (pairs == 0) and sum(called) < len(texts) * 8
+
+
+def test_open_group_of_twenty_thousand(spark):
+    """All share a passage, few are near copies: rows stay within a few for each member, no link is lost."""
+    r = random.Random(21)
+    passage = [f"p{k}" for k in range(24)]
+    texts, want = {}, {}
+    for k in range(20_000):
+        if k % 10 == 1:
+            texts[k] = texts[k - 1] + " more"
+            want[k] = k - 1
+        else:
+            texts[k] = " ".join(passage + [f"y{r.randrange(10**9)}" for _ in range(9)])
+            want[k] = k
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(8)
+    assert {r_.doc_id: r_.component_id for r_ in jj.components(rows).collect()} == want
+
+
+def test_likely_pairs_are_no_more_than_a_few_a_member(spark):
+    """A group in which every pair passes the sketches yields rows in proportion to its members."""
+    r = np.random.Generator(np.random.PCG64(6))
+    base = np.unique(r.integers(0, 2**63, 200, dtype=np.uint64))
+    n = 1500
+    rows = []
+    for k in range(n):
+        s = np.unique(np.concatenate([base[: 180], r.integers(0, 2**63, 22, dtype=np.uint64)]))
+        rows.append((k, len(s), bytearray(sh.parity_sketch(s))))
+    sketches = spark.createDataFrame(rows, "id long, n int, sketch binary")
+    groups = spark.range(n).selectExpr("7L AS a", "id AS b")
+    none = spark.createDataFrame([], "id long, comp long")
+    found = near._likely(groups, none, sketches, 80)
+    assert found.where("kind = 1").count() >= 1 and n // 2 <= found.where("kind = 0").count() <= 2 * n
