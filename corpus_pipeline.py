@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lakewright.llm import jaccard_join, language_id, mixing, sentencepiece_codec, substring_dedup
-from lakewright.llm.common import cut, table
+from lakewright.llm.common import clear, cut, own_name, table, written
 from lakewright.llm.queries import MIX_SEED, MIX_TARGET, learned_languages, model_path
 
 #: Documents whose language is unknown or less likely than this are rejected.
@@ -19,8 +19,9 @@ MIN_SCORE = 0.5
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a recognised language."""
-    found = language_id.predict(docs, learned_languages(docs), lang_pred="__lang", score="__score")
-    return found.where((F.col("__lang") != language_id.UNKNOWN) & (F.col("__score") >= MIN_SCORE)).select(docs.columns)
+    lang, score = own_name(docs, "lang"), own_name(docs, "score")
+    found = language_id.predict(docs, learned_languages(docs), lang_pred=lang, score=score)
+    return found.where((F.col(lang) != language_id.UNKNOWN) & (F.col(score) >= MIN_SCORE)).select(docs.columns)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,14 +30,15 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut paragraphs (whole lines) that occur before, no passages inside lines; n_chars follows the text."""
-    left = substring_dedup.deduplicate(docs, passage=None)
+    """Cut paragraphs, and passages of 50 words or more wherever they stand, that occur before; n_chars follows the text."""
+    left = substring_dedup.deduplicate(docs)
     return left.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeat documents so that source shares meet the target; none is dropped."""
-    return mixing.repeat(mixing.mix(docs, MIX_TARGET, seed=MIX_SEED), docs.columns)
+    names = tuple(own_name(docs, c) for c in mixing.NEW)
+    return mixing.repeat(mixing.mix(docs, MIX_TARGET, seed=MIX_SEED, names=names), docs.columns, names[-1])
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,9 +60,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, mark = table(spark, sf_dir, "documents"), written()
     for number, (_, stage) in enumerate(STAGES, 1):
         docs = stage(spark, docs, sf_dir)
         if number < len(STAGES):
             docs = cut(docs)
+            clear(spark, mark, docs)  # what the stage wrote on its way, and its input
     return docs

@@ -14,7 +14,9 @@ source is cut: mixing then only repeats.
 
 Defined cases: a null source is a source of its own, null texts have no tokens,
 sources without tokens get weight 0 and one copy of each document, an empty table
-gives an empty plan.  Rows of equal doc_id fall into the same block.
+gives an empty plan.  Rows of equal doc_id fall into the same block.  Columns named
+weight, block, place or n_copies (or as `names` calls them) are replaced, others pass
+through, whatever their names.
 
 Scale: one pass over the texts counts tokens; sums by source and block combine before
 the shuffle and have at most BLOCKS rows a source, and those alone are ordered in
@@ -28,7 +30,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
-from .common import WORD, bounded_broadcast, cut
+from .common import WORD, bounded_broadcast, cut, own_name
 
 BLOCKS = 1024
 FEW_SOURCES = 50_000
@@ -69,6 +71,9 @@ def bisect_exponent(sources: DataFrame, target: Target) -> float:
     the nearer end.
     """
     lo, hi = 0.0, 1.0
+    if target.entropy is None:
+        row = sources.agg(F.max("share").alias("hi"), F.min("share").alias("lo")).first()
+        ratio = (row.hi / row.lo) if row.hi else 1.0
     for _ in range(ROUNDS):
         n = 2**DEPTH
         at = [lo + (hi - lo) * i / n for i in range(n + 1)]
@@ -77,8 +82,6 @@ def bisect_exponent(sources: DataFrame, target: Target) -> float:
             row = sources.agg(*sums).first()
             too_flat = [row[f"z{i}"] is not None and _entropy(row[f"z{i}"], row[f"y{i}"]) > target.entropy for i in range(n + 1)]
         else:
-            row = sources.agg(F.max("share").alias("hi"), F.min("share").alias("lo")).first()
-            ratio = (row.hi / row.lo) if row.hi else 1.0
             too_flat = [ratio ** (1 - a) > target.repeats for a in at]
         low, high = 0, n
         while high - low > 1:  # the walk down the tree
@@ -128,18 +131,23 @@ def plan(df: DataFrame, target: Target, budget: float | None = None, seed: int =
     return met.groupBy("w.source", "w.source_tokens", "w.weight", "w.epochs", "w.whole").agg(F.when(F.max("w.rest") > 0, fit).otherwise(F.lit(0)).cast("int").alias("extra_blocks"))
 
 
-def mix(df: DataFrame, target: Target, budget: float | None = None, seed: int = 0, text: str = "text", source: str = "source", doc_id: str = "doc_id") -> DataFrame:
-    """df with weight (of the source), block, place and n_copies."""
+NEW = ("weight", "block", "place", "n_copies")
+
+
+def mix(df: DataFrame, target: Target, budget: float | None = None, seed: int = 0, text: str = "text", source: str = "source", doc_id: str = "doc_id", names: tuple[str, ...] = NEW) -> DataFrame:
+    """df with weight (of the source), block, place and n_copies, under these or the given names."""
+    its, weight, whole, extra = (own_name(df, x) for x in ("source", "weight", "whole", "extra"))
     made = cut(plan(df, target, budget, seed, text, source, doc_id))
-    made = bounded_broadcast(made.select(F.col("source").alias("__source"), "weight", "whole", "extra_blocks"), FEW_SOURCES)
-    new = ("weight", "block", "place", "n_copies")
-    own = [F.col(f"d.`{c}`") for c in df.columns if c not in new]
-    met = df.alias("d").join(made, F.col(f"d.`{source}`").eqNullSafe(F.col("__source")), "left")
-    met = met.select(*own, "weight", "whole", "extra_blocks", block_of(F.col(f"d.`{doc_id}`")).alias("block"))
-    met = met.withColumn("place", permuted(F.col("block"), F.col(f"`{source}`"), seed))
-    return met.withColumn("n_copies", F.col("whole") + F.when(F.col("place") < F.col("extra_blocks"), 1).otherwise(0)).drop("whole", "extra_blocks")
+    made = made.select(F.col("source").alias(its), F.col("weight").alias(weight), F.col("whole").alias(whole), F.col("extra_blocks").alias(extra))
+    met = df.join(bounded_broadcast(made, FEW_SOURCES), F.col(f"`{source}`").eqNullSafe(F.col(its)), "left")
+    block = block_of(F.col(f"`{doc_id}`"))
+    place = permuted(block, F.col(f"`{source}`"), seed)
+    n = F.col(whole) + F.when(place < F.col(extra), 1).otherwise(0)
+    own = [F.col(f"`{c}`") for c in df.columns if c not in names]
+    return met.select(*own, *[c.alias(k) for c, k in zip((F.col(weight), block, place, n), names)])
 
 
-def repeat(mixed: DataFrame, columns: list[str]) -> DataFrame:
+def repeat(mixed: DataFrame, columns: list[str], n_copies: str = "n_copies") -> DataFrame:
     """Each row n_copies times, with the given columns only."""
-    return mixed.where("n_copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("n_copies")))).select(*[F.col(f"`{c}`") for c in columns])
+    copy, n = own_name(mixed, "copy"), F.col(f"`{n_copies}`")
+    return mixed.where(n > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), n))).select(*[F.col(f"`{c}`") for c in columns])
