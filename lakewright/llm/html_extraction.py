@@ -10,10 +10,16 @@ as main text are joined by one space.
 
 Text of scripts, styles, templates, comments and titles never makes a block.
 
-Defined cases: null or empty html gives an empty text; broken nesting, unclosed tags
-and unclosed quotes are read as far as they go; character references are decoded, and
-runs of white space, line breaks among them, are one space; equal pages give equal
-texts; extra columns pass through, a column named like the result is replaced.
+The scan reads a page once, whatever its markup: what is looked for and not found is
+not looked for again, and open elements are found by their names, not by search.  Of
+the names around a block the NAMES nearest count as features.
+
+Defined cases: null or empty html gives an empty text; broken nesting and unclosed
+tags are read as far as they go; a tag whose quotes do not close ends at the next >;
+a < without any > behind it is text; character references are decoded, those of
+numbers beyond Unicode as U+FFFD, and runs of white space, line breaks among them, are
+one space; equal pages give equal texts; extra columns pass through, a column named
+like the result is replaced.
 """
 
 from __future__ import annotations
@@ -21,6 +27,7 @@ from __future__ import annotations
 import html as html_lib
 import re
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +36,10 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from .common import arrow_schema, slices, small_batches
 
-MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>", re.S)
+OPEN = re.compile(r"<(?:(!--)|[!?]|(/?)([a-zA-Z][^\s/>]*))")
+SPECIAL = re.compile("[>\"']")
+LEADING = re.compile(r"&#0+(?=[0-9])")
+BEYOND = re.compile(r"&#(?:[xX]0*[1-9a-fA-F][0-9a-fA-F]{6,}|[1-9][0-9]{7,});?")
 NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 PART = re.compile(r"[a-z]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -51,6 +61,10 @@ CLOSES = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in CLOSE
 P_ENDS = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 
 
+#: Names around a block that count as its features, the nearest ones.
+NAMES = 128
+
+
 class Block:
     __slots__ = ("text", "tag", "above", "linked")
 
@@ -58,95 +72,183 @@ class Block:
         self.text, self.tag, self.above, self.linked = text, tag, above, linked
 
 
-@lru_cache(4096)
 def _names(tag: str, attributes: str) -> tuple[str, ...]:
     """What an element adds to the ancestors of its blocks."""
     found = [f"<{tag}>"]
     for m in NAMED.finditer(attributes):
         found += [f".{w}" for w in PART.findall((m[2] or m[3] or m[4] or "").lower())]
-    return tuple(found)
+    return tuple(dict.fromkeys(found))
+
+
+_short_names = lru_cache(4096)(_names)
+
+
+class _Tags:
+    """The markup of one page, found from left to right."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last = {c: page.rfind(c) for c in ">\"'"}
+        self.dead: set[int] = set()  # places outside of quotes from which an unclosed one is met
+
+    def _end(self, at: int) -> int:
+        """The place of the > that ends a tag whose attributes begin at `at`; there is a > behind."""
+        page, k, seen = self.page, at, []
+        while k not in self.dead:
+            m = SPECIAL.search(page, k)
+            c = m and m[0]
+            if c == ">":
+                return m.start()
+            if not c or m.start() >= self.last[c]:
+                break
+            k = page.find(c, m.end()) + 1
+            seen.append(k)
+        self.dead.update(seen)
+        return page.find(">", at)
+
+    def next(self, at: int) -> tuple[int, int, str, str, str] | None:
+        """(start, end, slash, name, attributes) of the next markup; comments and declarations have no name."""
+        page = self.page
+        while m := OPEN.search(page, at):
+            if m[1]:
+                end = page.find("-->", m.end())
+                return m.start(), end + 3 if end >= 0 else len(page), "", "", ""
+            if m.end() > self.last[">"]:  # no tag ends behind this: comments are all that can follow
+                at = page.find("<!--", m.start() + 1)
+                if at < 0:
+                    return None
+                continue
+            if m[3] is None:
+                return m.start(), page.find(">", m.end()) + 1, "", "", ""
+            end = self._end(m.end())
+            return m.start(), end + 1, m[2], m[3].lower(), page[m.end() : end]
+        return None
+
+    def close(self, tag: str, at: int) -> int:
+        """Where the closing tag of a raw element begins, or the end of the page."""
+        m = _closing(tag).search(self.page, at)
+        return m.start() if m and m.end() <= self.last[">"] else len(self.page)
+
+
+@lru_cache(16)
+def _closing(tag: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(tag)}\b", re.I)
+
+
+class _Open:
+    """The open elements, with where those of each name lie."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, tuple[str, ...]]] = []
+        self.places: dict[str, list[int]] = {}
+        self.count: dict[str, int] = {}  # names around, in the order in which they came
+        self.blocks: list[str] = []  # tags that are not inline
+        self.silent = self.links = 0
+        self.above: tuple[str, ...] | None = ()
+
+    def last(self, tags) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+
+    def push(self, tag: str, names: tuple[str, ...]) -> None:
+        self.places.setdefault(tag, []).append(len(self.stack))
+        self.stack.append((tag, names))
+        for n in names:
+            if n not in self.count:
+                self.count[n], self.above = 0, None
+            self.count[n] += 1
+        if tag not in INLINE:
+            self.blocks.append(tag)
+        self.silent += tag in SILENT
+        self.links += tag == "a"
+
+    def pop_to(self, k: int) -> None:
+        while len(self.stack) > k:
+            tag, names = self.stack.pop()
+            self.places[tag].pop()
+            for n in names:
+                self.count[n] -= 1
+                if not self.count[n]:
+                    del self.count[n]
+                    self.above = None
+            if tag not in INLINE:
+                self.blocks.pop()
+            self.silent -= tag in SILENT
+            self.links -= tag == "a"
+
+    def names(self) -> tuple[str, ...]:
+        if self.above is None:
+            nearest = list(islice(reversed(self.count), NAMES))
+            self.above = tuple(reversed(nearest))
+        return self.above
+
+
+def decoded(text: str) -> str:
+    """Character references decoded; the library refuses numbers of thousands of digits."""
+    if "&#" in text:
+        text = BEYOND.sub("\ufffd", LEADING.sub("&#", text))
+    return html_lib.unescape(text)
 
 
 def blocks(page: str | None) -> list[Block]:
     """The leaf blocks of a page in order."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
-    pieces: list[str] = []
-    linked = silent = links = 0
     page = page or ""
+    tags, held = _Tags(page), _Open()
+    pieces: list[str] = []
+    linked = 0
 
     def close_block():
         nonlocal linked
         if pieces:
             text = " ".join("".join(pieces).split())
             if text:
-                tag = next((t for t, _ in reversed(stack) if t not in INLINE), "")
-                above = tuple(dict.fromkeys(n for _, names in stack for n in names))
-                out.append(Block(text, tag, above, min(1.0, linked / len(text))))
+                out.append(Block(text, held.blocks[-1] if held.blocks else "", held.names(), min(1.0, linked / len(text))))
             pieces.clear()
         linked = 0
 
-    def pop_to(k: int):
-        nonlocal silent, links
-        for t, _ in stack[k:]:
-            silent -= t in SILENT
-            links -= t == "a"
-        del stack[k:]
-
     def add(text: str):
         nonlocal linked
-        if text and not silent:
+        if text and not held.silent:
             if "&" in text:
-                text = html_lib.unescape(text)
+                text = decoded(text)
             pieces.append(text)
-            if links:
+            if held.links:
                 linked += len(text.strip())
 
     at = 0
-    while True:
-        m = MARKUP.search(page, at)
-        if m is None:
-            add(page[at:])
-            break
-        add(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+    while found := tags.next(at):
+        start, end, slash, tag, attributes = found
+        add(page[at:start])
+        at = end
+        if not tag:
             continue
-        tag = m[2].lower()
-        if m[1]:
+        if slash:
             if tag in VOID:
                 if tag == "br":
                     pieces.append(" ")
                 continue
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
             if tag not in INLINE:
                 close_block()
-            if k is not None:
-                pop_to(k)
+            if (k := held.last((tag,))) >= 0:
+                held.pop_to(k)
             continue
         if tag not in INLINE:
             close_block()
             if tag in P_ENDS or tag in CLOSES:
                 ends, walls = CLOSES.get(tag, CLOSES["p"])
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in ends:
-                        pop_to(k)
-                        break
-                    if stack[k][0] in walls:
-                        break
+                if (k := held.last(ends)) >= 0 and k >= held.last(walls):
+                    held.pop_to(k)
         elif tag == "br":
-            if not silent:
+            if not held.silent:
                 pieces.append(" ")
-        if tag in VOID or m[3].endswith("/") and tag not in INLINE and tag in ("path",):
+        if tag in VOID or attributes.endswith("/") and tag == "path":
             continue
         if tag == "body":  # whatever the head left open
-            pop_to(0)
-        stack.append((tag, _names(tag, m[3])))
-        silent += tag in SILENT
-        links += tag == "a"
+            held.pop_to(0)
+        held.push(tag, (_short_names if len(attributes) < 512 else _names)(tag, attributes))
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-            at = end.start() if end else len(page)
+            at = tags.close(tag, at)
+    add(page[at:])
     close_block()
     return out
 

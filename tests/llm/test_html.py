@@ -1,7 +1,9 @@
 import html
 import re
+import time
 
 import numpy as np
+import pytest
 
 from helpers import SMALL
 from lakewright.llm import html_extraction as he, html_pages
@@ -80,3 +82,31 @@ def test_late_mark_of_a_notice():
     assert len(BODY * 3) > 200
     (a,), (b,) = he.describe([late]), he.describe([never])
     assert set(a) - set(b) == {he._place("legal")}
+
+
+MARKS = ['<a "', "<!-", "<div>x", "<h1>x", "</x>", "<b>", "<script>", '<a ">" ', "<a '\">", "<p><b>x", "<li>x", '<a href="', "<a b='\">'", "</script", "<!--", "&#9"]
+
+
+@pytest.mark.parametrize("mark", MARKS)
+def test_a_page_is_scanned_once(mark):
+    """A megabyte of any mark takes seconds, alone, in a script, and with a quote left open at its end."""
+    page = mark * (1_000_000 // len(mark))
+    for p in (page, "<script>" + page, page + ">'"):
+        began = time.process_time()
+        text(p)
+        assert time.process_time() - began < 10
+
+
+def test_long_references_and_open_quotes():
+    at = lambda p: [b.text for b in he.blocks(p)]
+    assert at("<p>a&#" + "9" * 5000 + ";b") == ["a\ufffdb"] and at("<p>&#" + "0" * 5000 + "65;") == ["A"] and at("<p>&#x41;&#xFFFFFFFF;") == ["A\ufffd"]
+    assert at("<p title=\"x>inside</p><p>next</p>") == ["inside", "next"]
+    assert at("<p title='a>b'>c<i id=\"d>e\">f</i>") == ["cf"]
+
+
+def test_nearest_names_count():
+    deep = "".join(f"<div class={chr(97 + k // 26)}{chr(97 + k % 26)}z>" for k in range(300)) + "x"
+    (b,) = he.blocks(deep)
+    assert len(b.above) == he.NAMES and b.above[-1] == ".lnz"
+    (b,) = he.blocks("<div class='a b'><section id=a><p>x")
+    assert b.above == ("<div>", ".a", ".b", "<section>", "<p>")
