@@ -12,7 +12,8 @@ drawn by a hash of the id; the task returns the nonzero weights, at most 2**BITS
 
 Defined cases: null and empty texts have the bias alone as evidence; a table without
 labelled rows gives weights of zero and score 0.5 throughout; rows with several labels
-count once, with the least; very long texts are scored whole, in blocks.
+count once, with the least; very long texts are scored whole, in blocks that change
+nothing; extra columns pass through, one named like the score is replaced.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ _KIND = np.zeros(256, np.int8)  # 0 space, 1 word, 2 punctuation
 _KIND[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = 2
 _KIND[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = 1
 _BASE, _powers = 0xD1342543DE82EF95, np.ones(1, U)
-#: Bytes hashed at once; a token that spans two blocks counts as two.
+#: Bytes hashed at once; a token that spans blocks is put together again.
 BLOCK = 1 << 20
 
 
@@ -64,21 +65,37 @@ def _down(n: int) -> np.ndarray:
 
 
 def token_hashes(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(data, np.uint8)
-    kind = _KIND[raw]
-    edge = np.flatnonzero(np.r_[True, kind[1:] != kind[:-1]]) if len(raw) else np.zeros(0, np.int64)
-    ends = np.r_[edge[1:], len(raw)].astype(np.int64)
-    real = kind[edge] > 0 if len(raw) else np.zeros(0, bool)
-    edge, ends = edge[real], ends[real]
-    sums = np.zeros(len(raw) + 1, U)
-    np.cumsum(_BYTE[raw] * _up(len(raw))[: len(raw)], out=sums[1:])
-    return mix((sums[ends] - sums[edge]) * _down(len(raw))[edge])
+    """Hash of every token, block by block, so that what a long text unpacks to is bounded."""
+    out, held = [], None  # held: value, length and kind of a token that the block's end cuts
+    for at in range(0, len(data), BLOCK):
+        raw = np.frombuffer(data, np.uint8, min(BLOCK, len(data) - at), at)
+        kind = _KIND[raw]
+        edge = np.flatnonzero(np.r_[True, kind[1:] != kind[:-1]])
+        ends = np.r_[edge[1:], len(raw)].astype(np.int64)
+        real = kind[edge] > 0
+        edge, ends = edge[real], ends[real]
+        sums = np.zeros(len(raw) + 1, U)
+        np.cumsum(_BYTE[raw] * _up(len(raw))[: len(raw)], out=sums[1:])
+        values, sizes = (sums[ends] - sums[edge]) * _down(len(raw))[edge], ends - edge
+        if held is not None:
+            value, size, its = held
+            if len(edge) and edge[0] == 0 and kind[0] == its:
+                values[0] = U((value + pow(_BASE, size, 2**64) * int(values[0])) % 2**64)
+                sizes[0] += size
+            else:
+                out.append(np.array([value], U))
+            held = None
+        if len(edge) and ends[-1] == len(raw) and at + BLOCK < len(data):
+            held = int(values[-1]), int(sizes[-1]), kind[-1]
+            values = values[:-1]
+        out.append(values)
+    return mix(np.concatenate(out or [np.zeros(0, U)]))
 
 
 def features(text: str | None) -> np.ndarray:
     """Hashed places of all feature occurrences of a text, the bias not among them."""
     data = (text or "").encode("utf-8", "surrogatepass")
-    tokens = np.concatenate([token_hashes(data[i : i + BLOCK]) for i in range(0, len(data), BLOCK)] or [np.zeros(0, U)])
+    tokens = token_hashes(data)
     pairs = mix(tokens[:-1] * U(3) + tokens[1:])
     again = len(pairs) - len(np.unique(pairs))
     hashed = (np.concatenate([tokens, pairs]) >> U(64 - BITS)).astype(np.int64)
