@@ -160,9 +160,10 @@ measured AS (
   FROM docs LEFT JOIN covered c USING (rid) LEFT JOIN lines l USING (rid)),
 hosts AS (SELECT source AS host, count(*) AS n_docs, {", ".join(f"count(*) FILTER ({rule}) AS failed_{k}" for k, rule in host_rules.RULES.items())}
           FROM measured GROUP BY source),
-moments AS (SELECT {", ".join(f"sum(failed_{k}) / sum(n_docs)::DOUBLE AS m_{k}, var_pop(failed_{k} / n_docs::DOUBLE) AS v_{k}, avg(1 / n_docs::DOUBLE) AS s_{k}" for k in host_rules.RULES)} FROM hosts),
-prior AS (SELECT {", ".join(f"m_{k}, CASE WHEN v_{k} - m_{k} * (1 - m_{k}) * s_{k} > 1e-12 THEN greatest(m_{k} * (1 - m_{k}) / (v_{k} - m_{k} * (1 - m_{k}) * s_{k}) - 1, 1.0) ELSE 1.0 END AS strength_{k}" for k in host_rules.RULES)} FROM moments),
-verdicts AS (SELECT host, greatest({", ".join(f"(failed_{k} + m_{k} * strength_{k}) / (n_docs + strength_{k})" for k in host_rules.RULES)}, 0.0) > {host_rules.MAX_RATE} AS rejected FROM hosts, prior)
+moments AS (SELECT sum(n_docs)::DOUBLE AS n_all, {", ".join(f"sum(failed_{k}) / sum(n_docs)::DOUBLE AS m_{k}, var_pop(failed_{k} / n_docs::DOUBLE) AS v_{k}, avg(1 / n_docs::DOUBLE) AS s_{k}" for k in host_rules.RULES)} FROM hosts),
+beyond AS (SELECT *, {", ".join(f"v_{k} - m_{k} * (1 - m_{k}) * s_{k} AS b_{k}" for k in host_rules.RULES)} FROM moments),
+prior AS (SELECT {", ".join(f"m_{k}, CASE WHEN b_{k} > 1e-12 THEN least(greatest(m_{k} * (1 - m_{k}) / b_{k} - 1, 1.0), n_all) ELSE n_all END AS strength_{k}, least({host_rules.MAX_RATE}, greatest({host_rules.MIN_RATE}, m_{k} + CASE WHEN b_{k} > 1e-12 THEN {host_rules.DEVIATIONS} * sqrt(b_{k}) ELSE 0 END)) AS limit_{k}" for k in host_rules.RULES)} FROM beyond),
+verdicts AS (SELECT host, {" OR ".join(f"(failed_{k} + m_{k} * strength_{k}) / (n_docs + strength_{k}) > limit_{k}" for k in host_rules.RULES)} AS rejected FROM hosts, prior)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ({host_rules.RULES["base"]}) AS base_failed,
        NOT ({host_rules.RULES["base"]}) AND NOT rejected AS kept
 FROM measured JOIN verdicts ON source IS NOT DISTINCT FROM host"""

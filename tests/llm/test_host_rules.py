@@ -1,6 +1,8 @@
 import re
 from collections import Counter
 
+import pytest
+
 from helpers import SMALL, norm
 from pyspark.sql import functions as F
 
@@ -56,3 +58,36 @@ def test_query_equals_its_sql(spark, duck, small):
 def test_native(spark, small):
     plan = queries()["op6_host_rules"](spark, SMALL)._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+def hosts_table(spark, path, bad):
+    """Twelve hosts of 50 documents; of host 0 `bad` have symbols, of the others two."""
+    rows = []
+    for h in range(12):
+        for k in range(50):
+            w = [f"word{h}x{k}x{i}" for i in range(60)]
+            rows.append((h * 50 + k, " ".join(w) + (" #" * 20 if k < (bad if h == 0 else 2) else ""), f"host{h}"))
+    rows += [(1000, None, None), (1001, "", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{path}/documents.parquet")
+
+
+@pytest.mark.parametrize("bad, rejected", [(22, {"host0"}), (2, set())])
+def test_production_settings_reject_a_bad_host(spark, tmp_path, bad, rejected):
+    import duckdb
+
+    hosts_table(spark, str(tmp_path), bad)
+    found = queries()["op6_host_rules"](spark, str(tmp_path)).toPandas()
+    host = lambda i: f"host{i // 50}"
+    clean = found[~found.base_failed]
+    assert {host(i) for i in clean[~clean.kept].doc_id} == rejected and len(clean) == 600
+    assert all(len(clean[(clean.doc_id // 50 == int(h[4:])) & clean.kept]) == 0 for h in rejected)  # every document of it
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert norm(found) == norm(c.execute(oracle_sql()["op6_host_rules"]).df())
+
+
+def test_like_hosts_have_the_corpus_rate(spark):
+    rows = [(h, w) for h in "abc" for w in [10] * 20 + [100] * 30]
+    measured = spark.createDataFrame(rows, "source string, n_words long").selectExpr("*", "0L AS n_repeat_words", "0L AS n_symbols", "500L AS word_chars", "0L AS n_dup_lines", "1L AS n_lines")
+    got = hr.shrunk_hosts(measured, rules={"base": hr.RULES["base"]}).collect()
+    assert all(abs(r.rate_base - 0.4) < 1e-9 and not r.rejected for r in got) and len(got) == 3
