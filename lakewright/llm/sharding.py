@@ -9,7 +9,8 @@ loads, and a shard that leaves moves little besides its own slots.
 The table has SIZE slots whatever the input, so it is safe to broadcast.
 
 Defined cases: a null key counts as the empty text; equal keys share a shard; an empty
-table gives an empty result; a column named slot or shard is replaced.
+table gives an empty result; a column named slot or shard is replaced, others pass
+through, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ import hashlib
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import own_name
+
 SIZE = 65_537
 SHARDS = tuple(f"shard-{i:03d}" for i in range(64))
 
@@ -52,10 +55,11 @@ def slot(key: Column, size: int = SIZE) -> Column:
 def place(df: DataFrame, key: str = "doc_id", shards: tuple[str, ...] | list[str] = SHARDS, size: int = SIZE) -> DataFrame:
     """df with slot and shard."""
     spark = df.sparkSession
-    table = spark.createDataFrame([(i, shards[k]) for i, k in enumerate(fill(shards, size))], "__slot long, shard string")
+    at = own_name(df, "slot")
+    table = spark.createDataFrame([(i, shards[k]) for i, k in enumerate(fill(shards, size))], f"{at} long, shard string")
     own = [F.col(f"`{c}`") for c in df.columns if c not in ("slot", "shard")]
     keyed = df.select(*own, slot(F.col(f"`{key}`"), size).alias("slot"))
-    return keyed.join(F.broadcast(table), F.col("slot") == F.col("__slot")).drop("__slot")
+    return keyed.join(F.broadcast(table), F.col("slot") == F.col(at)).drop(at)
 
 
 def write(df: DataFrame, path: str, key: str = "doc_id", shards: tuple[str, ...] | list[str] = SHARDS, size: int = SIZE) -> None:

@@ -77,3 +77,44 @@ def test_held_out_rows_teach_nothing(spark, small):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text", "lang")
     changed = docs.withColumn("lang", F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, "zz").otherwise(F.col("lang")))
     assert (learned_languages(docs).probabilities == learned_languages(changed).probabilities).all()
+
+
+def test_query_against_brute_force(spark, small):
+    """Counts, forward passes and scores in plain Python over the whole small table."""
+    import re
+    from collections import Counter, defaultdict
+    from functools import lru_cache
+
+    import sentencepiece
+
+    docs = {r.doc_id: (r.text, r.lang) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    learn = {i: (t, x) for i, (t, x) in docs.items() if zlib.crc32(str(i).encode()) % 5 != 0 and t is not None and x is not None}
+    assert max(Counter(x for _, x in learn.values()).values()) <= li.DOCS_PER_LANG  # so all of them are learned from
+    lib = sentencepiece.SentencePieceProcessor(model_file=model_path())
+    counts = defaultdict(Counter)
+    for t, x in learn.values():
+        counts[x].update(lib.encode(t.lower(), add_bos=True, add_eos=True))
+    size = lib.vocab_size()
+    total = {x: sum(c.values()) + li.SMOOTHING * size for x, c in counts.items()}
+    pieces = {lib.id_to_piece(i): i for i in range(size) if not (lib.is_byte(i) or lib.is_control(i) or lib.is_unknown(i))}
+    p = lambda x, i: (counts[x][i] + li.SMOOTHING) / total[x]
+    longest = max(map(len, pieces))
+
+    @lru_cache(None)
+    def word_log(word, x):
+        f, shift = [1.0], 0.0
+        for j in range(1, len(word) + 1):
+            f.append(sum(f[i] * (p(x, pieces[word[i:j]]) if word[i:j] in pieces else li.RARE if i == j - 1 else 0.0) for i in range(max(0, j - longest), j)))
+            if j % 10 == 0 and f[j] > 0:  # keep long words in range
+                shift += math.log(f[j])
+                f = [v / f[j] for v in f]
+        return math.log(f[-1]) + shift
+
+    for r in queries()["op9_language_id"](spark, SMALL).collect():
+        text = docs[r.doc_id][0]
+        if not text or not any(c.isalpha() for c in text):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        logs = {x: sum(word_log(li.MARK + w, x) for w in re.findall(r"[^\x20\x09-\x0D]+", text.lower())) for x in counts}
+        best = max(sorted(logs), key=logs.get)
+        assert r.lang_pred == best and r.score == pytest.approx(1 / sum(math.exp(v - logs[best]) for v in logs.values()), abs=1e-6), r.doc_id
