@@ -30,6 +30,14 @@ def dot(a: Column | str, b: Column | str) -> Column:
     return F.aggregate(F.zip_with(col(a), col(b), lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def distance_to(vector: Column | str, query: list[float]) -> Column:
+    """cosine_distance() to a given vector, whose own product is made once."""
+    own = 0.0
+    for x in query:
+        own += float(x) * float(x)
+    return 1 - dot(vector, F.array(*[F.lit(float(x)) for x in query])) / F.sqrt(dot(vector, vector) * F.lit(own))
+
+
 def cosine_distance(a: Column | str, b: Column | str) -> Column:
     a, b = col(a), col(b)
     return 1 - dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))

@@ -1,6 +1,6 @@
-"""English stemming by the published Porter2 rules, as a pandas UDF.
+"""English stemming by the published Porter2 rules, and stop words.
 
-Full-text queries that SQL checks use unstemmed lexemes; this is the stemmed mode.
+Python works on distinct words: a full-text index stems its vocabulary, not its texts.
 """
 
 from __future__ import annotations
@@ -12,8 +12,20 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql.functions import pandas_udf
 
-from .text import STRINGS
-
+from .text import STRING, STRINGS
+
+# --- Fixed values: the stop words of an English text search. ---
+STOP = frozenset(
+    (
+        "i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers "
+        "herself it its itself they them their theirs themselves what which who whom this that these those am is "
+        "are was were be been being have has had having do does did doing a an the and but if or because as until "
+        "while of at by for with about against between into through during before after above below to from up "
+        "down in out on off over under again further then once here there when where why how all any both each few "
+        "more most other some such no nor not only own same so than too very s t can will just don should now"
+    ).split()
+)
+# --- End of fixed values. ---
 V = "[aeiouy]"
 DOUBLE = ("bb", "dd", "ff", "gg", "mm", "nn", "pp", "rr", "tt")
 #: Published exceptions: whole words with their stems, and words left as they are.
@@ -108,3 +120,13 @@ def stemmed(words: Column) -> Column:
         return values.map(lambda v: None if v is None else [stem(w) for w in v])
 
     return run(words)
+
+
+def lexeme_of(word: str) -> str | None:
+    """The stem of a word in lower case, None for a stop word."""
+    return None if word in STOP else stem(word)
+
+
+@pandas_udf(STRING)
+def lexeme(words: pd.Series) -> pd.Series:
+    return words.map(lambda w: None if w is None else lexeme_of(w))

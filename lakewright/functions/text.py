@@ -101,6 +101,12 @@ def lexemes(c: Column | str) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(col(c), F.lit(""))), F.lit(r"([\p{L}\p{N}]+)"), 1)
 
 
+def words_among(c: Column | str, words: list[str]) -> Column:
+    """The occurrences of some lower-case words in order, case aside: lexemes() without all others."""
+    each = "|".join(re.escape(w) for w in sorted(words, key=len, reverse=True))
+    return F.regexp_extract_all(F.lower(F.coalesce(col(c), F.lit(""))), F.lit(rf"(?<![\p{{L}}\p{{N}}])({each})(?![\p{{L}}\p{{N}}])"), 1)
+
+
 def trigrams(c: Column | str) -> Column:
     """Distinct three-character pieces of each word, padded by two blanks before and one behind."""
     words = F.filter(F.split(F.lower(F.coalesce(col(c), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
@@ -273,10 +279,11 @@ def is_scanned(text: Column, pages: Column, least: int = 200, per_page: int = 80
     return (n < least) | (n / F.greatest(F.least(pages, F.lit(most_pages)), F.lit(1)) < per_page)
 
 
-def strip_html(c: Column | str, limit: int = 24_000) -> Column:
-    """Text of a page without scripts, styles and page furniture, squeezed and cut."""
+def strip_html(c: Column | str, limit: int | None = 24_000) -> Column:
+    """Text of a page without scripts, styles and page furniture, squeezed and, with a limit, cut."""
     c = F.regexp_replace(col(c), r"(?is)<(script|style|noscript|svg|iframe|header|footer|nav)\b[^>]*>.*?</\1\s*>", " ")
-    return F.substring(squeeze(F.regexp_replace(c, r"(?s)<[^>]*>", " ")), 1, limit)
+    whole = squeeze(F.regexp_replace(c, r"(?s)<[^>]*>", " "))
+    return F.substring(whole, 1, limit) if limit else whole
 
 
 def boilerplate_hits(c: Column | str) -> Column:
@@ -408,35 +415,50 @@ def chunked(blocks: list[str] | None, budget: int) -> list[str] | None:
     return out + ["\n".join(held)] * bool(held)
 
 
-def chunk_blocks(blocks: Column | str, budget: int = 512) -> Column:
-    @pandas_udf(STRINGS)
-    def run(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: chunked(None if v is None else list(v), budget))
+# The same in array folds: white space and the scripts without blanks, as Java's patterns have them.
+_WHITE = r"\s\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_SINGLE = r"\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uac00-\ud7af"
+_ATOM = rf"(?:[{_SINGLE}]|[^{_WHITE}{_SINGLE}]+)"
 
-    return run(col(blocks))
 
+def token_count(c: Column) -> Column:
+    """count_tokens() as a column."""
+    return F.regexp_count(c, F.lit(_ATOM))
 
-def split_table(rows: Column | str, budget: int = 512) -> Column:
-    """A table's rows dealt to tables within the budget, in order; a larger row stands alone."""
 
-    def groups(cells):
-        if cells is None:
-            return None
-        out, held, n = [], [], 0
-        for row in cells:
-            cost = count_tokens(row)
-            if held and n + cost > budget:
-                out.append("<table>" + "".join(held) + "</table>")
-                held, n = [], 0
-            held.append(row)
-            n += cost
-        return out + ["<table>" + "".join(held) + "</table>"] * bool(held)
+def _packed(items: Column, budget: int, sep: str) -> Column:
+    """Texts of structs (text, cost, alone) joined in order while they fit; those alone stand for themselves."""
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(None).cast("string").alias("held"), F.lit(0).alias("n"))
 
-    @pandas_udf(STRINGS)
-    def run(values: pd.Series) -> pd.Series:
-        return values.map(groups)
+    def step(acc: Column, x: Column) -> Column:
+        full = acc["held"].isNotNull() & (x["alone"] | (acc["n"] + x["cost"] > budget))
+        out = F.when(full, F.concat(acc["out"], F.array(acc["held"]))).otherwise(acc["out"])
+        held = F.when(full | acc["held"].isNull(), x["text"]).otherwise(F.concat(acc["held"], F.lit(sep), x["text"]))
+        n = F.when(full, F.lit(0)).otherwise(acc["n"]) + x["cost"]
+        alone = F.struct(F.concat(out, F.array(x["text"])).alias("out"), F.lit(None).cast("string").alias("held"), F.lit(0).alias("n"))
+        return F.when(x["alone"], alone).otherwise(F.struct(out.alias("out"), held.alias("held"), n.alias("n")))
+
+    return F.aggregate(items, start, step, lambda acc: F.when(acc["held"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(acc["held"]))))
+
+
+def chunk_blocks(blocks: Column | str, budget: int = 512) -> Column:
+    """chunked() as a column: neighbouring blocks joined while they fit the budget, larger ones cut at atoms."""
+    pieces = rf"((?:[{_WHITE}]*{_ATOM}){{1,{budget}}}+[{_WHITE}]*)"
 
-    return run(col(rows))
+    def items(b: Column) -> Column:
+        cut = F.transform(F.regexp_extract_all(b, F.lit(pieces), 1), lambda p: F.struct(p.alias("text"), F.lit(0).alias("cost"), F.lit(True).alias("alone")))
+        return F.when(token_count(b) > budget, cut).otherwise(F.array(F.struct(b.alias("text"), token_count(b).alias("cost"), F.lit(False).alias("alone"))))
+
+    blocks = col(blocks)
+    whole = F.flatten(F.transform(F.filter(blocks, lambda b: b != ""), items))
+    return F.when(blocks.isNotNull(), _packed(whole, budget, "\n"))
+
+
+def split_table(rows: Column | str, budget: int = 512) -> Column:
+    """A table's rows dealt to tables within the budget, in order; a larger row stands alone."""
+    rows = col(rows)
+    items = F.transform(rows, lambda r: F.struct(r.alias("text"), token_count(r).alias("cost"), F.lit(False).alias("alone")))
+    return F.when(rows.isNotNull(), F.transform(_packed(items, budget, ""), lambda t: F.concat(F.lit("<table>"), t, F.lit("</table>"))))
 
 
 def embedded_objects(page: str | None, key: str) -> list[str]:

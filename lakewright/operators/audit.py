@@ -4,7 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.text import common_share, is_corrupt, quote_on_page, recall_tokens, spacing, squeeze
+from ..functions.bags import numbered, with_places
+from ..functions.text import common_share, flat, is_corrupt, recall_tokens, spacing, squeeze
+from ..shared import broadcast_few
+
+#: Answered documents up to which their quotes are broadcast to the pages.
+FEW_ANSWERS = 500_000
 
 # --- Fixed values: lexical evidence of each field. ---
 EVIDENCE = {
@@ -47,16 +52,34 @@ def verdict(evidence: Column, answered: Column, stated: Column, on_page: Column,
 
 
 def null_audit(nulls: DataFrame, answers: DataFrame) -> DataFrame:
-    """(doc_id, field, evidence, verdict) of null fields (doc_id, field, page).
+    """audit_pages() of rows with one null field each: (doc_id, field, page)."""
+    return audit_pages(nulls.select("doc_id", F.array("field").alias("fields"), "page"), answers)
+
+
+def audit_pages(pages: DataFrame, answers: DataFrame, quoted: int = 60) -> DataFrame:
+    """(doc_id, field, evidence, verdict) of the null fields of (doc_id, fields, page).
 
     `answers` (doc_id, field, stated, quote) are recorded replies to targeted questions.
+    The text is read once a page: evidence of its null fields and the presence of its
+    quotes are found there, and only flags are exploded.  Quotes come to the pages by
+    broadcast while they are few, else the two meet by document.
     """
-    met = nulls.join(answers.withColumn("__answered", F.lit(True)), ["doc_id", "field"], "left")
     said = F.col("stated") & (F.col("quote") != "")
-    out = met.withColumn("evidence", has_evidence(F.col("field"), F.col("page")))
-    out = out.withColumn("__on", F.when(said, quote_on_page(F.col("quote"), F.col("page")))).withColumn("__match", F.when(said, has_evidence(F.col("field"), F.col("quote"))))
-    judged = verdict(F.col("evidence"), F.coalesce("__answered", F.lit(False)), F.col("stated"), F.col("__on"), F.coalesce("__match", F.lit(False)))
-    return out.select("doc_id", "field", "evidence", judged.alias("verdict"))
+    needle = F.when(said, F.substring(flat("quote"), 1, quoted))
+    match = F.coalesce(F.when(said, has_evidence(F.col("field"), F.col("quote"))), F.lit(False))
+    told = answers.select("doc_id", F.struct("field", "stated", needle.alias("needle"), match.alias("match")).alias("x"))
+    told = told.groupBy("doc_id").agg(F.collect_list("x").alias("told"))
+    met = pages.join(broadcast_few(told, FEW_ANSWERS), "doc_id", "left")
+    met = met.withColumn("flat", F.when(F.col("told").isNotNull(), flat("page")))
+    # Named twice, so that the page is flattened once and not for each quote.
+    here = F.transform("told", lambda t: F.struct(t["field"].alias("field"), t["stated"].alias("stated"), t["match"].alias("match"), F.col("flat").contains(t["needle"]).alias("here")))
+    found = [F.when(F.array_contains("fields", name), F.struct(F.lit(name).alias("field"), F.col("page").rlike(f"(?iu){pattern}").alias("evidence"))) for name, pattern in EVIDENCE.items()]
+    other = F.filter("fields", lambda f: ~f.isin(list(EVIDENCE)))
+    flags_ = F.concat(F.filter(F.array(*found), lambda x: x.isNotNull()), F.transform(other, lambda f: F.struct(f.alias("field"), F.lit(False).alias("evidence"))))
+    flagged = met.select("doc_id", F.when(F.col("flat").isNotNull(), here).alias("told"), F.explode_outer(flags_).alias("x")).where("x is not null")
+    rows = flagged.select("doc_id", "x.field", "x.evidence", F.get(F.filter("told", lambda t: t["field"] == F.col("x.field")), F.lit(0)).alias("answer"))
+    judged = verdict(F.col("evidence"), F.col("answer").isNotNull(), F.col("answer.stated"), F.col("answer.here"), F.coalesce("answer.match", F.lit(False)))
+    return rows.select("doc_id", "field", "evidence", judged.alias("verdict"))
 
 
 def find_quotes(pages: DataFrame, quotes: DataFrame, page_id: str, quote_id: str, text: str = "text", quote: str = "quote", length: int = 60) -> DataFrame:
@@ -85,16 +108,16 @@ def find_quotes(pages: DataFrame, quotes: DataFrame, page_id: str, quote_id: str
 
 
 def token_recall(pairs: DataFrame, key: str = "doc_id", stored: str = "stored", source: str = "source") -> DataFrame:
-    """(key, recall, extra): share of the source's tokens that are stored, and of the stored ones that are not the source's.
+    """(key, recall, extra) of each row: share of the source's tokens that are stored, and of the stored ones that are not the source's.
 
-    Tokens are bags: counts of each are compared.  Counts combine before the shuffle.
+    Tokens are bags; equal tokens are numbered, so that the intersection of two sets
+    inside the row is that of the bags, and nothing is shuffled.
     """
-    side = lambda c, n: pairs.select(key, F.explode(recall_tokens(c)).alias("token"), F.lit(n).alias("side"))
-    counted = side(stored, 0).unionByName(side(source, 1)).groupBy(key, "token").agg(F.count_if(F.col("side") == 0).alias("st"), F.count_if(F.col("side") == 1).alias("src"))
-    sums = counted.groupBy(key).agg(F.sum(F.least("st", "src")).alias("both"), F.sum(F.greatest(F.col("st") - F.col("src"), F.lit(0))).alias("more"), F.sum("st").alias("st"), F.sum("src").alias("src"))
-    met = pairs.select(key).distinct().join(sums, key, "left")
-    share = lambda a, b: F.coalesce(100 * F.col(a) / F.greatest(F.col(b), F.lit(1)), F.lit(0.0))
-    return met.select(key, share("both", "src").alias("recall"), share("more", "st").alias("extra"))
+    rows = pairs.select(key, F.coalesce(recall_tokens(stored), F.array().cast("array<string>")).alias("st"), F.coalesce(recall_tokens(source), F.array().cast("array<string>")).alias("src"))
+    rows = with_places(with_places(rows, "st", "st bag"), "src", "src bag")
+    rows = rows.select(key, F.size("st").alias("st"), F.size("src").alias("src"), F.size(F.array_intersect(numbered(F.col("st bag")), numbered(F.col("src bag")))).alias("both"))
+    share = lambda a, b: 100 * a / F.greatest(F.col(b), F.lit(1))
+    return rows.select(key, share(F.col("both"), "src").alias("recall"), share(F.col("st") - F.col("both"), "st").alias("extra"))
 
 
 def flags(recall: Column, text: Column) -> Column:

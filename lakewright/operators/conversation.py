@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.functions import pandas_udf
-
-from ..functions.text import STRINGS
 
 FLUSH = 12
 
@@ -40,11 +36,16 @@ def coalesced(tokens, least: int = FLUSH) -> list[str]:
 
 
 def coalesce_deltas(deltas: Column | str, least: int = FLUSH) -> Column:
-    @pandas_udf(STRINGS)
-    def run(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: None if v is None else coalesced(v, least))
+    """coalesced() as a column."""
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("held"))
+
+    def step(acc: Column, t: Column) -> Column:
+        held = F.concat(acc["held"], t)
+        full = F.struct(F.concat(acc["out"], F.array(held)).alias("out"), F.lit("").alias("held"))
+        return F.when(F.length(held) >= least, full).otherwise(F.struct(acc["out"].alias("out"), held.alias("held")))
 
-    return run(F.col(deltas) if isinstance(deltas, str) else deltas)
+    end = lambda acc: F.when(acc["held"] == "", acc["out"]).otherwise(F.concat(acc["out"], F.array(acc["held"])))
+    return F.aggregate(F.col(deltas) if isinstance(deltas, str) else deltas, start, step, end)
 
 
 def events(answers: DataFrame, conversation: str = "conv_id") -> DataFrame:
@@ -101,3 +102,45 @@ def replay_chain(replies: list[dict], models: list[str], budget: int = 8000, cei
 def replay_stream(started: bool, failed: bool) -> str:
     """A stream falls back only before its first token."""
     return "done" if not failed else "interrupted" if started else "next_model"
+
+
+def fallbacks(replies: DataFrame, models: list[str], budget: int = 8000, ceiling: int = 32_000, tries: int = 3, request: str = "request", seq: str = "seq") -> DataFrame:
+    """replay_chain() of each request: (request, model, attempts, fell_back, budget, refunds).
+
+    `replies` (request, seq, model, kind) are recorded; each request's are folded in the
+    order of the models and, within one, of their numbers.
+    """
+    place = F.array_position(F.array(*[F.lit(m) for m in models]), F.col("model")) - 1
+    asked = replies.where(place >= 0).groupBy(request).agg(F.array_sort(F.collect_list(F.struct(place.alias("place"), F.col(seq).alias("seq"), "model", "kind"))).alias("replies"))
+    fields = ("place", "tried", "corrected", "dead", "attempts", "refunds", "budget", "model")
+    first = [F.lit(-1).cast("long"), F.lit(0), F.lit(False), F.lit(False), F.lit(0), F.lit(0), F.lit(budget), F.lit(None).cast("string")]
+    state = lambda values: F.struct(*[v.alias(k) for k, v in zip(fields, values)])
+
+    def step(acc: Column, r: Column) -> Column:
+        new = r["place"] != acc["place"]
+        tried = F.when(new, 0).otherwise(acc["tried"])
+        corrected, dead = (F.when(new, False).otherwise(acc[k]) for k in ("corrected", "dead"))
+        kind = r["kind"]
+        more = (kind == "truncated") & (acc["budget"] < ceiling)
+        again = (kind == "invalid") & ~corrected
+        after = state(
+            [
+                r["place"],
+                tried + 1,
+                corrected | again,
+                ~((kind == "ok") | (kind == "rate_limited") | more | again),
+                acc["attempts"] + 1,
+                acc["refunds"] + (kind == "rate_limited").cast("int"),
+                F.when(more, F.least(acc["budget"] * 4, F.lit(ceiling))).otherwise(acc["budget"]),
+                F.when(kind == "ok", r["model"]),
+            ]
+        )
+        return F.when(acc["model"].isNotNull() | dead | (tried >= tries), acc).otherwise(after)
+
+    done = asked.select(request, F.aggregate("replies", state(first), step).alias("x"))
+    return done.select(request, "x.model", "x.attempts", (F.col("x.model").isNull() | (F.col("x.model") != models[0])).alias("fell_back"), "x.budget", "x.refunds")
+
+
+def stream_outcome(started: Column, failed: Column) -> Column:
+    """replay_stream() as a column: a stream falls back only before its first token."""
+    return F.when(~failed, "done").when(started, "interrupted").otherwise("next_model")

@@ -40,6 +40,11 @@ def total_matching(catalogue: DataFrame, **filters: str) -> DataFrame:
     return catalogue.where(catalogue_filter(**{k: v for k, v in filters.items() if k != "category"})).agg(F.count(F.lit(1)).alias("n"))
 
 
+def relevance(q: str) -> Column:
+    """0 where the title matches, 1 where the description does, else 2."""
+    return F.when(substring_match("title", q), 0).when(substring_match("description", q), 1).otherwise(2) if q else F.lit(0)
+
+
 def search(catalogue: DataFrame, records: DataFrame, q: str = "", category: str = "", ministry: str = "", state: str = "", page: int = 1, per_page: int = 24, source: str = "catalogue") -> DataFrame:
     """One page of the listing, title matches first, and whether details exist.
 
@@ -49,10 +54,11 @@ def search(catalogue: DataFrame, records: DataFrame, q: str = "", category: str
     found = catalogue.where(catalogue_filter(q, category, ministry, state))
     last = max(1, -(-found.count() // per_page))
     page = min(max(1, page), last)
-    rank = F.when(substring_match("title", q), 0).when(substring_match("description", q), 1).otherwise(2) if q else F.lit(0)
-    rows = found.withColumn("__rank", rank).orderBy("__rank", "title", "slug").offset((page - 1) * per_page).limit(per_page)
+    rows = found.withColumn("__rank", relevance(q)).orderBy("__rank", "title", "slug").offset((page - 1) * per_page).limit(per_page)
     sr = records.select(F.col("id").alias("__id"), "confidence", F.col("payload.who_is_eligible").alias("eligibility_preview"))
     met = rows.join(sr, F.concat(F.lit(f"{source}:"), F.col("slug")) == F.col("__id"), "left")
+    # A join keeps no order: the page's few rows are sorted again.
+    met = met.orderBy("__rank", "title", "slug")
     return met.select("slug", "title", "ministry", "state", "confidence", F.col("__id").isNotNull().alias("has_detail"), "eligibility_preview")
 
 
@@ -112,7 +118,36 @@ def hidden_gain(pages: DataFrame, text: str = "text", visible: str = "text_len_v
     return pages.agg(F.sum(gain).alias("gained"), F.floor(F.sum(gain) / F.count(F.lit(1))).alias("average"))
 
 
-def upper_median(c: Column) -> Column:
+#: Values that one task sorts for the last step of nth().
+FEW_VALUES = 10_000
+
+
+def nth(rows: DataFrame, column: str, n: int, bins: int = 256) -> float | None:
+    """The n-th smallest value (from 0) of a numeric column, nulls aside.
+
+    Each pass counts the values in equal bins between two bounds and goes on with the
+    bin that holds the n-th, until it has few values or only one: only counts are
+    shuffled, and no task sorts more than FEW_VALUES.
+    """
+    v = F.col(column).cast("double")
+    held = rows.where(v.isNotNull()).select(v.alias("v"))
+    ends = held.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("v").alias("n")).first()
+    lo, hi, count = ends.lo, ends.hi, ends.n
+    if not 0 <= n < count:
+        return None
+    while count > FEW_VALUES and lo < hi:
+        place = F.least(F.floor((F.col("v") - lo) / (hi - lo) * bins), F.lit(bins - 1))
+        inside = held.where(F.col("v").between(lo, hi)).groupBy(place.alias("bin")).agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        for b in inside.orderBy("bin").collect():  # at most `bins` rows
+            if n < b.n:
+                lo, hi, count = b.lo, b.hi, b.n
+                break
+            n -= b.n
+    if lo == hi:
+        return lo
+    return held.where(F.col("v").between(lo, hi)).orderBy("v").offset(n).limit(1).first().v
+
+
+def upper_median(rows: DataFrame, column: str) -> float | None:
     """The element behind the middle of the sorted values, without interpolation."""
-    values = F.sort_array(F.collect_list(c))
-    return F.element_at(values, (F.floor(F.size(values) / 2) + 1).cast("int"))
+    return nth(rows, column, rows.where(F.col(column).isNotNull()).count() // 2)

@@ -11,7 +11,7 @@ from ..functions.text import col
 # --- Fixed values: patterns, names and orders that define the classes. ---
 DIRECTORY = r"(?i)(?:\bdirector(?:y|ies)\b|^\s*list of\b|\bpin\s?code\b|\b(?:list|register|roster|index)\s+of\s+(?:all\s+)?(?:the\s+)?(?:hospital|school|college|centre|center|office|bank|clinic|institut|univers|village|panchayat|kendra|helpline))"
 STATISTICAL = r"(?i)\b(number of|no\.? of|count of|total|statistics|census|year[\s-]?wise|month[\s-]?wise|quarter[\s-]?wise|scheme[\s-]?wise|(?:state|district|city|region)[\s-]?wise\s+(?:number|total|count|status|progress|fund|amount|allocation|release)|status of|progress of|performance of|achievement|fund(?:s)? (?:released|allocated|sanctioned|utilis)|production|consumption|expenditure|revenue|budget|allocation|growth|rate of|percentage|per capita|index|survey|during \d{4}|for the year|as per census|daily|weekly|monthly|annual|hourly|real[\s-]?time|rainfall|temperature|weather|water level|discharge|data from|readings?|observations?|forecast)\b"
-LOCATORS = "pincode pin_code district districtname state statename address latitude longitude lat lon long location city town village taluk block phone contact telephone email".split()
+LOCATORS = ["pincode", "pin_code", "district", "districtname", "state", "statename", "address", "latitude", "longitude", "lat", "lon", "long", "location", "city", "town", "village", "taluk", "block", "phone", "contact", "telephone", "email"]
 THEMES = [
     ("health", "hospital|dispensar|blood bank|clinic|medical|health|ayush|wellness"),
     ("postal-geo", r"pin\s?code|postal|village|panchayat|ward"),
@@ -29,7 +29,7 @@ LICENCES = [
     ("free-to-reuse", "may be reproduced free of charge|freely (?:be )?(?:used|reproduced)"),
     ("all-rights-reserved", "all rights reserved"),
 ]
-TERMS_PATHS = "/website-policy /website-policies /copyright-policy /copyright /terms-and-conditions /terms /disclaimer /hyperlinking-policy".split()
+TERMS_PATHS = ["/website-policy", "/website-policies", "/copyright-policy", "/copyright", "/terms-and-conditions", "/terms", "/disclaimer", "/hyperlinking-policy"]
 RETRYABLE = ["http_error", "unreachable"]
 # --- End of fixed values. ---
 
@@ -107,9 +107,10 @@ def resumable(targets: DataFrame, done: DataFrame, key: str, settled: Column) ->
 
 
 def fetch_targets(rows: DataFrame, url: str = "url", order: str = "position", only_pdfs: bool = False, only_html: bool = False) -> DataFrame:
-    """The first row of each http url, by position."""
+    """The first row of each http url, by position; a url is taken without the blanks around it, and as it stands."""
+    rows = rows.withColumn(url, F.regexp_replace(url, r"^\s+|\s+$", ""))
     keep = F.col(url).startswith("http")
-    pdf = F.lower(F.regexp_replace(url, r"[?#].*$", "")).endswith(".pdf")
+    pdf = F.lower(url).endswith(".pdf")
     if only_pdfs:
         keep &= pdf
     if only_html:
@@ -133,3 +134,8 @@ def clamp_page(page: Column, last: Column) -> Column:
 def clean_question(c: Column | str, length: int = 500) -> Column:
     """Trimmed and cut; blank questions become null."""
     return F.nullif(F.substring(F.trim(col(c)), 1, length), F.lit(""))
+
+
+def audit_listing(sources: DataFrame) -> DataFrame:
+    """Active sources in the order in which an audit goes through them."""
+    return sources.where("active").orderBy("tier", "slug")

@@ -86,10 +86,19 @@ def bucket_waits(requests: DataFrame, rate_per_min: float, ts: str = "ts", key:
     arrival(j) - j * s answers it without a sequential fold.
     """
     s, full = 60.0 / rate_per_min, burst or int(rate_per_min)
-    w = Window.partitionBy(key).orderBy(ts, order)
     at = F.unix_micros(F.col(ts).cast("timestamp")) / 1e6
-    i = F.row_number().over(w) - 1
-    head = requests.withColumn("__at", at).withColumn("__i", i)
-    lead = F.max(F.col("__at") - F.col("__i") * s).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    # A key may hold a large share of all requests: its days are ordered apart, and meet by one row a day.
+    head = requests.withColumn("__at", at).withColumn("__day", F.to_date(ts))
+    day = Window.partitionBy(key, "__day").orderBy(ts, order)
+    before = Window.partitionBy(key).orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = head.withColumn("__i", F.row_number().over(day) - 1)
+    counted = head.groupBy(key, "__day").agg(F.count(F.lit(1)).alias("__n"))
+    starts = counted.select(F.col(key).alias("__key"), F.col("__day").alias("__on"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    met = numbered.join(starts, F.col(key).eqNullSafe(F.col("__key")) & F.col("__day").eqNullSafe(F.col("__on"))).drop("__key", "__on")
+    placed = met.withColumn("__i", F.col("__i") + F.col("__start")).withColumn("__lead", F.col("__at") - F.col("__i") * s)
+    most = placed.groupBy(key, "__day").agg(F.max("__lead").alias("__most"))
+    ahead = most.select(F.col(key).alias("__key"), F.col("__day").alias("__on"), F.max("__most").over(before).alias("__ahead"))
+    met = placed.withColumn("__lead", F.max("__lead").over(day.rowsBetween(Window.unboundedPreceding, 0))).join(ahead, F.col(key).eqNullSafe(F.col("__key")) & F.col("__day").eqNullSafe(F.col("__on")))
+    lead = F.greatest("__lead", "__ahead")  # greatest() passes over null
     wait = lead + (F.col("__i") - full + 1) * s - F.col("__at")
-    return head.withColumn("waited", F.round(F.greatest(wait, F.lit(0.0)), 3)).drop("__at", "__i")
+    return met.withColumn("waited", F.round(F.greatest(wait, F.lit(0.0)), 3)).drop("__at", "__i", "__day", "__start", "__lead", "__ahead", "__key", "__on")

@@ -1,20 +1,24 @@
 """Lexical and vector retrieval, rank fusion.
 
-Scores over the whole table are plain projections, cut by a bounded top-k; positions
-are numbered only among the k rows left, so no window ever sees the whole table.
+Scores over the whole table are plain projections, cut by a bounded top-k.  The k rows
+of a retriever are fetched and go on as a table of literals with their positions, so
+what follows (fusion, the pool, a listing of six) plans on a handful of rows.
 """
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, Window
+from pyspark.sql.pandas.types import to_arrow_type
 
-from ..functions.scalars import cosine_distance, reciprocal_rank
-from ..functions.text import lexemes, query_terms, trigram_similarity, trigrams
-from .filters import all_terms, any_term
+from ..functions.scalars import distance_to, reciprocal_rank
+from ..functions.text import lexemes, query_terms, trigrams
+from . import fulltext
+from .fulltext import PLAIN, ZETA2, Index
 
 POOL, TOP = 30, 6
-#: Weight of a word without a label, and the limit of the sum of inverse squares.
-PLAIN, ZETA2 = 0.1, 1.64493406685
 
 
 def top(rows: DataFrame, k: int, *order: Column | str) -> DataFrame:
@@ -26,6 +30,16 @@ def positioned(rows: DataFrame, *order: Column | str) -> DataFrame:
     return rows.withColumn("position", F.row_number().over(Window.orderBy(*order)) - 1)
 
 
+def ranking(rows: DataFrame, k: int, *order: Column | str, keep: tuple[str, ...] | None = None) -> DataFrame:
+    """The first k rows with their position from 0, as a table of literals; k bounds what is fetched."""
+    first = top(rows, k, *order).select(*(keep or rows.columns))
+    held = first.collect()
+    fields = [pa.field(f.name, to_arrow_type(f.dataType)) for f in first.schema] + [pa.field("position", pa.int32())]
+    columns = [*zip(*held)] or [()] * len(first.columns)
+    table = pa.table([pa.array(c, f.type) for c, f in zip([*columns, range(len(held))], fields)], schema=pa.schema(fields))
+    return rows.sparkSession.createDataFrame(table)
+
+
 def any_rank(doc: Column, terms: Column) -> Column:
     """Rank of a document for any of the terms: for each, plain weights damped by the square of their number.
 
@@ -67,28 +81,28 @@ def _literals(spark, *columns: Column) -> list[Column]:
     return [F.array(*[F.lit(x) for x in row[i]]) if row[i] else F.array().cast("array<string>") for i in range(len(columns))]
 
 
-def lexical_tiers(catalogue: DataFrame, question: str, document: Column, title: str = "title", key: str = "slug") -> DataFrame:
+def lexical_tiers(index: Index, question: str, key: str = "slug") -> DataFrame:
     """(key, tier, score): 0 every word, 1 any meaningful word, 2 a like title; each key at its best tier."""
-    q = F.lit(question)
-    words = catalogue.select(key, title, lexemes(document).alias("doc"))
-    every, some, pieces = _literals(catalogue.sparkSession, F.array_distinct(lexemes(q)), query_terms(q), trigrams(q))
-    precise = top(words.where(all_terms(F.col("doc"), every)).select(key, F.lit(0).alias("tier"), all_rank(F.col("doc"), every).alias("score")), 40, F.desc("score"), key)
-    loose = top(words.where(any_term(F.col("doc"), some)).select(key, F.lit(1).alias("tier"), any_rank(F.col("doc"), some).alias("score")), 40, F.desc("score"), key)
-    like = trigram_similarity(trigrams(title), pieces)
-    fuzzy = top(catalogue.select(key, F.lit(2).alias("tier"), like.alias("score")).where("score > 0.25"), 20, F.desc("score"), key)
+    found = fulltext.ranked(index, question)
+    # Nine places, so that equal sums in another order are ties.
+    precise = top(found.where("has_all").select("key", F.lit(0).alias("tier"), F.round("all_score", 9).alias("score")), 40, F.desc("score"), "key")
+    loose = top(found.where("has_any").select("key", F.lit(1).alias("tier"), F.round("any_score", 9).alias("score")), 40, F.desc("score"), "key")
+    (pieces,) = _literals(index.titles.sparkSession, trigrams(F.lit(question)))
+    both = F.size(F.array_intersect("grams", pieces))
+    like = both / (F.size("grams") + F.size(pieces) - both)  # the pieces of each are distinct
+    fuzzy = top(index.titles.select("key", F.lit(2).alias("tier"), like.alias("score")).where("score > 0.25"), 20, F.desc("score"), "key")
     rows = precise.unionByName(loose).unionByName(fuzzy)
-    best = Window.partitionBy(key).orderBy("tier", F.desc("score"))
-    return rows.withColumn("__n", F.row_number().over(best)).where("__n = 1").drop("__n")
+    best = rows.groupBy("key").agg(F.min(F.struct("tier", (-F.col("score")).alias("minus"))).alias("x"))
+    return best.select(F.col("key").alias(key), "x.tier", (-F.col("x.minus")).alias("score"))
 
 
-def lexical_candidates(catalogue: DataFrame, question: str, document: Column, k: int = POOL, title: str = "title", key: str = "slug") -> DataFrame:
-    return top(lexical_tiers(catalogue, question, document, title, key), k, "tier", F.desc("score"), key)
+def lexical_candidates(index: Index, question: str, k: int = POOL, key: str = "slug") -> DataFrame:
+    return top(lexical_tiers(index, question, key), k, "tier", F.desc("score"), key)
 
 
 def vector_candidates(vectors: DataFrame, query: list[float], k: int = POOL, key: str = "slug", vector: str = "embedding") -> DataFrame:
     """(key, distance): the nearest vectors by cosine; rows without a vector do not take part."""
-    q = F.array(*[F.lit(float(x)) for x in query])
-    near = vectors.where(F.col(vector).isNotNull()).select(key, F.round(cosine_distance(F.col(vector), q), 9).alias("distance"))
+    near = vectors.where(F.col(vector).isNotNull()).select(key, F.round(distance_to(vector, query), 9).alias("distance"))
     return top(near, k, "distance", key)
 
 
@@ -121,28 +135,30 @@ def rerank(pool: DataFrame, score: Column, k: int = TOP, order: str = "position"
     return top(pool.withColumn("rerank_score", score), k, F.desc("rerank_score"), order)
 
 
-def retrieve(catalogue: DataFrame, vectors: DataFrame, rules: DataFrame, question: str, query: list[float], document: Column, k: int = TOP, pool: int = POOL, reranked: bool = False) -> DataFrame:
+def retrieve(catalogue: DataFrame, vectors: DataFrame, rules: DataFrame, question: str, query: list[float], document: Column, k: int = TOP, pool: int = POOL, reranked: bool = False, index: Index | None = None) -> DataFrame:
     """The fused best of lexical, catalogue-vector and rule-vector retrieval, with their titles.
 
-    Without a reranker the fused order stands.
+    `index` is a written full-text index of the catalogue; without one it is computed for
+    this question.  Without a reranker the fused order stands.
     """
-    lex = positioned(lexical_candidates(catalogue, question, document, pool), "tier", F.desc("score"), "slug")
-    one, two = (positioned(vector_candidates(v, query, pool), "distance", "slug") for v in (vectors, rules))
-    fused = positioned(fused_top([lex, one, two], pool).drop("list", "position"), F.desc("score"), "slug")
-    rows = fused.join(catalogue.select("slug", "title", document.alias("__doc")), "slug")
+    index = index or fulltext.describe(catalogue.select("slug", "title", document.alias("__doc")), "slug", F.col("__doc"), "title")
+    near = lambda v: ranking(vector_candidates(v, query, pool), pool, "distance", "slug")
+    with ThreadPoolExecutor(3) as at_once:  # the retrievers do not wait for each other
+        lex = at_once.submit(lambda: ranking(lexical_tiers(index, question), pool, "tier", F.desc("score"), "slug"))
+        lists = [lex, at_once.submit(near, vectors), at_once.submit(near, rules)]
+        lists = [x.result() for x in lists]
+    fused = ranking(fuse(lists), pool, F.desc("score"), "list", "position", "slug", keep=("slug", "score"))
+    slugs = [r.slug for r in fused.select("slug").collect()]
     if reranked:
         (terms,) = _literals(catalogue.sparkSession, query_terms(F.lit(question)))
-        rows = rerank(rows, lexical_overlap(terms, F.col("__doc")), k)
-    return top(rows, k, "position").select("slug", "title", F.round("score", 9).alias("score"), "position")
+        rows = catalogue.where(F.col("slug").isin(slugs)).select("slug", "title", document.alias("__doc"))
+        rows = rerank(rows.join(F.broadcast(fused), "slug"), lexical_overlap(terms, F.col("__doc")), k)
+    else:
+        rows = index.titles.where(F.col("key").isin(slugs)).withColumnRenamed("key", "slug").join(F.broadcast(fused), "slug")
+    return top(rows, k, *([F.desc("rerank_score")] if reranked else []), "position").select("slug", "title", F.round("score", 9).alias("score"), "position")
 
 
 def in_order(rows: DataFrame, keys: list[str], key: str = "slug", missing: int = 999) -> DataFrame:
     """rows with their place in a list of keys; those not in it are last."""
     place = F.array_position(F.array(*[F.lit(k) for k in keys]), F.col(key)) - 1
     return rows.withColumn("place", F.when(place >= 0, place).otherwise(missing))
-
-
-def postings(documents: DataFrame, key: str, text: Column) -> DataFrame:
-    """(term, key, places): the inverted table that full-text lookups read at scale."""
-    placed = documents.select(key, F.posexplode(lexemes(text)).alias("place", "term"))
-    return placed.groupBy("term", key).agg(F.sort_array(F.collect_list("place")).alias("places"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import catalogue, records, texts, work
+from . import catalogue, feeds, records, texts, work
 
-MODULES = (catalogue, records, texts, work)
+MODULES = (catalogue, feeds, records, texts, work)
 
 
 def queries():

@@ -11,6 +11,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.records import searchable
+from ..operators import fulltext
+from ..shared import new_path, spread, stamp
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -35,8 +39,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+def catalogue(spark: SparkSession, sf_dir: str, all_cores: bool = False) -> DataFrame:
+    """With `all_cores` a small table is dealt to all of them before anything is computed from its texts."""
     docs = table(spark, sf_dir, "documents")
+    if all_cores:
+        docs = spread(docs)
     return docs.select(
         F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("slug"),
         F.substring("text", 1, 48).alias("title"),
@@ -50,6 +57,21 @@ def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_indexes: dict[tuple, fulltext.Index] = {}
+
+
+def text_index(spark: SparkSession, sf_dir: str, fresh: bool = False) -> fulltext.Index:
+    """The catalogue's full-text index, written once an application for the files as they are."""
+    source = f"{sf_dir}/documents.parquet"
+    mark = (spark.sparkContext.applicationId, source, stamp(spark, source))
+    if fresh or mark not in _indexes:
+        path = new_path(spark, "fulltext")
+        rows = catalogue(spark, sf_dir, all_cores=True)
+        fulltext.write(fulltext.describe(rows, "slug", searchable(F.col("title"), F.col("description"), F.col("tags")), "title"), path)
+        _indexes[mark] = fulltext.read(spark, path)
+    return _indexes[mark]
+
+
 CATALOGUE = """catalogue AS (
   SELECT 'd' || doc_id AS slug, substring(text, 1, 48) AS title, text AS description,
          [lang, CASE WHEN n_chars < 800 THEN 'short' WHEN n_chars < 3000 THEN 'medium' ELSE 'long' END] AS categories,

@@ -7,13 +7,18 @@ from pyspark.sql import functions as F
 from ..functions import records as rec
 from ..functions.scalars import cosine_distance
 from ..functions.text import trigram_similarity, trigrams
-from ..operators import dedup, facets, retrieval
+from ..operators import dedup, facets, fulltext, retrieval
 from ..operators.filters import catalogue_filter
-from .base import ARCHIVE, CATALOGUE, QUEUE, RECORDS, Registry, archive, catalogue, queue, records, table
+from ..shared import spread
+from .base import ARCHIVE, CATALOGUE, QUEUE, RECORDS, Registry, archive, catalogue, queue, records, table, text_index
 
 register = Registry()
 Q = "tion"
-QUESTION = "the thing that is needed for inering"
+QUESTION = "Is there any thre for the aneaing of thor?"
+#: Every word of the tables that has one of the question's stems.
+FORMS = {"thre": ["thre", "threing", "threingly"], "anea": ["anea", "aneaed", "aneaing", "aneaes", "aneaingly"], "thor": ["thor", "thorly", "thorlying", "thorlyed"]}
+
+_SEARCHED = "coalesce(title, '') || ' ' || coalesce(description, '') || ' ' || coalesce(array_to_string(tags, ' '), '')"
 
 
 def _where(q: bool = False, category: str = "", ministry: str = "", state: str = "") -> str:
@@ -35,6 +40,13 @@ def browse_search(spark, d):
     return facets.search(catalogue(spark, d), records(spark, d), q=Q, category="long", page=2)
 
 
+@register("listing_order", f"WITH {CATALOGUE}, found AS (SELECT slug, title, CASE WHEN title ILIKE '%{Q}%' THEN 0 WHEN description ILIKE '%{Q}%' THEN 1 ELSE 2 END AS rank FROM catalogue WHERE {_where(True)}) SELECT slug, row_number() OVER (ORDER BY rank, title, slug) - 1 AS position FROM found QUALIFY position < 100")
+def listing_order(spark, d):
+    """The places of the first hundred rows of a search."""
+    found = catalogue(spark, d).where(catalogue_filter(Q)).withColumn("rank", facets.relevance(Q))
+    return retrieval.ranking(found, 100, "rank", "title", "slug", keep=("slug",))
+
+
 @register("browse_last_page", f"WITH {CATALOGUE}, n AS (SELECT count(*) AS n FROM catalogue WHERE ministry = 'src3') SELECT c.slug, c.title FROM catalogue c WHERE ministry = 'src3' ORDER BY title, slug LIMIT 24 OFFSET (SELECT (greatest(1, ((n + 23) // 24)) - 1) * 24 FROM n)")
 def browse_last_page(spark, d):
     return facets.search(catalogue(spark, d), records(spark, d), ministry="src3", page=999).select("slug", "title")
@@ -105,6 +117,11 @@ def display_states(spark, d):
     return met.select("slug", rec.display_state(filled, F.col("id").isNotNull(), F.col("seen").isNotNull()).alias("eligibility_state"))
 
 
+@register("searchable_text", f"WITH {CATALOGUE} SELECT slug, {_SEARCHED} AS body FROM catalogue")
+def searchable_text(spark, d):
+    return catalogue(spark, d).select("slug", rec.searchable(F.col("title"), F.col("description"), F.col("tags")).alias("body"))
+
+
 @register("catalogue_text", f"WITH {CATALOGUE} SELECT slug, substring(concat_ws(' — ', nullif(title, ''), nullif(description, ''), nullif(array_to_string(tags, ', '), '')), 1, 1000) AS body FROM catalogue")
 def catalogue_text(spark, d):
     return catalogue(spark, d).select("slug", rec.catalogue_text(F.col("title"), F.col("description"), F.col("tags")).alias("body"))
@@ -169,11 +186,14 @@ _RANK = "list_sum(list_transform(terms, lambda t: CASE WHEN len(list_filter(doc,
 @register("lexical_any_rank", f"""WITH {CATALOGUE}, words AS (SELECT slug, {_WORDS} AS doc, ['the', 'reed', 'and'] AS terms FROM catalogue)
 SELECT slug, round({_RANK}, 6) AS score FROM words WHERE list_has_any(doc, terms) ORDER BY round({_RANK}, 6) DESC, slug LIMIT 40""")
 def lexical_any_rank(spark, d):
-    from ..functions.text import lexemes
-
-    terms = F.array(*[F.lit(t) for t in ("the", "reed", "and")])
-    doc = lexemes(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("description", F.lit(""))))
-    rows = catalogue(spark, d).select("slug", doc.alias("doc")).where(F.arrays_overlap("doc", terms)).select("slug", F.round(retrieval.any_rank(F.col("doc"), terms), 6).alias("score"))
+    """Words as they stand, from the texts: no stems, no index."""
+    from ..functions.text import words_among
+
+    words = ["the", "reed", "and"]
+    terms = F.array(*[F.lit(t) for t in words])
+    doc = words_among(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("description", F.lit(""))), words)
+    rows = catalogue(spark, d, all_cores=True).select("slug", doc.alias("doc"))
+    rows = rows.where(F.size("doc") > 0).select("slug", F.round(retrieval.any_rank(F.col("doc"), terms), 6).alias("score"))
     return retrieval.top(rows, 40, F.desc("score"), "slug")
 
 
@@ -190,23 +210,70 @@ def rrf_fusion(spark, d):
     return retrieval.fuse([a, b], "doc_id").select("doc_id", F.round("score", 9).alias("score"))
 
 
-@register("retrieve_fused")
+_STEM = "CASE " + " ".join(f"WHEN w IN ({', '.join(repr(w) for w in words)}) THEN '{stem}'" for stem, words in FORMS.items()) + " END"
+_GRAMS = _TRI.format("'" + QUESTION + "'")
+_TIERS = f"""{CATALOGUE},
+said AS (SELECT slug, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i FROM (SELECT slug, regexp_extract_all(lower({_SEARCHED}), '[\\p{{L}}\\p{{N}}]+') AS ws FROM catalogue)),
+stems AS (SELECT slug, stem, p, row_number() OVER (PARTITION BY slug, stem ORDER BY p) AS j FROM (SELECT slug, {_STEM} AS stem, least(i, 16383) AS p FROM said) WHERE stem IS NOT NULL),
+places AS (SELECT * FROM stems WHERE j <= 255),
+one AS (SELECT slug, stem, 0.1 * sum(1.0::DOUBLE / (j * j)) / 1.64493406685 AS r FROM places GROUP BY slug, stem),
+loose AS (SELECT slug, 1 AS tier, round(sum(r) / {len(FORMS)}, 9) AS score FROM one GROUP BY slug ORDER BY score DESC, slug LIMIT 40),
+pairs AS (SELECT a.slug, sqrt(0.01 * CASE WHEN abs(a.p - b.p) > 100 THEN 1e-30 ELSE 1 / (1.005 + 0.05 * exp(abs(a.p - b.p) / 1.5::DOUBLE - 2)) END) AS c FROM places a JOIN places b ON a.slug = b.slug AND a.stem < b.stem AND a.p <> b.p),
+precise AS (SELECT slug, 0 AS tier, round(1 - exp(sum(ln(1 - c))), 9) AS score FROM pairs WHERE slug IN (SELECT slug FROM one GROUP BY slug HAVING count(*) = {len(FORMS)}) GROUP BY slug ORDER BY score DESC, slug LIMIT 40),
+fuzzy AS (SELECT slug, 2 AS tier, len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b)))::DOUBLE AS score FROM (SELECT slug, {_TRI.format("title")} AS a, {_GRAMS} AS b FROM catalogue)
+  WHERE len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b)))::DOUBLE > 0.25 ORDER BY score DESC, slug LIMIT 20),
+tiers AS (SELECT slug, tier, score FROM (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY tier, score DESC) AS n FROM (FROM precise UNION ALL FROM loose UNION ALL FROM fuzzy)) WHERE n = 1)"""
+_NEAREST = lambda where: f"SELECT slug, row_number() OVER (ORDER BY distance, slug) - 1 AS p FROM (SELECT 'd' || e.vec_id AS slug, {_COSINE.replace(', 6)', ', 9)')} AS distance FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE {where} ORDER BY distance, slug LIMIT 30)"
+
+
+@register("retrieve_fused", f"""WITH {_TIERS},
+lists AS (SELECT slug, row_number() OVER (ORDER BY tier, score DESC, slug) - 1 AS p, 0 AS list FROM (SELECT * FROM tiers ORDER BY tier, score DESC, slug LIMIT 30)
+  UNION ALL SELECT slug, p, 1 FROM ({_NEAREST("TRUE")}) UNION ALL SELECT slug, p, 2 FROM ({_NEAREST("e.label < 5")})),
+fused AS (SELECT slug, sum(1.0::DOUBLE / (61 + p)) AS score, min(list * 1000 + p) AS first FROM lists GROUP BY slug),
+pool AS (SELECT slug, score, row_number() OVER (ORDER BY round(score, 12) DESC, first, slug) - 1 AS position FROM fused QUALIFY position < 30)
+SELECT slug, title, round(score, 9) AS score, position FROM pool JOIN catalogue USING (slug) ORDER BY position LIMIT 6""")
 def retrieve_fused(spark, d):
     v = _vectors(spark, d)
     doc = rec.searchable(F.col("title"), F.col("description"), F.col("tags"))
-    return retrieval.retrieve(catalogue(spark, d), v, v.where("label < 5"), QUESTION, _vector(spark, d), doc)
+    return retrieval.retrieve(catalogue(spark, d), v, v.where("label < 5"), QUESTION, _vector(spark, d), doc, index=text_index(spark, d))
 
 
-@register("retrieve_lexical_tiers")
+@register("retrieve_lexical_tiers", f"WITH {_TIERS} SELECT slug, tier, round(score, 9) AS score FROM tiers")
 def retrieve_lexical_tiers(spark, d):
+    return retrieval.lexical_tiers(text_index(spark, d), QUESTION).select("slug", "tier", F.round("score", 9).alias("score"))
+
+
+@register("lexical_candidates", f"WITH {_TIERS} SELECT slug, row_number() OVER (ORDER BY tier, score DESC, slug) - 1 AS position FROM (SELECT * FROM tiers ORDER BY tier, score DESC, slug LIMIT 30)")
+def lexical_candidates(spark, d):
+    found = retrieval.lexical_tiers(text_index(spark, d), QUESTION)
+    return retrieval.ranking(found, retrieval.POOL, "tier", F.desc("score"), "slug", keep=("slug",))
+
+
+@register("fulltext_build", f"WITH {CATALOGUE}, said AS (SELECT DISTINCT slug, unnest(regexp_extract_all(lower({_SEARCHED}), '[\\p{{L}}\\p{{N}}]+')) AS w FROM catalogue) SELECT count(*) AS postings, count(DISTINCT w) AS terms, (SELECT count(*) FROM catalogue) AS titles FROM said")
+def fulltext_build(spark, d):
+    """Builds the index anew and counts what it holds."""
+    index = text_index(spark, d, fresh=True)
+    count = lambda rows, name: rows.agg(F.count(F.lit(1)).alias(name))
+    return count(index.postings, "postings").join(count(index.vocabulary, "terms")).join(count(index.titles, "titles"))
+
+
+@register("reranked", f"""WITH {CATALOGUE}, said AS (SELECT slug, ['thre', 'aneaing', 'thor'] AS terms, regexp_extract_all(lower({_SEARCHED}), '[\\p{{L}}\\p{{N}}]+') AS ws FROM catalogue),
+pool AS (SELECT slug, terms, ws, row_number() OVER (ORDER BY md5(slug || '/4'), slug) - 1 AS position FROM said QUALIFY position < 300)
+SELECT slug, position, round(len(list_intersect(terms, list_distinct(ws))) / 3.0::DOUBLE, 9) AS rerank_score FROM pool ORDER BY rerank_score DESC, position LIMIT 6""")
+def reranked(spark, d):
+    """A pool of 300 ordered anew by the terms that each text has, equal ones as they came."""
     doc = rec.searchable(F.col("title"), F.col("description"), F.col("tags"))
-    return retrieval.lexical_tiers(catalogue(spark, d), QUESTION, doc).select("slug", "tier", F.round("score", 9).alias("score"))
+    h = F.md5(F.concat("slug", F.lit("/4")).cast("binary"))
+    rows = catalogue(spark, d).select("slug", doc.alias("doc"), h.alias("h"))
+    pool = retrieval.ranking(rows, 300, "h", "slug", keep=("slug", "doc"))
+    terms = F.array(*[F.lit(t) for t in ("thre", "aneaing", "thor")])
+    return retrieval.rerank(pool, F.round(retrieval.lexical_overlap(terms, F.col("doc")), 9)).select("slug", "position", "rerank_score")
 
 
 @register("postings", """WITH w AS (SELECT doc_id, term, i - 1 AS place FROM (SELECT doc_id, unnest(ws) AS term, unnest(range(1, len(ws) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS ws FROM documents)))
 SELECT term, count(DISTINCT doc_id) AS docs, count(*) AS places FROM w GROUP BY term""")
 def postings(spark, d):
-    p = retrieval.postings(table(spark, d, "documents"), "doc_id", F.col("text"))
+    p = fulltext.postings(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", F.col("text"))
     return p.groupBy("term").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.size("places")).alias("places"))
 
 

@@ -44,15 +44,18 @@ def rules_text(spark, d):
     return records(spark, d).select("id", rec.rules_text(F.col("payload.canonical_name"), F.col("payload")).alias("body"))
 
 
-@register("snippets", f"""WITH {CATALOGUE}, {RECORDS}
-SELECT slug, substring(CASE WHEN r.id IS NULL THEN concat_ws(chr(10), 'SCHEME: ' || title, 'Ministry: ' || nullif(c.ministry, ''), 'Category: ' || array_to_string(categories, ', '),
+SNIPPET = """substring(CASE WHEN r.id IS NULL THEN concat_ws(chr(10), 'SCHEME: ' || title, 'Ministry: ' || nullif(c.ministry, ''), 'Category: ' || array_to_string(categories, ', '),
     '(details not extracted yet — only the official summary below is available)', 'Summary: ' || nullif(description, ''))
   ELSE concat_ws(chr(10), 'SCHEME: ' || title, 'Ministry: ' || nullif(c.ministry, ''), 'Category: ' || array_to_string(categories, ', '),
     'What it is: ' || coalesce(nullif(what_it_is, ''), nullif(description, '')), 'Who is eligible: ' || nullif(who_is_eligible, ''), 'NOT eligible: ' || nullif(exclusions, ''),
     'Documents required: ' || nullif(array_to_string(documents_required, '; '), ''), 'How to apply: ' || nullif(array_to_string(how_to_apply, '; '), ''),
     'Apply by: ' || nullif(array_to_string(application_modes, '; '), ''),
     'Fee: ' || CASE WHEN fee_amount IS NULL THEN nullif(fee_notes, '') WHEN fee_amount <> 0 THEN fee_amount::VARCHAR END,
-    'Helpline: ' || nullif(helpline, ''), 'Email: ' || nullif(email, '')) END, 1, 1400) AS snippet
+    'Helpline: ' || nullif(helpline, ''), 'Email: ' || nullif(email, '')) END, 1, 1400)"""
+
+
+@register("snippets", f"""WITH {CATALOGUE}, {RECORDS}
+SELECT slug, {SNIPPET} AS snippet
 FROM catalogue c LEFT JOIN records r ON r.id = 'catalogue:' || slug""")
 def snippets(spark, d):
     r = records(spark, d).select("id", "payload")

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import records as rec, text as tx
+from ..functions import pages as pg, records as rec, text as tx
 from ..operators import facets, filters
 from ..operators.audit import find_quotes, flags, link_bucket, method_summary, token_recall
 from ..operators.dedup import exact_groups
+from ..shared import cut, spread
 from .base import Registry, table
 
 register = Registry()
@@ -64,14 +65,19 @@ def stripped_html(spark, d):
     return table(spark, d, "pages").select("page_id", tx.strip_html("html").alias("body"))
 
 
-@register("boilerplate", "SELECT page_id, hits, round(hits / greatest(len(list_filter(string_split(html, chr(10)), lambda x: trim(x) <> '')), 1)::DOUBLE, 6) AS ratio FROM (SELECT page_id, html, (" + " + ".join(f"(length(low) - length(replace(low, '{p}', ''))) // {len(p)}" for p in tx.BOILERPLATE) + ")::BIGINT AS hits FROM (SELECT page_id, html, lower(html) AS low FROM pages))")
+@register("boilerplate", "SELECT page_id, hits, round(hits / greatest(len(list_filter(string_split(html, chr(10)), lambda x: trim(x) <> '')), 1)::DOUBLE, 6) AS ratio FROM (SELECT page_id, html, (" + " + ".join(f"(length(low) - length(replace(low, '{p}', ''))) // {len(p)}" for p in tx.BOILERPLATE) + ")::BIGINT AS hits FROM (SELECT page_id, html, lower(html) AS low FROM (SELECT page_id, repeat('Skip to Main Content' || chr(10) || 'A+ A-' || chr(10) || 'Text size, help' || chr(10), (page_id % 4)::INT) || html AS html FROM pages)))")
 def boilerplate(spark, d):
-    return table(spark, d, "pages").select("page_id", tx.boilerplate_hits("html").alias("hits"), F.round(tx.boilerplate_ratio("html"), 6).alias("ratio"))
+    """Pages behind no to three copies of a site's frame."""
+    framed = F.concat(F.repeat(F.lit("Skip to Main Content\nA+ A-\nText size, help\n"), (F.col("page_id") % 4).cast("int")), "html")
+    pages = table(spark, d, "pages").select("page_id", framed.alias("html"))
+    return pages.select("page_id", tx.boilerplate_hits("html").alias("hits"), F.round(tx.boilerplate_ratio("html"), 6).alias("ratio"))
 
 
-@register("qualified_pages", "SELECT page_id FROM pages WHERE len(regexp_extract_all(lower(html), 'eligib|documents?\\s+required|how\\s+to\\s+apply|application\\s+(?:process|form)|who\\s+can\\s+apply|fee|beneficiar|criteria')) >= 3")
+@register("qualified_pages", "SELECT page_id FROM pages WHERE len(regexp_extract_all(lower(html || ['', ' Eligibility: any', ' Eligibility, how to  apply, Fee', ' Documents Required. Application form. Criteria'][(page_id % 4 + 1)::INT]), 'eligib|documents?\\s+required|how\\s+to\\s+apply|application\\s+(?:process|form)|who\\s+can\\s+apply|fee|beneficiar|criteria')) >= 3")
 def qualified_pages(spark, d):
-    return table(spark, d, "pages").where(tx.qualifies("html")).select("page_id")
+    """Pages with none to three signs of a service added."""
+    signs = F.array(*[F.lit(x) for x in ("", " Eligibility: any", " Eligibility, how to  apply, Fee", " Documents Required. Application form. Criteria")])
+    return table(spark, d, "pages").where(tx.qualifies(F.concat("html", F.get(signs, (F.col("page_id") % 4).cast("int"))))).select("page_id")
 
 
 @register("common_words", "SELECT doc_id, len(ws) AS words, round(CASE WHEN len(ws) > 0 THEN 100.0::DOUBLE * len(list_filter(ws, lambda w: list_contains([" + ",".join(f"'{w}'" for w in tx.COMMON_WORDS) + "], lower(w)))) / len(ws) ELSE 0 END, 6) AS common_pct FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]{2,}') AS ws FROM documents)")
@@ -83,7 +89,7 @@ _TOKENS = "regexp_extract_all(lower(regexp_replace({}, '-\\s+', '', 'g')), '[a-z
 
 
 def _pairs(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.replace("text", F.lit("tion"), F.lit("- tiom ")).alias("stored"), "text", F.col("text").alias("source"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.replace("text", F.lit("tion"), F.lit("- tiom ")).alias("stored"), "text", F.col("text").alias("source"))
 
 
 _RECALL = f"""docs AS (SELECT doc_id, replace(text, 'tion', '- tiom ') AS stored, text AS source FROM documents),
@@ -101,14 +107,24 @@ def recall(spark, d):
 
 @register("recall_summary", f"WITH {_RECALL} SELECT round(avg(recall), 6) AS mean, round((list_sort(list(recall)))[(count(*) // 2 + 1)::INT], 6) AS upper_median, round(min(recall), 6) AS worst FROM recalls")
 def recall_summary(spark, d):
-    r = token_recall(_pairs(spark, d))
-    return r.agg(F.round(F.avg("recall"), 6).alias("mean"), F.round(facets.upper_median(F.col("recall")), 6).alias("upper_median"), F.round(F.min("recall"), 6).alias("worst"))
+    r = cut(token_recall(_pairs(spark, d)))
+    middle = F.lit(facets.upper_median(r, "recall")).cast("double")
+    return r.agg(F.round(F.avg("recall"), 6).alias("mean"), F.round(F.first(middle), 6).alias("upper_median"), F.round(F.min("recall"), 6).alias("worst"))
 
 
-@register("document_flags")
+_MARKS = """marks AS (SELECT doc_id, (CASE WHEN w > 0 THEN 100.0::DOUBLE * s / w ELSE 0 END) > 8 OR g >= 1 OR r > 2 AS corrupt, lat > 200 AND 100.0::DOUBLE * com / greatest(lat, 1) < 4 AS odd
+FROM (SELECT doc_id, len(ws) AS w, len(list_filter(ws, lambda x: regexp_full_match(x, '\\p{L}'))) AS s, len(regexp_extract_all(text, '\\b[A-Za-z]{25,}\\b')) AS g,
+      len(regexp_extract_all(text, '(?:\\b[A-Za-z]\\s){4,}')) AS r, len(ls) AS lat, len(list_filter(ls, lambda x: list_contains([""" + ",".join(f"'{w}'" for w in tx.COMMON_WORDS) + """], lower(x)))) AS com
+      FROM (SELECT doc_id, text, regexp_extract_all(text, '\\S+') AS ws, regexp_extract_all(text, '[A-Za-z]{2,}') AS ls FROM documents)))"""
+
+
+@register("document_flags", f"WITH {_RECALL}, {_MARKS} SELECT doc_id, concat_ws(',', CASE WHEN recall < 90 THEN 'low_recall' END, CASE WHEN corrupt THEN 'boundaries' END, CASE WHEN odd THEN 'not_prose' END) AS flags FROM recalls JOIN marks USING (doc_id)")
 def document_flags(spark, d):
+    """Recall and marks of a text meet in its row: narrow ones, by id."""
     p = _pairs(spark, d)
-    return p.join(token_recall(p), "doc_id").select("doc_id", F.array_join(flags(F.col("recall"), F.col("text")), ",").alias("flags"))
+    marked = p.select("doc_id", flags(F.lit(100.0), F.col("text")).alias("marks"))
+    low = F.when(F.col("recall") < 90, F.array(F.lit("low_recall"))).otherwise(F.array().cast("array<string>"))
+    return token_recall(p).join(marked, "doc_id").select("doc_id", F.array_join(F.concat(low, "marks"), ",").alias("flags"))
 
 
 @register("quotes_on_pages", "SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(lower(trim(regexp_replace(d.text, '\\s+', ' ', 'g'))), substring(lower(trim(regexp_replace(b.text, '\\s+', ' ', 'g'))), 1, 60))")
@@ -148,9 +164,11 @@ def url_parts(spark, d):
     return table(spark, d, "pages").select("page_id", tx.host("url").alias("host"), tx.is_deep_link("url").alias("deep"))
 
 
-@register("missing_pages", "SELECT page_id FROM pages WHERE regexp_matches(substring(lower('Error ' || page_id || ' ' || html), 1, 300), 'page not found|404|couldn''t find the page|could not find the page|page you''re looking for')")
+@register("missing_pages", "SELECT page_id FROM pages WHERE regexp_matches(substring(lower(['Page Not Found ', 'Error 404: ', '', repeat('x', 300) || ' page not found'][(page_id % 4 + 1)::INT] || html), 1, 300), 'page not found|404|couldn''t find the page|could not find the page|page you''re looking for')")
 def missing_pages(spark, d):
-    return table(spark, d, "pages").where(tx.looks_missing(F.concat(F.lit("Error "), F.col("page_id").cast("string"), F.lit(" "), "html"))).select("page_id")
+    """Pages behind an error's text, some of it too late to count."""
+    heads = F.array(*[F.lit(x) for x in ("Page Not Found ", "Error 404: ", "", "x" * 300 + " page not found")])
+    return table(spark, d, "pages").where(tx.looks_missing(F.concat(F.get(heads, (F.col("page_id") % 4).cast("int")), "html"))).select("page_id")
 
 
 @register("themes", "SELECT p_partkey, " + "CASE " + " ".join(f"WHEN regexp_matches(t, '(?i){p}') THEN '{n}'" for n, p in filters.THEMES) + " END AS theme FROM (SELECT p_partkey, ['Blood Bank', 'PIN code list', 'Colleges', 'Toll free', 'ATM', 'Railway', 'Court', 'Other'][(p_partkey % 8 + 1)::INT] || ' ' || p_name AS t FROM part)")
@@ -222,16 +240,120 @@ def byte_lengths(spark, d):
     return table(spark, d, "documents").select("doc_id", utf8_bytes("text").alias("bytes"))
 
 
-@register("chunks")
+def _greedy(items: str, budget: int, sep: str) -> str:
+    """SQL of a greedy merge: `items` gives (doc_id, i, item, cost, alone) with i from 1; the result (doc_id, place, chunk)."""
+    full = f"f.alone OR l.alone OR f.n + l.cost > {budget}"
+    return f"""WITH RECURSIVE items AS ({items}),
+fold AS (SELECT doc_id, i, item, alone, 0 AS place, CASE WHEN alone THEN 0 ELSE cost END AS n FROM items WHERE i = 1
+  UNION ALL SELECT l.doc_id, l.i, l.item, l.alone, f.place + ({full})::INT, CASE WHEN l.alone THEN 0 WHEN {full} THEN l.cost ELSE f.n + l.cost END FROM fold f JOIN items l ON l.doc_id = f.doc_id AND l.i = f.i + 1)
+SELECT doc_id, place, string_agg(item, {sep} ORDER BY i) AS chunk FROM fold GROUP BY doc_id, place"""
+
+
+_LINES = """SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k, h) AS i, item, CASE WHEN alone THEN 0 ELSE len(regexp_extract_all(item, '\\S+')) END AS cost, alone
+  FROM (SELECT doc_id, k, alone, unnest(pieces) AS item, unnest(range(1, len(pieces) + 1)) AS h
+    FROM (SELECT doc_id, k, len(regexp_extract_all(line, '\\S+')) > 40 AS alone, CASE WHEN len(regexp_extract_all(line, '\\S+')) > 40 THEN regexp_extract_all(line, '(?:\\s*\\S+){1,40}\\s*') ELSE [line] END AS pieces
+      FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS k FROM documents) WHERE line <> ''))"""
+
+
+@register("chunks", _greedy(_LINES, 40, "chr(10)"))
 def chunks(spark, d):
-    c = table(spark, d, "documents").select("doc_id", F.posexplode(tx.chunk_blocks(F.split("text", "\n"), 128)).alias("place", "chunk"))
-    return c.select("doc_id", "place", "chunk")
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", F.posexplode(tx.chunk_blocks(F.split("text", "\n"), 40)).alias("place", "chunk"))
+
+
+_ROWS = """SELECT doc_id, k AS i, '<tr>' || line || '</tr>' AS item, len(regexp_extract_all('<tr>' || line || '</tr>', '\\S+')) AS cost, FALSE AS alone
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS k FROM documents)"""
+
 
+@register("table_chunks", f"SELECT doc_id, place, '<table>' || chunk || '</table>' AS chunk FROM ({_greedy(_ROWS, 60, repr(''))})")
+def table_chunks(spark, d):
+    """Lines as the rows of a table, dealt to tables of sixty words."""
+    rows = F.transform(F.split("text", "\n"), lambda x: F.concat(F.lit("<tr>"), x, F.lit("</tr>")))
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", F.posexplode(tx.split_table(rows, 60)).alias("place", "chunk"))
 
-@register("page_text")
+
+_PLAIN = "html"
+for _t in ("script", "style", "noscript", "svg", "iframe", "header", "footer", "nav"):
+    _PLAIN = f"regexp_replace({_PLAIN}, '(?is)<{_t}\\b[^>]*>.*?</{_t}\\s*>', ' ', 'g')"
+_PLAIN = f"regexp_replace({_PLAIN}, '(?s)<[^>]*>', ' ', 'g')"
+for _name, _char in (("&middot;", "·"), ("&copy;", "©"), ("&quot;", '"'), ("&amp;", "&")):
+    _PLAIN = f"replace({_PLAIN}, '{_name}', '{_char}')"
+
+
+@register("page_text", f"SELECT page_id, nullif(trim(regexp_replace({_PLAIN}, '\\s+', ' ', 'g')), '') AS body, length(html) > 200 AS ok FROM pages")
 def page_text(spark, d):
-    """Cleaned text of each page with references decoded."""
-    return table(spark, d, "pages").select("page_id", tx.clean(tx.strip_html("html")).alias("body"), rec.page_ok(F.lit(None).cast("string"), F.col("html")).alias("ok"))
+    """Cleaned text of each whole page with references decoded."""
+    return table(spark, d, "pages").select("page_id", tx.clean(tx.strip_html("html", None)).alias("body"), rec.page_ok(F.lit(None).cast("string"), F.col("html")).alias("ok"))
+
+
+@register("document_ok", "SELECT page_id, page_id % 3 <> 0 AND length(substring(html, 1, (page_id % 200)::INT)) > 100 AS static_ok, page_id % 5 <> 0 AND length(substring(html, 1, (page_id % 400)::INT)) > 200 AS rendered_ok FROM pages")
+def document_ok(spark, d):
+    k = F.col("page_id")
+    start = lambda n: F.substring(F.col("html"), F.lit(1), (k % n).cast("int"))
+    fine = rec.document_ok(F.when(k % 3 == 0, "http_error").otherwise("ok"), start(200))
+    return table(spark, d, "pages").select("page_id", fine.alias("static_ok"), rec.page_ok(F.when(k % 5 == 0, "timeout"), start(400)).alias("rendered_ok"))
+
+
+@register("dom_texts", "SELECT doc_id, lang || ' a b' || chr(10) || chr(10) || source || chr(10) || chr(10) || doc_id AS body FROM documents")
+def dom_texts(spark, d):
+    """Text that is folded away counts, scripts and what is hidden from readers do not; blocks part lines."""
+    k = F.col("doc_id").cast("string")
+    parts = (F.lit("<html><head><title>no</title></head><body><p>outside</p><main><div>"), F.col("lang"), F.lit('<script>x</script><p aria-hidden="true">no<p>no</p></p><span> a  b</span><ul style="display:none"><li>'), F.col("source"), F.lit("</li><li>"), k, F.lit("</li></ul></div></main>after</body></html>"))
+    return table(spark, d, "documents").select("doc_id", pg.dom_text(F.concat(*parts)).alias("body"))
+
+
+_MD = "'| id | lang |' || chr(10) || '|---|---|' || chr(10) || '| ' || doc_id || ' | ' || lang || ' & co |'"
+
+
+@register("page_tables", f"SELECT doc_id, source || chr(10) || chr(10) || {_MD} || chr(10) || chr(10) || 'end' AS body, {_MD} AS tables FROM documents")
+def page_tables(spark, d):
+    """Main text without the page's frame, its tables as markdown blocks, and those blocks alone."""
+    k = F.col("doc_id").cast("string")
+    html = F.concat(F.lit("<body><nav>menu | a | b | c</nav><p>"), "source", F.lit("</p><table><tr><th>id<th>lang</tr><tr><td>"), k, F.lit("</td><td>"), "lang", F.lit(" &amp;\n co</td></tr></table><p>end</p><footer>x</footer></body>"))
+    docs = table(spark, d, "documents").select("doc_id", pg.main_text(html).alias("body"))
+    return docs.select("doc_id", "body", F.array_join(pg.markdown_tables("body"), "\n\n").alias("tables"))
+
+
+@register("json_lists", "SELECT doc_id, lang || ';' || doc_id || ';' || source || ' — 3;7' AS items, 'at first: ' || lang || ';at first: x;later: ' || source AS labelled FROM documents")
+def json_lists(spark, d):
+    """Nested JSON flattened: lists in order, objects as labelled or joined items."""
+    k = F.col("doc_id").cast("string")
+    nested = F.concat(F.lit('["'), "lang", F.lit('", ['), k, F.lit(', null], {"name": "'), "source", F.lit('", "n": 3, "deep": []}, [[7]]]'))
+    named = F.concat(F.lit('{"at_first": ["'), "lang", F.lit('", "x"], "later": "'), "source", F.lit('"}'))
+    docs = table(spark, d, "documents")
+    return docs.select("doc_id", F.array_join(tx.json_to_list(nested), ";").alias("items"), F.array_join(tx.json_to_list(named), ";").alias("labelled"))
+
+
+@register("recovered_json", """SELECT doc_id, '{"a": "}' || lang || '{", "n": {"k": ' || doc_id || '}}' AS body FROM documents""")
+def recovered_json(spark, d):
+    """One object bare, fenced, behind prose, and before more of it."""
+    obj = F.concat(F.lit('{"a": "}'), "lang", F.lit('{", "n": {"k": '), F.col("doc_id").cast("string"), F.lit("}}"))
+    forms = F.array(obj, F.concat(F.lit("```json\n"), obj, F.lit("\n```")), F.concat(F.lit("Here it is:\n"), obj), F.concat(F.lit("Sure. "), obj, F.lit(" Done {")))
+    return table(spark, d, "documents").select("doc_id", tx.recover_json(F.get(forms, (F.col("doc_id") % 4).cast("int"))).alias("body"))
+
+
+@register("extractor_choice", """WITH made AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'short plain words ' || doc_id WHEN 1 THEN 'a b c d e f glued' || repeat('x', 30) ELSE 'words ' || repeat('y', 26) || ' of a text' END AS mine,
+  CASE doc_id % 4 WHEN 1 THEN 'a better text of this page, whole' WHEN 2 THEN 'tiny' ELSE 'words of quite the same text, or a longer one' END AS other FROM documents)
+SELECT doc_id, CASE WHEN doc_id % 4 IN (1, 3) THEN other ELSE mine END AS body FROM made""")
+def extractor_choice(spark, d):
+    """A corrupt text gives way to a cleaner one that is not much shorter."""
+    k = F.col("doc_id") % 4
+    mine = F.when(k == 0, F.concat(F.lit("short plain words "), F.col("doc_id").cast("string"))).when(k == 1, "a b c d e f glued" + "x" * 30).otherwise("words " + "y" * 26 + " of a text")
+    other = F.when(k == 1, "a better text of this page, whole").when(k == 2, "tiny").otherwise("words of quite the same text, or a longer one")
+    return table(spark, d, "documents").select("doc_id", mine.alias("mine"), other.alias("other")).select("doc_id", tx.better_text(F.col("mine"), F.col("other")).alias("body"))
+
+
+#: Words of the published sample, and their stems.
+SAMPLE_STEMS = {"consign": "consign", "consigned": "consign", "consignment": "consign", "consistency": "consist", "consistently": "consist", "consisting": "consist", "consolation": "consol", "consolatory": "consolatori", "consolidating": "consolid", "consonant": "conson", "conspicuous": "conspicu", "constable": "constabl", "constancy": "constanc", "knackeries": "knackeri", "knaves": "knave", "knavish": "knavish", "kneaded": "knead", "kneel": "kneel", "kneels": "kneel", "knightly": "knight", "knocking": "knock", "knotty": "knotti", "knowing": "know", "the": None, "themselves": None}
+
+
+@register("lexemes_of_words", "SELECT n_nationkey, word, lexeme FROM nation JOIN (VALUES " + ", ".join(f"({i}, '{w}', {repr(x) if x else 'NULL'})" for i, (w, x) in enumerate(SAMPLE_STEMS.items())) + ") t(i, word, lexeme) ON i = n_nationkey")
+def lexemes_of_words(spark, d):
+    from ..functions.stemming import lexeme
+
+    word = F.get(F.array(*[F.lit(w) for w in SAMPLE_STEMS]), F.col("n_nationkey"))
+    return table(spark, d, "nation").select("n_nationkey", word.alias("word"), lexeme(word).alias("lexeme"))
 
 
 def queries():

@@ -7,6 +7,9 @@ from pyspark.sql import Window, functions as F
 from ..functions import scalars
 from ..functions.records import snippet
 from ..operators import conversation as conv, dedup, facets, filters, queue as q
+from ..operators.audit import EVIDENCE, audit_pages
+from ..shared import spread
+from .records import SNIPPET
 from .base import AS_OF, ARCHIVE, CATALOGUE, QUEUE, RECORDS, Registry, archive, catalogue, queue, records, table
 
 register = Registry()
@@ -56,9 +59,10 @@ def queue_outcomes(spark, d):
 
 
 @register("queue_enqueue", f"""WITH {CATALOGUE}, {ARCHIVE}, {QUEUE}
-SELECT a.id AS raw_document_id, CASE WHEN c.ministry IS NOT NULL THEN 0 ELSE 5 END AS tier, 'pending' AS status FROM archive a LEFT JOIN catalogue c ON c.slug = a.slug WHERE a.id NOT IN (SELECT id FROM queue)""")
+SELECT a.id AS raw_document_id, CASE WHEN c.ministry IS NOT NULL THEN 0 ELSE 5 END AS tier, 'pending' AS status FROM archive a LEFT JOIN catalogue c ON c.slug = a.slug WHERE a.id NOT IN (SELECT id FROM queue WHERE id % 4 <> 0)""")
 def queue_enqueue(spark, d):
-    return q.enqueue(queue(spark, d), archive(spark, d), catalogue(spark, d), 5, _as_of()).select("raw_document_id", "tier", "status")
+    """Every fourth document has no task yet."""
+    return q.enqueue(queue(spark, d).where("id % 4 <> 0"), archive(spark, d), catalogue(spark, d), 5, _as_of()).select("raw_document_id", "tier", "status")
 
 
 @register("daily_quota", "SELECT ts::DATE::VARCHAR AS day, count(*) AS requests, least(count(*), 300) AS used, greatest(count(*) - 300, 0) AS refused, greatest(300 - count(*), 0) AS remaining FROM events GROUP BY 1")
@@ -183,10 +187,12 @@ def resumable_targets(spark, d):
     return filters.resumable(pages, done, "page_id", ~F.col("status").isin(filters.RETRYABLE)).select("url")
 
 
-@register("fetch_targets", "SELECT url, min(page_id) AS page_id FROM (SELECT CASE WHEN page_id % 3 = 0 THEN url ELSE 'https://x.example/' || (page_id % 10) || CASE WHEN page_id % 2 = 0 THEN '.pdf' ELSE '.html' END END AS url, page_id FROM pages) WHERE url LIKE 'http%' AND NOT lower(regexp_replace(url, '[?#].*$', '')) LIKE '%.pdf' GROUP BY url")
+@register("fetch_targets", "SELECT url, min(page_id) AS page_id FROM (SELECT trim(CASE WHEN page_id % 3 = 0 THEN url ELSE ['', ' '][(page_id % 2 + 1)::INT] || 'https://x.example/' || (page_id % 10) || ['.PDF', '.html', '.pdf?v=1', '.pdf#p2 '][(page_id % 4 + 1)::INT] END) AS url, page_id FROM pages) WHERE url LIKE 'http%' AND NOT lower(url) LIKE '%.pdf' GROUP BY url")
 def fetch_targets(spark, d):
+    """Urls with blanks around them, and with something behind .pdf, which are no documents by their name."""
     k = F.col("page_id")
-    url = F.when(k % 3 == 0, F.col("url")).otherwise(F.concat(F.lit("https://x.example/"), (k % 10).cast("string"), F.when(k % 2 == 0, ".pdf").otherwise(".html")))
+    ends = F.get(F.array(*[F.lit(x) for x in (".PDF", ".html", ".pdf?v=1", ".pdf#p2 ")]), (k % 4).cast("int"))
+    url = F.when(k % 3 == 0, F.col("url")).otherwise(F.concat(F.when(k % 2 == 0, "").otherwise(" "), F.lit("https://x.example/"), (k % 10).cast("string"), ends))
     return filters.fetch_targets(table(spark, d, "pages").select(url.alias("url"), "page_id"), order="page_id", only_html=True)
 
 
@@ -235,7 +241,44 @@ def event_rows(spark, d):
     return rows.groupBy("conv_id").agg(F.count(F.lit(1)).alias("events"))
 
 
-@register("context_snippets")
+@register("event_log", """WITH said AS (SELECT conv_id, string_agg(text, '' ORDER BY turn) AS t FROM conversations GROUP BY conv_id),
+cut AS (SELECT conv_id, unnest(range(0, (length(t) + 14) // 15)) AS k, t FROM said)
+SELECT conv_id, seq, event FROM (
+  SELECT conv_id, 0 AS seq, '{"type":"status","data":"searching"}' AS event FROM said UNION ALL SELECT conv_id, 1, '{"type":"status","data":"answering"}' FROM said
+  UNION ALL SELECT conv_id, 2 + k, '{"type":"token","data":' || to_json(substring(t, k * 15 + 1, 15)) || '}' FROM cut
+  UNION ALL SELECT conv_id, 2 + (length(t) + 14) // 15, CASE WHEN conv_id % 3 = 0 THEN '{"type":"error","data":"lost"}' ELSE '{"type":"citations","data":"[\\"d' || conv_id || '\\"]"}' END FROM said)""")
+def event_log(spark, d):
+    """Whole conversations as deltas of five characters: the events, their texts and their order."""
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"])
+    deltas = F.regexp_extract_all(F.array_join(ordered, ""), F.lit("(?s)(.{1,5})"), 1)
+    said = table(spark, d, "conversations").groupBy("conv_id").agg(deltas.alias("deltas"))
+    return conv.events(said.withColumn("error", F.when(F.col("conv_id") % 3 == 0, "lost")).withColumn("citations", F.array(F.concat(F.lit("d"), F.col("conv_id").cast("string")))))
+
+
+@register("citations", "SELECT conv_id, '[' || string_agg('{\"slug\":\"d' || turn || '\",\"title\":\"' || role || '\"}', ',' ORDER BY turn) || ']' AS citations FROM conversations GROUP BY conv_id")
+def citations(spark, d):
+    rows = table(spark, d, "conversations").select("conv_id", F.col("turn").alias("rank"), F.concat(F.lit("d"), F.col("turn").cast("string")).alias("slug"), F.col("role").alias("title"))
+    return conv.citations(rows).select("conv_id", F.to_json("citations").alias("citations"))
+
+
+_CHAINS = [["a ok"], ["a invalid", "a ok"], ["a invalid", "a invalid", "b ok"], ["a truncated", "a ok"], ["a rate_limited", "a failed", "b ok"], ["a failed", "b failed"], ["a truncated", "a truncated", "b truncated"]]
+
+
+@register("model_fallbacks", "SELECT o_orderkey AS request, model, attempts, fell_back, budget, refunds FROM orders JOIN (VALUES (0, 'a', 1, FALSE, 8000, 0), (1, 'a', 2, FALSE, 8000, 0), (2, 'b', 3, TRUE, 8000, 0), (3, 'a', 2, FALSE, 32000, 0), (4, 'b', 3, TRUE, 8000, 1), (5, NULL, 2, TRUE, 8000, 0), (6, NULL, 3, TRUE, 32000, 0)) t(k, model, attempts, fell_back, budget, refunds) ON k = o_orderkey % 7")
+def model_fallbacks(spark, d):
+    """Seven recorded courses of a fallback chain."""
+    courses = F.array(*[F.array(*[F.lit(r) for r in c]) for c in _CHAINS])
+    said = table(spark, d, "orders").select(F.col("o_orderkey").alias("request"), F.posexplode(F.get(courses, (F.col("o_orderkey") % 7).cast("int"))).alias("seq", "r"))
+    return conv.fallbacks(said.select("request", "seq", F.split("r", " ")[0].alias("model"), F.split("r", " ")[1].alias("kind")), ["a", "b"])
+
+
+@register("stream_fallbacks", "SELECT event_id, CASE WHEN event_type <> 'error' THEN 'done' WHEN event_id % 2 = 0 THEN 'interrupted' ELSE 'next_model' END AS outcome FROM events")
+def stream_fallbacks(spark, d):
+    return table(spark, d, "events").select("event_id", conv.stream_outcome(F.col("event_id") % 2 == 0, F.col("event_type") == "error").alias("outcome"))
+
+
+@register("context_snippets", f"""WITH {CATALOGUE}, {RECORDS}, best AS (SELECT *, row_number() OVER (PARTITION BY ministry ORDER BY length(text) DESC, doc_id) AS rank FROM catalogue WHERE ministry IS NOT NULL QUALIFY rank <= 6)
+SELECT conv_id, string_agg(snippet, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context FROM (SELECT c.ministry AS conv_id, rank, {SNIPPET} AS snippet FROM best c LEFT JOIN records r ON r.id = 'catalogue:' || c.slug) GROUP BY conv_id""")
 def context_snippets(spark, d):
     """Blocks of the six longest entries of each source, as a prompt would hold them."""
     r = records(spark, d).select("id", "payload")
@@ -253,15 +296,18 @@ def sampled_rows(spark, d):
     return table(spark, d, "documents").select("doc_id").orderBy(h, "doc_id").limit(50)
 
 
-@register("null_audit")
-def null_audit(spark, d):
-    from ..operators.audit import EVIDENCE, null_audit as audit
+_EVIDENCE = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in EVIDENCE.items())
 
-    fields = F.explode(F.array(*[F.lit(x) for x in EVIDENCE])).alias("field")
-    docs = table(spark, d, "documents")
-    nulls = docs.select("doc_id", fields, F.concat(F.lit("Fee Rs 100. How to apply: step 1. "), "text").alias("page"))
-    answers = docs.where("doc_id % 2 = 0").select("doc_id", F.lit("fee_amount").alias("field"), F.lit(True).alias("stated"), F.when(F.col("doc_id") % 4 == 0, "Fee Rs 100").otherwise("Fee Rs 999").alias("quote"))
-    return audit(nulls, answers)
+
+@register("null_audit", f"""WITH rows AS (SELECT doc_id, field, page, regexp_matches(page, pattern, 'i') AS evidence FROM (SELECT doc_id, 'Fee Rs 100. How to apply: step 1. ' || text AS page FROM documents), (VALUES {_EVIDENCE}) t(field, pattern))
+SELECT doc_id, field, evidence, CASE WHEN NOT evidence THEN 'confirmed_absent' WHEN field <> 'fee_amount' OR doc_id % 2 = 1 THEN 'uncertain'
+  WHEN NOT contains(lower(trim(regexp_replace(page, '\\s+', ' ', 'g'))), CASE WHEN doc_id % 4 = 0 THEN 'fee rs 100' ELSE 'fee rs 999' END) THEN 'uncertain' ELSE 'missed' END AS verdict FROM rows""")
+def null_audit(spark, d):
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
+    pages = docs.select("doc_id", F.array(*[F.lit(x) for x in EVIDENCE]).alias("fields"), F.concat(F.lit("Fee Rs 100. How to apply: step 1. "), "text").alias("page"))
+    asked = table(spark, d, "documents").where("doc_id % 2 = 0")
+    answers = asked.select("doc_id", F.lit("fee_amount").alias("field"), F.lit(True).alias("stated"), F.when(F.col("doc_id") % 4 == 0, "Fee Rs 100").otherwise("Fee Rs 999").alias("quote"))
+    return audit_pages(pages, answers)
 
 
 @register("reachable_pages", "SELECT page_id, url FROM pages WHERE url IN (SELECT url FROM pages WHERE page_id % 7 <> 3)")
@@ -282,10 +328,14 @@ def state_distribution(spark, d):
     return catalogue(spark, d).groupBy(F.coalesce("state", F.lit("unknown")).alias("state")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("theme_counts", "SELECT CASE WHEN regexp_matches(p_type, '(?i)steel|court') THEN 'x' ELSE 'other' END AS theme, count(*) AS n FROM part GROUP BY 1")
+_TITLED = "['Blood Bank', 'PIN code list', 'Colleges', 'Toll free', 'ATM', 'Railway', 'Court', 'Other'][(p_partkey % 8 + 1)::INT] || ' ' || p_name"
+
+
+@register("theme_counts", "SELECT coalesce(" + "CASE " + " ".join(f"WHEN regexp_matches(t, '(?i){p}') THEN '{n}'" for n, p in filters.THEMES) + f" END, 'other') AS theme, count(*) AS n FROM (SELECT {_TITLED} AS t FROM part) GROUP BY 1")
 def theme_counts(spark, d):
-    named = filters.first_match("p_type", [("x", "steel|court")])
-    return table(spark, d, "part").groupBy(F.coalesce(named, F.lit("other")).alias("theme")).agg(F.count(F.lit(1)).alias("n"))
+    names = F.array(*[F.lit(x) for x in ("Blood Bank", "PIN code list", "Colleges", "Toll free", "ATM", "Railway", "Court", "Other")])
+    title = F.concat(F.get(names, (F.col("p_partkey") % 8).cast("int")), F.lit(" "), "p_name")
+    return table(spark, d, "part").groupBy(F.coalesce(filters.theme(title), F.lit("other")).alias("theme")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("title_order", "SELECT p_partkey, row_number() OVER (ORDER BY lower(coalesce(p_name, '')), p_partkey) AS place FROM part ORDER BY lower(coalesce(p_name, '')), p_partkey LIMIT 100")

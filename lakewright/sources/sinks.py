@@ -36,9 +36,14 @@ def csv(rows: DataFrame, path: str, columns: list[str]) -> None:
     flat(rows, columns).write.mode("overwrite").option("header", True).csv(path)
 
 
+#: Rows up to which a report is one file.
+REPORT_ROWS = 100_000
+
+
 def report(rows: DataFrame, path: str) -> None:
-    """A small report as one JSON-lines file."""
-    rows.coalesce(1).write.mode("overwrite").json(path)
+    """A report as JSON lines, one file while it is counted to be small."""
+    few = rows.limit(REPORT_ROWS + 1).count() <= REPORT_ROWS
+    (rows.coalesce(1) if few else rows).write.mode("overwrite").json(path)
 
 
 def ndjson(events: DataFrame, event: str = "event") -> DataFrame:

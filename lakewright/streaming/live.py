@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.text import content_hash
+from ..shared import exists
 
 
 def source(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int = 64) -> DataFrame:
@@ -37,10 +38,8 @@ def load_once(rows: DataFrame, target: str, checkpoint: str, keys: list[str]):
 
     def write(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        try:
-            seen = spark.read.parquet(target).select(*keys)
-        except Exception:  # the first batch: there is no table yet
-            seen = None
+        # Only a missing table means that nothing is seen yet; a table that cannot be read stops the query.
+        seen = spark.read.parquet(target).select(*keys) if exists(spark, target) else None
         new = batch.dropDuplicates(keys)
         (new.join(seen, keys, "left_anti") if seen is not None else new).write.mode("append").parquet(target)
 
