@@ -203,15 +203,21 @@ def colliding(met: DataFrame) -> DataFrame:
 
 
 def _dealt(groups: DataFrame, comps: DataFrame, sketches: DataFrame, texts: DataFrame | None = None) -> DataFrame:
-    """Members of groups of several components, dealt to the blocks in which every two of them meet."""
-    named = groups.join(comps, groups["b"] == comps["id"], "left").select(F.col("a").alias("gid"), F.col("b").alias("id"), F.coalesce("comp", "b").alias("comp"))
-    open_ = named.groupBy("gid").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-    # A group may be a large share of all members: its few names are broadcast, its members stay where they are.
-    dealt = named.join(bounded_broadcast(cut(open_.select("gid", "m")), FEW_IDS), "gid").join(sketches, "id")
+    """Members of groups of several components, dealt to the blocks in which every two of them meet.
+
+    A group's members lie side by side, so its least and largest component combine
+    before the shuffle.  Names of groups and components are broadcast while they are few;
+    a group may be a large share of all members, which then stay where they are.
+    """
+    known = bounded_broadcast(comps, FEW_IDS)
+    named = groups.join(known, groups["b"] == known["id"], "left").select(F.col("a").alias("gid"), F.col("b").alias("id"), F.coalesce("comp", "b").alias("comp"))
+    open_ = cut(named.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("gid"))
+    members = cut(named.join(bounded_broadcast(open_, FEW_IDS), "gid", "left_semi").distinct().join(sketches.select("id", "n"), "id"))
+    sizes = cut(members.groupBy("gid").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("shingles")))
+    dealt = members.drop("n").join(bounded_broadcast(sizes, FEW_IDS), "gid").join(sketches, "id")
     blocks = F.ceil(F.col("m") / BLOCK)
     if texts is not None:
-        weight = cut(dealt.groupBy("gid").agg(F.sum("n").alias("shingles")))
-        dealt = dealt.join(bounded_broadcast(weight, FEW_IDS), "gid").join(texts.select("id", "text"), "id")
+        dealt = dealt.join(texts.select("id", "text"), "id")
         blocks = F.greatest(blocks, F.ceil(F.col("shingles") / BLOCK_SHINGLES))
     dealt = dealt.withColumn("blocks", blocks.cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -338,7 +344,7 @@ def link(met: DataFrame, texts_of: TextsOf, percent: int = 80) -> DataFrame:
     """
     small_batches(met.sparkSession)
     stars = met.where(F.col("kind") == STAR).select("a", "b")
-    groups = met.where(F.col("kind") == GROUP).select("a", "b").distinct()
+    groups = met.where(F.col("kind") == GROUP).select("a", "b")
     ids = colliding(met)
     sketches = _sketches(texts_of(ids))
     links = _verify(_sketch_filter(stars.distinct(), sketches, percent), texts_of, percent)
