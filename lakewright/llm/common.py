@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from ..shared import planned_bytes, shared_dir
+
 #: Word separators of every contract here: blank and the five ASCII controls.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -29,24 +30,7 @@ def partitions(df: DataFrame) -> int:
     the session's number stands.
     """
     asked = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(asked, size // PART_BYTES) if size < 1 << 60 else asked
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as spark.checkpoint.dir names it.
-
-    Only where the session has none and all runs on one machine is one made.
-    """
-    sc = spark.sparkContext
-    found = sc.getCheckpointDir()
-    if found is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lakewright-"))
-        found = sc.getCheckpointDir()
-    return found
+    return max(asked, (planned_bytes(df) or 0) // PART_BYTES)
 
 
 _written: list[str] = []

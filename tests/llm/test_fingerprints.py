@@ -124,3 +124,30 @@ def test_edges(spark, edge, empty):
     assert fp.against_next(empty).count() == 0
     one = spark.createDataFrame([(5, "abcd")], "doc_id long, text string")
     assert fp.against_next(one).first().near_next == 1.0
+
+
+def test_rows_without_an_id_are_split(spark):
+    """A third of the rows have no id: they fall into several tasks, and the order stays whole."""
+    rows = [(None, f"text {k} " * 5) for k in range(200)] + [(k, f"doc {k} " * 4) for k in range(400)] + [(7, None)] * 3
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 9)
+    try:
+        got = fp.against_next(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(got) == len(rows)
+    want = {i: sha for i, _, sha, *_ in plain([r for r in rows if r[0] is not None and r[0] != 7]) if i not in (6, 399)}
+    assert {r.doc_id: r.edited_sha256 for r in got if r.doc_id in want} == want
+    own = {fp.PrefixHashes(t).fingerprint() for i, t in rows if i is None}
+    assert {r.fingerprint for r in got if r.doc_id is None} == own
+
+
+def test_scalar_extension():
+    r = random.Random(5)
+    for _ in range(200):
+        a = "".join(r.choice("ab") for _ in range(r.randint(1, 60)))
+        b = a[: r.randint(0, len(a))] + "".join(r.choice("ab") for _ in range(r.randint(1, 20)))
+        x, y = fp.PrefixHashes(a), fp.PrefixHashes(b)
+        most = min(len(a), len(b))
+        assert fp._extension(x, 0, y, 0, most) == fp.common_extension(x, 0, y, 0, most)[0]
+        assert fp._extension(x, len(a), y, len(b), most, back=True) == fp.common_extension(x, len(a), y, len(b), most, back=True)[0]
