@@ -82,29 +82,38 @@ def audit_pages(pages: DataFrame, answers: DataFrame, quoted: int = 60) -> DataF
     return rows.select("doc_id", "field", "evidence", judged.alias("verdict"))
 
 
+#: How a quote finds its pages: by three words in a row, by one word, by its first characters (as many).
+PHRASE, WORD, CHARS = 5, 4, 3
+
+
 def find_quotes(pages: DataFrame, quotes: DataFrame, page_id: str, quote_id: str, text: str = "text", quote: str = "quote", length: int = 60) -> DataFrame:
     """(quote_id, page_id) of quotes whose first characters are on a page, white space and case aside.
 
-    The second to fourth words of a quote's start stand whole on any page that has it,
-    so an equality join on three words in a row finds the candidates, which are then
-    searched.  Quotes too short for that are compared with every page.
+    Inner words of a quote's start stand whole on any page that has it, so an equality
+    join finds the candidates, which are then searched: of five words or more by the
+    second to fourth in a row, of three or four by the second, of fewer by the first
+    CHARS characters.  Pages are read once for each of these kinds that the quotes have.
     """
     flat = lambda c: F.lower(squeeze(c))
-    three = lambda w, i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
+    run = lambda w, i, n, between: F.concat_ws(between, *[F.get(w, i + k) for k in range(n)])
     needles = quotes.select(quote_id, F.substring(flat(quote), 1, length).alias("needle")).where("needle <> ''")
     words = F.split("needle", " ")
-    needles = needles.withColumn("anchor", F.when(F.size(words) >= 5, three(words, F.lit(1))))
-    # The words are a column of their own: an expression inside the lambda would be split for every word.
-    own = F.col("own")
-    grams = F.array_distinct(F.transform(own, lambda _, i: three(own, i)))
-    placed = pages.select(page_id, F.split(flat(text), " ").alias("own")).select(page_id, F.explode(grams).alias("anchor"))
-    near = placed.join(needles.where("anchor is not null"), "anchor").select(page_id, quote_id, "needle")
-    found = pages.select(page_id, flat(text).alias("flat")).join(near, page_id).where(F.col("flat").contains(F.col("needle")))
-    short = needles.where("anchor is null").select(quote_id, "needle")
-    if short.isEmpty():
-        return found.select(quote_id, page_id).distinct()
-    rest = pages.select(page_id, flat(text).alias("flat")).join(short, F.col("flat").contains(F.col("needle")))
-    return found.select(quote_id, page_id).unionByName(rest.select(quote_id, page_id)).distinct()
+    kind = F.when(F.size(words) >= 5, PHRASE).when(F.size(words) >= 3, WORD).otherwise(F.least(F.length("needle"), F.lit(CHARS)))
+    anchor = F.when(kind == PHRASE, run(words, F.lit(1), 3, " ")).when(kind == WORD, F.get(words, F.lit(1))).otherwise(F.substring("needle", 1, CHARS))
+    needles = needles.select(quote_id, "needle", kind.alias("kind"), anchor.alias("anchor"))
+    # The pieces are a column of their own: an expression inside the lambda would be split for every piece.
+    own, found = F.col("own"), None
+    for k in sorted(r.kind for r in needles.select("kind").distinct().collect()):  # five kinds at most
+        pieces = F.split(flat(text), " ") if k in (PHRASE, WORD) else F.regexp_extract_all(flat(text), F.lit("(?s)."), F.lit(0))
+        n, between = (3, " ") if k == PHRASE else (1, "") if k == WORD else (k, "")
+        grams = F.array_distinct(F.transform(own, lambda _, i: run(own, i, n, between)))  # noqa: B023
+        placed = pages.select(page_id, pieces.alias("own")).select(page_id, F.explode(grams).alias("anchor"))
+        near = placed.join(needles.where(F.col("kind") == k), "anchor").select(page_id, quote_id, "needle")
+        found = near if found is None else found.unionByName(near)
+    if found is None:
+        return pages.select(page_id).limit(0).join(needles.select(quote_id).limit(0), F.lit(True)).select(quote_id, page_id)
+    met = pages.select(page_id, flat(text).alias("flat")).join(found, page_id).where(F.col("flat").contains(F.col("needle")))
+    return met.select(quote_id, page_id).distinct()
 
 
 def token_recall(pairs: DataFrame, key: str = "doc_id", stored: str = "stored", source: str = "source") -> DataFrame:

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.records import searchable
-from ..operators import fulltext
+from ..operators import fulltext, vectors
 from ..shared import new_path, spread, stamp
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,6 +72,20 @@ def text_index(spark: SparkSession, sf_dir: str, fresh: bool = False) -> fulltex
     return _indexes[mark]
 
 
+_vector_indexes: dict[tuple, vectors.VectorIndex] = {}
+
+
+def vector_index(spark: SparkSession, sf_dir: str) -> vectors.VectorIndex:
+    """The index of all vectors, written once an application for the files as they are."""
+    source = f"{sf_dir}/embeddings.parquet"
+    mark = (spark.sparkContext.applicationId, source, stamp(spark, source))
+    if mark not in _vector_indexes:
+        path = new_path(spark, "vectors")
+        vectors.write(table(spark, sf_dir, "embeddings").select(F.concat(F.lit("d"), F.col("vec_id").cast("string")).alias("slug"), "embedding"), path)
+        _vector_indexes[mark] = vectors.read(spark, path)
+    return _vector_indexes[mark]
+
+
 CATALOGUE = """catalogue AS (
   SELECT 'd' || doc_id AS slug, substring(text, 1, 48) AS title, text AS description,
          [lang, CASE WHEN n_chars < 800 THEN 'short' WHEN n_chars < 3000 THEN 'medium' ELSE 'long' END] AS categories,

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from ..functions import records as rec
 from ..functions.scalars import cosine_distance
 from ..functions.text import trigram_similarity, trigrams
-from ..operators import dedup, facets, fulltext, retrieval
+from ..operators import dedup, facets, fulltext, retrieval, vectors
 from ..operators.filters import catalogue_filter
 from ..shared import spread
-from .base import ARCHIVE, CATALOGUE, QUEUE, RECORDS, Registry, archive, catalogue, queue, records, table, text_index
+from .base import ARCHIVE, CATALOGUE, QUEUE, RECORDS, Registry, archive, catalogue, queue, records, table, text_index, vector_index
 
 register = Registry()
 Q = "tion"
@@ -159,11 +159,21 @@ _DOT = lambda a, b: f"list_sum(list_transform(list_zip({a}, {b}), lambda x: x[1]
 _COSINE = f"round(1 - {_DOT('e.embedding', 'q.embedding')} / sqrt({_DOT('e.embedding', 'e.embedding')} * {_DOT('q.embedding', 'q.embedding')}), 6) + 0.0"
 
 
-@register("vector_topk", f"SELECT 'd' || e.vec_id AS slug, {_COSINE} AS distance FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY distance, slug LIMIT 30")
+_TOPK = f"SELECT 'd' || e.vec_id AS slug, {_COSINE} AS distance FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY distance, slug LIMIT 30"
+
+
+@register("vector_topk", _TOPK)
 def vector_topk(spark, d):
     return retrieval.vector_candidates(_vectors(spark, d), _vector(spark, d)).select("slug", (F.round("distance", 6) + 0.0).alias("distance"))
 
 
+@register("vector_index_topk", _TOPK)
+def vector_index_topk(spark, d):
+    """The same rows from the cells of the index that can hold them."""
+    near = vectors.search(vector_index(spark, d), _vector(spark, d), 30)
+    return near.select("slug", (F.round("distance", 6) + 0.0).alias("distance"))
+
+
 @register("rules_topk", f"SELECT 'd' || e.vec_id AS slug, {_COSINE} AS distance FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE e.label = 3 ORDER BY distance, slug LIMIT 10")
 def rules_topk(spark, d):
     near = retrieval.vector_candidates(_vectors(spark, d).where("label = 3"), _vector(spark, d), 10)

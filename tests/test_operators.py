@@ -124,6 +124,19 @@ def test_audit(spark):
     assert {(r.doc_id, round(r.recall), round(r.extra)) for r in recall.collect()} == {(1, 50, 33), (2, 0, 0)}
 
 
+def test_quotes_of_any_length(spark):
+    texts = {1: "The  quick\nbrown fox jumps", 2: "quick", 3: "ab 😀cd ef", 4: "", 5: None, 6: "one two three four five six", 7: "aaa"}
+    said = ["quick", "QUICK brown", "the quick brown", "quick brown fox jumps", "the quick brown fox jumps", "a", "😀", "b 😀c", "ab", "uick br", "wo three fou", "wo three four fi", "wo three four five s", "", None, "none of these", "aaaa", " fox "]
+    pages = spark.createDataFrame(list(texts.items()), "doc_id int, text string")
+    quotes = spark.createDataFrame(list(enumerate(said)), "item_id int, quote string")
+    flat = lambda t: " ".join((t or "").lower().split())
+    want = {(i, d) for i, q in enumerate(said) for d, t in texts.items() if flat(q) and flat(q) in flat(t)}
+    got = audit.find_quotes(pages, quotes, "doc_id", "item_id")
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert "NestedLoop" not in got._jdf.queryExecution().toString() and "Cartesian" not in got._jdf.queryExecution().toString()
+    assert audit.find_quotes(pages, quotes.limit(0), "doc_id", "item_id").collect() == []
+
+
 def test_replay():
     assert conv.coalesced(["abc", "def", "ghijkl", "m"]) == ["abcdefghijkl", "m"]
     reply = lambda m, k: {"model": m, "kind": k}
