@@ -18,9 +18,9 @@ MIN_SCORE = 0.5
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a recognised language."""
+    """Drop documents without a recognised language: no letters, or likelier in none than in any learned one."""
     lang, score = own_name(docs, "lang"), own_name(docs, "score")
-    found = language_id.predict(docs, learned_languages(docs), lang_pred=lang, score=score)
+    found = language_id.predict(docs, language_id.open_set(learned_languages(docs)), lang_pred=lang, score=score)
     return found.where((F.col(lang) != language_id.UNKNOWN) & (F.col(score) >= MIN_SCORE)).select(docs.columns)
 
 

@@ -11,6 +11,12 @@ No piece crosses a white-space marker, so words are independent and a word's log
 probabilities can be remembered: each task scores a distinct word once, all new words
 of a batch together, position by position in numpy.
 
+A model knows the learned languages only, so any text gets one of them.  open_set() adds
+a class for what is none of them: all pieces alike, at a prior of OTHER.  The longer a
+text, the more its pieces say: a few characters of junk pass for a language, a line
+does not.  A language learned from few texts is itself nearly even by its smoothing, and
+then takes more of what is foreign.
+
 Learning reads the labelled rows that the caller lets through: languages are counted
 over all of them; piece counts come from whole texts of a sample, about DOCS_PER_LANG
 documents a language, drawn by a hash of the id.
@@ -38,6 +44,8 @@ DOCS_PER_LANG = 400
 SMOOTHING = 0.1
 #: Probability of a character that no piece starts with.
 RARE = 1e-9
+#: Prior of a text in no learned language, for open_set(); that of each language counts as 1.
+OTHER = 1e-4
 #: Words that one task remembers; beyond, the memory is emptied, which costs time only.
 REMEMBER = 200_000
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -45,11 +53,21 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 @dataclass(frozen=True)
 class Model:
-    """languages, and log-free piece probabilities [piece, language] of a vocabulary file."""
+    """languages, log-free piece probabilities [piece, language] of a vocabulary file, priors (all 1 by default)."""
 
     model_path: str
     languages: tuple[str, ...]
     probabilities: np.ndarray
+    priors: tuple[float, ...] | None = None
+
+
+def open_set(model: Model, prior: float = OTHER) -> Model:
+    """The model with UNKNOWN as one more language, in which all pieces are equally likely."""
+    size, n = model.probabilities.shape
+    if not n:
+        return model
+    even = np.full((size, 1), 1.0 / size)
+    return Model(model.model_path, (*model.languages, UNKNOWN), np.hstack([model.probabilities, even]), (*(model.priors or (1.0,) * n), prior))
 
 
 class Trie:
@@ -191,6 +209,7 @@ class Scorer:
         self.model, self.trie = model, trie(model.model_path)
         self.place: dict[str, int] = {}
         self.logs = np.zeros((1024, len(model.languages)))
+        self.priors = np.log(np.array(model.priors or (1.0,) * len(model.languages)))
 
     def _learn(self, fresh: list[str]) -> None:
         n = len(self.place)
@@ -214,7 +233,7 @@ class Scorer:
                     langs.append(UNKNOWN)
                     scores.append(0.0)
                     continue
-                total = self.logs[np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))].sum(axis=0)
+                total = self.logs[np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))].sum(axis=0) + self.priors
                 best = int(total.argmax())
                 langs.append(self.model.languages[best])
                 scores.append(float(1.0 / np.exp(total - total[best]).sum()))
@@ -227,7 +246,7 @@ def predict(df: DataFrame, model: Model, text: str = "text", lang_pred: str = "l
     rest = [f for f in df.schema.fields if f.name not in (lang_pred, score)]
     schema = StructType(rest + [StructField(lang_pred, StringType()), StructField(score, DoubleType())])
     out = arrow_schema(schema)
-    sent = df.sparkSession.sparkContext.broadcast((model.model_path, model.languages, model.probabilities))  # vocabulary x languages
+    sent = df.sparkSession.sparkContext.broadcast((model.model_path, model.languages, model.probabilities, model.priors))  # vocabulary x languages
 
     def run(batches):
         scorer = Scorer(Model(*sent.value))

@@ -64,6 +64,28 @@ def test_memory_limit_changes_nothing(spark, edge, monkeypatch):
     assert li.Scorer(model).predict(texts) == want
 
 
+def many(docs, times=30):
+    """The rows under further ids: enough texts to outweigh the smoothing."""
+    return docs.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(times - 1)))).withColumn("doc_id", F.col("doc_id") + 10_000 * F.col("k")).drop("k")
+
+
+def test_open_set(spark, small):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text", "lang")
+    model = learned_languages(many(docs))
+    open_, closed = li.Scorer(li.open_set(model)), li.Scorer(model)
+    texts = [r.text for r in docs.collect()]
+    assert open_.predict(texts)[0] == closed.predict(texts)[0]  # what has a language keeps it
+    assert closed.model.priors is None
+    r = random.Random(5)
+    junk = [" ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(3, 8))) for _ in range(n)) for n in (20, 100, 400)]
+    none = junk + ["Быстрая коричневая лиса прыгает через ленивую собаку и бежит в лес", "快速的棕色狐狸跳过懒狗"]
+    langs, scores = open_.predict(none)
+    assert langs == ["und"] * 5 and all(0.5 <= x <= 1 for x in scores)
+    assert "und" not in closed.predict(none)[0]
+    empty = li.Model(model.model_path, (), np.zeros((len(model.probabilities), 0)))
+    assert li.open_set(empty) is empty
+
+
 def test_query(spark, small):
     docs = {r.doc_id: r for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
     got = queries()["op9_language_id"](spark, SMALL).collect()

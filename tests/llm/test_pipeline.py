@@ -1,11 +1,13 @@
 import collections
 
 from helpers import SMALL
+from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
 from lakewright.llm import mixing, sentencepiece_codec as sc
 from lakewright.llm.common import cut
 from lakewright.llm.queries import model_path
+from test_language_id import many
 from test_near import brute, plain_dedup, plain_passages
 
 
@@ -59,6 +61,15 @@ def test_rejects_what_has_no_language(edge, spark):
     assert kept.columns == edge.columns and {r.doc_id for r in kept.collect()}.isdisjoint({3, 4, 5, 8})
 
 
+def test_rejects_other_languages(spark, small):
+    docs = many(spark.read.parquet(f"{SMALL}/documents.parquet"))
+    other = {10**6: "Быстрая коричневая лиса прыгает через ленивую собаку и бежит в лес", 10**6 + 5: "wtv viludh lzd kxfng tbh mdztz sho hseiz wljblq wfpugiv nrnztb ovb tuweouj"}
+    first = docs.limit(1)
+    rows = [first.withColumn("doc_id", F.lit(k).cast("long")).withColumn("text", F.lit(t)).withColumn("lang", F.lit(None).cast("string")) for k, t in other.items()]
+    kept = cp.keep_known_language(spark, docs.unionByName(rows[0]).unionByName(rows[1]), SMALL)
+    assert {r.doc_id for r in kept.select("doc_id").collect()} == {r.doc_id for r in docs.select("doc_id").collect()}
+
+
 def test_empty(empty, spark):
     docs = empty
     for _, stage in cp.STAGES:
