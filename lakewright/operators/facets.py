@@ -45,20 +45,30 @@ def relevance(q: str) -> Column:
     return F.when(substring_match("title", q), 0).when(substring_match("description", q), 1).otherwise(2) if q else F.lit(0)
 
 
+def listed(slug: str = "slug", title: str = "title") -> list[Column]:
+    """The order of a listing: by relevance, title and key, rows without a title last."""
+    return [F.col("__rank"), F.asc_nulls_last(title), F.col(slug)]
+
+
+def page_of(catalogue: DataFrame, q: str = "", category: str = "", ministry: str = "", state: str = "", page: int = 1, per_page: int = 24) -> DataFrame:
+    """The catalogue's rows on one page of the listing, with their __rank; pages outside the range are clamped, which takes a count."""
+    found = catalogue.where(catalogue_filter(q, category, ministry, state))
+    last = max(1, -(-found.count() // per_page))
+    page = min(max(1, page), last)
+    return found.withColumn("__rank", relevance(q)).orderBy(*listed()).offset((page - 1) * per_page).limit(per_page)
+
+
 def search(catalogue: DataFrame, records: DataFrame, q: str = "", category: str = "", ministry: str = "", state: str = "", page: int = 1, per_page: int = 24, source: str = "catalogue") -> DataFrame:
     """One page of the listing, title matches first, and whether details exist.
 
     The page is cut from the catalogue alone, by a bounded top-k; only its few rows
-    meet the records.  Pages outside the range are clamped, which takes a count.
+    meet the records.
     """
-    found = catalogue.where(catalogue_filter(q, category, ministry, state))
-    last = max(1, -(-found.count() // per_page))
-    page = min(max(1, page), last)
-    rows = found.withColumn("__rank", relevance(q)).orderBy("__rank", "title", "slug").offset((page - 1) * per_page).limit(per_page)
+    rows = page_of(catalogue, q, category, ministry, state, page, per_page)
     sr = records.select(F.col("id").alias("__id"), "confidence", F.col("payload.who_is_eligible").alias("eligibility_preview"))
     met = rows.join(sr, F.concat(F.lit(f"{source}:"), F.col("slug")) == F.col("__id"), "left")
     # A join keeps no order: the page's few rows are sorted again.
-    met = met.orderBy("__rank", "title", "slug")
+    met = met.orderBy(*listed())
     return met.select("slug", "title", "ministry", "state", "confidence", F.col("__id").isNotNull().alias("has_detail"), "eligibility_preview")
 
 

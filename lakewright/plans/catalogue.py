@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+
 from pyspark.sql import functions as F
 
 from ..functions import records as rec
@@ -49,7 +51,8 @@ def listing_order(spark, d):
 
 @register("browse_last_page", f"WITH {CATALOGUE}, n AS (SELECT count(*) AS n FROM catalogue WHERE ministry = 'src3') SELECT c.slug, c.title FROM catalogue c WHERE ministry = 'src3' ORDER BY title, slug LIMIT 24 OFFSET (SELECT (greatest(1, ((n + 23) // 24)) - 1) * 24 FROM n)")
 def browse_last_page(spark, d):
-    return facets.search(catalogue(spark, d), records(spark, d), ministry="src3", page=999).select("slug", "title")
+    """A page beyond any count, clamped; the page alone, as no record can add to it."""
+    return facets.page_of(catalogue(spark, d), ministry="src3", page=sys.maxsize).select("slug", "title")
 
 
 @register("filter_all", f"WITH {CATALOGUE} SELECT slug FROM catalogue WHERE {_where(True, 'medium', 'src3', 'Central')}")
