@@ -124,8 +124,10 @@ def section_coverage(pages: DataFrame, headings: list[str], text: str = "text")
 
 
 def hidden_gain(pages: DataFrame, text: str = "text", visible: str = "text_len_visible_only") -> DataFrame:
-    gain = F.length(text) - F.col(visible)
-    return pages.agg(F.sum(gain).alias("gained"), F.floor(F.sum(gain) / F.count(F.lit(1))).alias("average"))
+    """Characters gained over the visible ones, and the whole number of them a page: a loss is cut towards zero, as a gain is."""
+    gain = F.sum(F.length(text) - F.col(visible))
+    average = F.call_function("div", gain, F.nullif(F.count(F.lit(1)), F.lit(0)))
+    return pages.agg(gain.alias("gained"), average.alias("average"))
 
 
 #: Values that one task sorts for the last step of nth().
