@@ -41,10 +41,10 @@ def newest_captures(spark, d):
 
 @register("long_captures", "SELECT url, substring(text, 1, 40) AS head, sha256(text) AS content_hash FROM (SELECT 'https://x/' || (doc_id % 300) AS url, text, row_number() OVER (PARTITION BY doc_id % 300 ORDER BY doc_id) AS n FROM documents WHERE length(text) >= 200) WHERE n = 1")
 def long_captures(spark, d):
-    """Documents as one feed in the order of their ids: of each url the first that is long enough."""
+    """Documents as one feed in the order of their ids, in files that follow each other by name: of each url the first that is long enough."""
     rows = table(spark, d, "documents").select(F.concat(F.lit("https://x/"), (F.col("doc_id") % 300).cast("string")).alias("url"), "text", "doc_id")
     path = new_path(spark, "static")
-    rows.coalesce(1).sortWithinPartitions("doc_id").drop("doc_id").write.json(path)
+    rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id").drop("doc_id").write.json(path)
     return readers.static_captures(spark, path).select("url", F.substring("text", 1, 40).alias("head"), "content_hash")
 
 
