@@ -120,7 +120,7 @@ def bodies_written(spark, d):
     path = new_path(spark, "bodies")
     sinks.bodies(table(spark, d, "documents"), path)
     kept = spark.read.schema("content_hash string, body string, source string, prefix string").parquet(path)
-    return kept.where(F.sha2("body", 256) == F.col("content_hash")).groupBy("source", "prefix").agg(F.count(F.lit(1)).alias("n"))
+    return kept.where(F.sha2("body", 256).eqNullSafe(F.col("content_hash"))).groupBy("source", "prefix").agg(F.count("body").alias("n"))
 
 
 @register("flat_files", "SELECT p_partkey::VARCHAR AS id, p_brand || ' | ' || p_size AS tags, NULL::VARCHAR AS missing FROM part")

@@ -11,9 +11,14 @@ LIST_SEPARATOR = " | "
 
 
 def bodies(rows: DataFrame, path: str, source: str = "source", text: str = "text") -> None:
-    """Texts by source and the first two digits of their hash, each once."""
+    """Texts by source and the first two digits of their hash, each once.
+
+    A folder's texts meet in one task, or few if they are large, so that there are about
+    as many files as folders, however many tasks there are.
+    """
     made = rows.select(F.col(source).alias("source"), content_hash(text).alias("content_hash"), F.col(text).alias("body")).dropDuplicates(["source", "content_hash"])
-    made.withColumn("prefix", F.substring("content_hash", 1, 2)).write.mode("append").partitionBy("source", "prefix").parquet(path)
+    placed = made.withColumn("prefix", F.substring("content_hash", 1, 2)).hint("rebalance", F.col("source"), F.col("prefix"))
+    placed.write.mode("append").partitionBy("source", "prefix").parquet(path)
 
 
 def flat(rows: DataFrame, columns: list[str]) -> DataFrame:
