@@ -43,7 +43,7 @@ def catalogue(spark: SparkSession, sf_dir: str, all_cores: bool = False) -> Data
     """With `all_cores` a small table is dealt to all of them before anything is computed from its texts."""
     docs = table(spark, sf_dir, "documents")
     if all_cores:
-        docs = spread(docs)
+        docs = spread(docs, "doc_id")
     return docs.select(
         F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("slug"),
         F.substring("text", 1, 48).alias("title"),

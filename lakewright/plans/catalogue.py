@@ -286,7 +286,7 @@ def reranked(spark, d):
 @register("postings", """WITH w AS (SELECT doc_id, term, i - 1 AS place FROM (SELECT doc_id, unnest(ws) AS term, unnest(range(1, len(ws) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS ws FROM documents)))
 SELECT term, count(DISTINCT doc_id) AS docs, count(*) AS places FROM w GROUP BY term""")
 def postings(spark, d):
-    p = fulltext.postings(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", F.col("text"))
+    p = fulltext.postings(spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id"), "doc_id", F.col("text"))
     return p.groupBy("term").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.size("places")).alias("places"))
 
 

@@ -303,7 +303,7 @@ _EVIDENCE = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in
 SELECT doc_id, field, evidence, CASE WHEN NOT evidence THEN 'confirmed_absent' WHEN field <> 'fee_amount' OR doc_id % 2 = 1 THEN 'uncertain'
   WHEN NOT contains(lower(trim(regexp_replace(page, '\\s+', ' ', 'g'))), CASE WHEN doc_id % 4 = 0 THEN 'fee rs 100' ELSE 'fee rs 999' END) THEN 'uncertain' ELSE 'missed' END AS verdict FROM rows""")
 def null_audit(spark, d):
-    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
     pages = docs.select("doc_id", F.array(*[F.lit(x) for x in EVIDENCE]).alias("fields"), F.concat(F.lit("Fee Rs 100. How to apply: step 1. "), "text").alias("page"))
     asked = table(spark, d, "documents").where("doc_id % 2 = 0")
     answers = asked.select("doc_id", F.lit("fee_amount").alias("field"), F.lit(True).alias("stated"), F.when(F.col("doc_id") % 4 == 0, "Fee Rs 100").otherwise("Fee Rs 999").alias("quote"))

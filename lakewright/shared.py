@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Bytes a core below which an input is dealt to all cores by rows, however its files are laid out.
 SMALL_BYTES = 8 << 20
+#: Bytes of a larger input that one task is to read.
+TASK_BYTES = 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,10 +43,26 @@ def planned_bytes(df: DataFrame) -> int | None:
     return size if size < 1 << 60 else None
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """A small input dealt to all cores by rows; a larger one has files enough and stays as it is."""
+def rows_by_task(df: DataFrame) -> list[int]:
+    """Rows that each task of a scan reads, tasks without any left out; no column is read for it."""
+    held = df.select(F.spark_partition_id().alias("task")).groupBy("task").agg(F.count(F.lit(1)).alias("n"))
+    return [r.n for r in held.collect()]
+
+
+def spread(df: DataFrame, key: str | None = None) -> DataFrame:
+    """An input dealt evenly to tasks of TASK_BYTES at most, to all cores at least.
+
+    A small input is dealt by rows, a larger one by a key that is different in each row (by
+    rows without one), unless its files are so laid out already.  Files say little of that by themselves: a
+    row group goes to one task, however large it is.
+    """
     cores, size = df.sparkSession.sparkContext.defaultParallelism, planned_bytes(df)
-    return df.repartition(cores) if size is not None and size < cores * SMALL_BYTES else df
+    if size is None:
+        return df
+    if size < cores * SMALL_BYTES:
+        return df.repartition(cores)
+    wanted, held = max(cores, -(-size // TASK_BYTES)), rows_by_task(df)
+    return df if 2 * sum(held) >= max(held, default=0) * wanted else df.repartition(wanted, *[key] * bool(key))
 
 
 def stamp(spark: SparkSession, path: str) -> str:
