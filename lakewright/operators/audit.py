@@ -124,8 +124,7 @@ def find_quotes(pages: DataFrame, quotes: DataFrame, page_id: str, quote_id: str
 def token_recall(pairs: DataFrame, key: str = "doc_id", stored: str = "stored", source: str = "source") -> DataFrame:
     """(key, recall, extra) of each row: share of the source's tokens that are stored, and of the stored ones that are not the source's.
 
-    Tokens are bags; equal tokens are numbered, so that the intersection of two sets
-    inside the row is that of the bags, and nothing is shuffled.
+    Tokens are bags, met inside the row: nothing is shuffled.
     """
     rows = pairs.select(key, F.coalesce(recall_tokens(stored), F.array().cast("array<string>")).alias("st"), F.coalesce(recall_tokens(source), F.array().cast("array<string>")).alias("src"))
     rows = with_places(with_places(rows, "st", "st bag"), "src", "src bag")
