@@ -4,26 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .batches import places
 
-def with_places(rows: DataFrame, words: str, out: str) -> DataFrame:
-    """rows with array<struct<term, places>> of an array of words: each distinct word and where it stands, from 0.
-
-    The words are sorted with their places; where a word differs from the one before
-    it, a run begins.  Each step is a column that the next refers to several times, so
-    the optimizer computes it once a row.
-    """
-    ranked, begins = f"{out} ranked", f"{out} begins"
-    rows = rows.withColumn(ranked, F.sort_array(F.transform(F.col(f"`{words}`"), lambda w, i: F.struct(w.alias("term"), i.alias("place")))))
-    r = F.col(f"`{ranked}`")
-    first = F.transform(r, lambda x, i: F.when((i == 0) | (F.get(r, i - 1)["term"] != x["term"]), i))
-    rows = rows.withColumn(begins, F.filter(first, lambda i: i.isNotNull()))
-    b = F.col(f"`{begins}`")
 
-    def run(at: Column, j: Column) -> Column:
-        held = F.slice(r, at + 1, F.coalesce(F.get(b, j + 1), F.size(r)) - at)
-        return F.struct(F.get(r, at)["term"].alias("term"), F.transform(held, lambda x: x["place"]).alias("places"))
-
-    return rows.withColumn(out, F.transform(b, run)).drop(ranked, begins)
+def with_places(rows: DataFrame, words: str, out: str) -> DataFrame:
+    """rows with array<struct<term, places>> of an array of words: each distinct word and where it stands, from 0."""
+    return rows.withColumn(out, places(F.col(f"`{words}`")))
 
 
 def numbered(grouped: Column) -> Column:
