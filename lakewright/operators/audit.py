@@ -126,11 +126,7 @@ def token_recall(pairs: DataFrame, key: str = "doc_id", stored: str = "stored",
 
     Tokens are bags, met inside the row: nothing is shuffled.
     """
-    rows = pairs.select(key, F.coalesce(recall_tokens(stored), F.array().cast("array<string>")).alias("st"), F.coalesce(recall_tokens(source), F.array().cast("array<string>")).alias("src"))
-    rows = with_places(with_places(rows, "st", "st bag"), "src", "src bag")
-    rows = rows.select(key, F.size("st").alias("st"), F.size("src").alias("src"), F.size(F.array_intersect(numbered(F.col("st bag")), numbered(F.col("src bag")))).alias("both"))
-    share = lambda a, b: 100 * a / F.greatest(F.col(b), F.lit(1))
-    return rows.select(key, share(F.col("both"), "src").alias("recall"), share(F.col("st") - F.col("both"), "st").alias("extra"))
+    return pairs.select(key, bag_recall(F.col(stored), F.col(source)).alias("x")).select(key, "x.recall", "x.extra")
 
 
 def flags(recall: Column, text: Column) -> Column:

@@ -13,15 +13,19 @@ text search without weights, written from their published formula.
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from typing import NamedTuple
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.functions import pandas_udf
 
 from ..functions.bags import with_places
 from ..functions.stemming import STOP, lexeme, lexeme_of
-from ..functions.text import NOISE, lexemes, trigrams
+from ..functions.text import DOUBLE, NOISE, lexemes, trigrams
 
 # --- Fixed values: the weight of a word without a label, the limit of the sum of inverse squares, what is kept of a word's places. ---
 PLAIN, ZETA2 = 0.1, 1.64493406685
@@ -123,26 +127,32 @@ def any_rank(places: list[Column]) -> Column:
     return sum((one(p) for p in places), F.lit(0.0)) / max(1, len(places))
 
 
-def _near(p: Column, q: Column) -> Column:
-    """Weights of all pairs of two terms' places, nearer ones counting more."""
+#: ln(1 - weight) of a pair of places by their distance, nearer ones counting more; none for a place with itself, the last for all beyond.
+NEAR = [0.0, *[math.log1p(-PLAIN * math.sqrt(1.0 / (1.005 + 0.05 * math.exp(d / 1.5 - 2.0)))) for d in range(1, 101)], math.log1p(-PLAIN * math.sqrt(1e-30))]
 
-    def weight(d: Column) -> Column:
-        near = F.when(d > 100, F.lit(1e-30)).otherwise(1.0 / (1.005 + 0.05 * F.exp(d / 1.5 - 2.0)))
-        return F.sqrt(PLAIN * PLAIN * near)
 
-    apart = lambda x: F.filter(F.transform(q, lambda y: F.abs(x - y)), lambda d: d > 0)
-    return F.flatten(F.transform(p, lambda x: F.transform(apart(x), lambda d: weight(d.cast("double")))))
+@pandas_udf(DOUBLE)
+def _all_rank(terms: pd.Series) -> pd.Series:
+    """Places of each term, in lists: pairs are counted by distance, not multiplied one by one."""
+    logs = np.array(NEAR)
+
+    def one(lists) -> float | None:
+        if any(p is None for p in lists):
+            return None
+        at, apart = [np.asarray(p, np.int64) for p in lists], np.zeros(len(NEAR))
+        for i in range(1, len(at)):
+            for k in range(i):
+                apart += np.bincount(np.minimum(np.abs(at[i][:, None] - at[k]), len(NEAR) - 1).ravel(), minlength=len(NEAR))
+        return -math.expm1(float(apart @ logs))
+
+    return terms.map(one)
 
 
 def all_rank(places: list[Column]) -> Column:
     """Pairs of places of different terms as independent chances; a single term is ranked as any_rank."""
     if len(places) < 2:
         return any_rank(places)
-    left = F.lit(1.0)
-    for i in range(1, len(places)):
-        for k in range(i):
-            left = F.aggregate(_near(places[i], places[k]), left, lambda s, c: s * (1.0 - c))
-    return 1.0 - left
+    return _all_rank(F.array(*places))
 
 
 def ranked(index: Index, question: str) -> DataFrame:
@@ -157,7 +167,7 @@ def ranked(index: Index, question: str) -> DataFrame:
         both = both & c
     for c in has(some, False):
         either = either | c
-    return rows.select("key", both.alias("has_all"), either.alias("has_any"), F.when(both, all_rank([at[s] for s in every])).alias("all_score"), any_rank([at[s] for s in some]).alias("any_score"))
+    return rows.select("key", both.alias("has_all"), either.alias("has_any"), F.when(both, all_rank([F.when(both, at[s]) for s in every])).alias("all_score"), any_rank([at[s] for s in some]).alias("any_score"))
 
 
 __all__ = ["STOP", "Index", "all_rank", "any_rank", "describe", "every_term", "hits", "places_of", "postings", "ranked", "read", "some_terms", "write"]
